@@ -5,6 +5,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.constants import struct_array
+
 # Fixed values: (pattern, merchant). Case-insensitive, unanchored, first match
 # wins, so the order is part of the meaning.
 MERCHANT_RULES = [
@@ -109,15 +111,9 @@ def _alternatives(as_coded: bool) -> Column:
     for _, pattern, name in rule_table(as_coded):
         for part in _BAR.split(pattern):
             word = _LITERAL.search(part.removeprefix(r"\b")).group()
-            regex = F.lit(None).cast("string") if word == part else F.lit("(?U)" + part)
-            entries.append(
-                F.struct(
-                    F.lit(word).alias("word"),
-                    regex.alias("pattern"),
-                    F.lit(name).alias("merchant"),
-                )
-            )
-    return F.array(*entries)
+            regex = None if word == part else "(?U)" + part
+            entries.append({"word": word, "pattern": regex, "merchant": name})
+    return struct_array(entries)
 
 
 def merchant_rule(lowered: Column, as_coded: bool = False) -> Column:

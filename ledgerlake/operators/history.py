@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
+from ledgerlake.functions.constants import string_array
 from ledgerlake.functions.text import norm_key
 from ledgerlake.operators.trailing import MICROS_PER_HOUR, micros, trailing_sums
 
@@ -159,7 +160,7 @@ def history_features(feedback: DataFrame, key: str = "merchant") -> DataFrame:
         F.least(share + S.LAST_CATEGORY_BONUS, F.lit(1.0)),
     ).otherwise(share)
     grid = totals.join(last, KEYS).withColumn(
-        "category", F.explode(F.array(*[F.lit(c) for c in S.CATEGORIES]))
+        "category", F.explode(string_array(S.CATEGORIES))
     )
     # Thirteen rows per key from here on.
     per_key = Window.partitionBy(*KEYS)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
+from ledgerlake.functions.constants import string_array
 from ledgerlake.functions.features import METADATA_FEATURES, metadata_features
 from ledgerlake.functions.text import preprocess_text
 from ledgerlake.operators import textfeatures as X
@@ -163,7 +164,7 @@ def train(
     spark = examples.sparkSession
     vocab = materialise(fit_vocabulary(distinct_texts(examples)), "vocabulary")
     size = vocab.count()
-    index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("category")) - 1
+    index = F.array_position(string_array(labels), F.col("category")) - 1
     balanced = class_weights(examples).select("category", F.col("weight").alias("_balance"))
     own = F.col(weight) if weight else F.lit(1.0)
     rows = (

@@ -8,31 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
+from ledgerlake.functions.constants import string_array
 from ledgerlake.functions.text import looks_like_person, norm_key
 from ledgerlake.operators.history import KEYS, history_profile
 
-N = len(S.LABELS)
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once however often it is used.
 
-def _label(name: str) -> int:
-    return S.LABELS.index(name)
-
-
-def _sum(values: list[Column]) -> Column:
-    total = values[0]
-    for v in values[1:]:
-        total = total + v
-    return total
-
-
-def _items(p: Column) -> list[Column]:
-    return [p[i] for i in range(N)]
+    Plain nesting would copy the value into every use, and the copies multiply
+    from step to step of the cascade.
+    """
+    return F.transform(F.array(value), body)[0]
 
 
 def normalised(p: Column) -> Column:
     """The array scaled to sum one; unchanged when it sums to zero."""
-    total = _sum(_items(p))
-    return F.when(total > 0, F.transform(p, lambda x: x / total)).otherwise(p)
+
+    def scale(q: Column) -> Column:
+        total = F.aggregate(q, F.lit(0.0), lambda s, x: s + x)
+        return let(total, lambda t: F.when(t > 0, F.transform(q, lambda x: x / t)).otherwise(q))
+
+    return let(p, scale)
 
 
 def pattern_boosts(
@@ -58,31 +55,42 @@ def pattern_boosts(
     )
     person = looks_like_person(receiver) & (value <= S.TRANSFER_AMOUNT_MAX)
     boosts = {
-        _label("Food"): F.when(food, S.FOOD_BOOST).otherwise(0.0),
-        _label("Subscription"): F.when(recurring, S.SUBSCRIPTION_BOOST).otherwise(0.0),
-        _label("Transfer"): F.when(person, S.PERSON_BOOST).otherwise(0.0),
+        "Food": F.when(food, S.FOOD_BOOST).otherwise(0.0),
+        "Subscription": F.when(recurring, S.SUBSCRIPTION_BOOST).otherwise(0.0),
+        "Transfer": F.when(person, S.PERSON_BOOST).otherwise(0.0),
     }
-    return F.array(*[x + boosts[i] if i in boosts else x for i, x in enumerate(_items(p))])
+    none = F.lit(0.0)
+    added = F.array(*[boosts.get(label, none) for label in S.LABELS])
+    return F.zip_with(p, added, lambda x, b: x + b)
 
 
 def history_bias(p: Column, weights: Column, total: Column) -> Column:
     """Blend with the key's category distribution where there is one."""
-    blended = F.zip_with(
-        p, weights, lambda x, w: (1 - S.HISTORY_LAMBDA) * x + S.HISTORY_LAMBDA * w / total
-    )
-    return F.when(total > 0, blended).otherwise(p)
+
+    def blend(q: Column) -> Column:
+        blended = F.zip_with(
+            q, weights, lambda x, w: (1 - S.HISTORY_LAMBDA) * x + S.HISTORY_LAMBDA * w / total
+        )
+        return F.when(total > 0, blended).otherwise(q)
+
+    return let(p, blend)
 
 
 def soft_override(p: Column, override: Column) -> Column:
     """Pull towards the user's own correction, if its label is known."""
     weight = S.SOFT_OVERRIDE_WEIGHT
-    pulled = F.array(
-        *[
-            (1 - weight) * x + F.when(override == label, weight).otherwise(0.0)
-            for label, x in zip(S.LABELS, _items(p))
-        ]
-    )
-    return F.when(override.isin(S.LABELS), pulled).otherwise(p)
+    labels = string_array(S.LABELS)
+
+    def pull(q: Column) -> Column:
+        pulled = F.zip_with(
+            q,
+            labels,
+            lambda x, label: (1 - weight) * x
+            + F.when(label == override, F.lit(weight)).otherwise(0.0),
+        )
+        return F.when(override.isin(S.LABELS), pulled).otherwise(q)
+
+    return let(p, pull)
 
 
 def with_history(txns: DataFrame, profile: DataFrame, key: str = "merchant") -> DataFrame:
@@ -98,57 +106,56 @@ def with_history(txns: DataFrame, profile: DataFrame, key: str = "merchant") ->
     return keyed.join(profile, KEYS, "left").drop(*KEYS)
 
 
-def with_final_probabilities(scored: DataFrame) -> DataFrame:
+def final_probabilities(p: Column, frequency: Column) -> Column:
     """Boosts, history and override in turn, each brought back to sum one.
 
-    Needs ``p``, the transaction columns and the profile columns. One staged
-    column per step keeps every expression computed once.
+    Reads the transaction columns and the profile columns.
     """
-    frequency = (
-        F.col("freq_30d") if "freq_30d" in scored.columns else F.col("history_count")
-    )
-    return (
-        scored.withColumn(
-            "p",
-            pattern_boosts(
-                F.col("p"), F.col("receiver"), F.col("amount"), F.col("timestamp"),
-                frequency, F.col("amount_count"), F.col("amount_cv"),
-            ),
-        )
-        .withColumn("p", normalised(F.col("p")))
-        .withColumn("p", history_bias(F.col("p"), F.col("weights"), F.col("weight_total")))
-        .withColumn("p", normalised(F.col("p")))
-        .withColumn("p", soft_override(F.col("p"), F.col("override")))
-        .withColumn("p", normalised(F.col("p")))
+    boosted = pattern_boosts(
+        p, F.col("receiver"), F.col("amount"), F.col("timestamp"), frequency,
+        F.col("amount_count"), F.col("amount_cv"),
     )
+    biased = history_bias(normalised(boosted), F.col("weights"), F.col("weight_total"))
+    return normalised(soft_override(normalised(biased), F.col("override")))
 
 
-def decide(scored: DataFrame) -> DataFrame:
-    """Category, confidence and decision source from final probabilities.
+def decision(p: Column, weight_total: Column, override: Column) -> Column:
+    """Struct of category, confidence, decision_source and p.
 
     The first label wins a tie. A strong history is trusted with at least 0.6;
     otherwise a weak maximum means Other.
     """
-    strong = F.coalesce(F.col("weight_total"), F.lit(0.0)) >= S.STRONG_HISTORY
-    top = scored.withColumn("_max", F.array_max("p"))
-    best = F.element_at(
-        F.array(*[F.lit(x) for x in S.LABELS]), F.array_position("p", F.col("_max")).cast("int")
-    )
-    weak = ~strong & (F.col("_max") < S.CONFIDENCE_THRESHOLD)
-    return (
-        top.withColumn("category", F.when(weak, "Other").otherwise(best))
-        .withColumn(
-            "confidence",
-            F.when(strong, F.greatest("_max", F.lit(S.STRONG_HISTORY_CONFIDENCE)))
-            .otherwise(F.col("_max")),
-        )
-        .withColumn(
-            "decision_source",
-            F.when(F.col("category") == "Other", "low_confidence")
-            .when(F.col("override").isin(S.LABELS), "override")
-            .otherwise("ml+history"),
+    strong = F.coalesce(weight_total, F.lit(0.0)) >= S.STRONG_HISTORY
+    labels = string_array(S.LABELS)
+
+    def pick(q: Column, top: Column) -> Column:
+        best = F.element_at(labels, F.array_position(q, top).cast("int"))
+        category = F.when(~strong & (top < S.CONFIDENCE_THRESHOLD), "Other").otherwise(best)
+        confidence = F.when(
+            strong, F.greatest(top, F.lit(S.STRONG_HISTORY_CONFIDENCE))
+        ).otherwise(top)
+        return let(
+            category,
+            lambda c: F.struct(
+                c.alias("category"),
+                confidence.alias("confidence"),
+                F.when(c == "Other", "low_confidence")
+                .when(override.isin(S.LABELS), "override")
+                .otherwise("ml+history")
+                .alias("decision_source"),
+                q.alias("p"),
+            ),
         )
-        .drop("_max")
+
+    return let(p, lambda q: let(F.array_max(q), lambda top: pick(q, top)))
+
+
+def decide(scored: DataFrame, p: Column | None = None) -> DataFrame:
+    """Add category, confidence and decision_source to scored rows."""
+    p = F.col("p") if p is None else p
+    decided = decision(p, F.col("weight_total"), F.col("override"))
+    return scored.withColumn("_d", decided).select(
+        *[c for c in scored.columns if c != "p"], "_d.*"
     )
 
 
@@ -162,7 +169,8 @@ def categorise(
     """
     scored = txns.join(probabilities, "silver_id")
     scored = with_history(scored, history_profile(feedback, key), key)
-    return decide(with_final_probabilities(scored)).select(
+    frequency = F.col("freq_30d" if "freq_30d" in txns.columns else "history_count")
+    return decide(scored, final_probabilities(F.col("p"), frequency)).select(
         "silver_id", "user_id", "category", "confidence", "decision_source", "p"
     )
 
@@ -170,7 +178,7 @@ def categorise(
 def explode_probabilities(df: DataFrame, *keys: str, p: str = "p") -> DataFrame:
     """One row per key and label."""
     long = df.select(*keys, F.posexplode(p).alias("_i", "p"))
-    labels = F.array(*[F.lit(x) for x in S.LABELS])
+    labels = string_array(S.LABELS)
     return long.withColumn("category", F.element_at(labels, F.col("_i") + 1)).drop("_i")
 
 
@@ -189,7 +197,7 @@ def collect_probabilities(long: DataFrame, key: str) -> DataFrame:
 def top_k(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     """The k most likely categories of each row, within the row."""
     pairs = F.zip_with(
-        F.array(*[F.lit(x) for x in S.LABELS]),
+        string_array(S.LABELS),
         F.col("p"),
         lambda label, x: F.struct((-x).alias("_down"), label.alias("category")),
     )
@@ -282,7 +290,7 @@ def cold_start_with_history(decided: DataFrame, profile: DataFrame, key: str) ->
     looked_up = with_history(decided, profile, key).withColumn(
         "_weight", F.array_max("weights")
     )
-    labels = F.array(*[F.lit(x) for x in S.LABELS])
+    labels = string_array(S.LABELS)
     remembered = F.element_at(labels, F.array_position("weights", F.col("_weight")).cast("int"))
     known = F.coalesce(F.col("_weight"), F.lit(0.0)) >= S.COLD_START_MIN_HISTORY
     return looked_up.withColumn(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
+from ledgerlake.functions.constants import string_array
 from ledgerlake.functions.text import with_merchant
 from ledgerlake.operators.bronze import to_bronze
 from ledgerlake.operators.feedback import split_corrections
@@ -71,9 +72,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values: list[str], n: Column) -> Column:
-    return F.element_at(
-        F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int")
-    )
+    return F.element_at(string_array(values), (n % len(values) + 1).cast("int"))
 
 
 def event_payments(events: DataFrame) -> DataFrame:
@@ -272,10 +271,10 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probability_arrays(df: DataFrame, n: Column) -> DataFrame:
     """Add ``p``, a stand-in for the classifier: peaked, and different for
     every number ``n``."""
-    scores = [
-        F.pow(1 + (n * 31 + i * 17) % 97, F.lit(4)).cast("double") for i in range(len(S.LABELS))
-    ]
-    scored = df.withColumn("_scores", F.array(*scores))
+    labels = F.sequence(F.lit(0), F.lit(len(S.LABELS) - 1))
+    scored = df.withColumn(
+        "_scores", F.transform(labels, lambda i: F.pow(1 + (n * 31 + i * 17) % 97, F.lit(4)))
+    )
     total = F.aggregate("_scores", F.lit(0.0), lambda s, x: s + x)
     return scored.withColumn("_total", total).withColumn(
         "p", F.transform("_scores", lambda x: x / F.col("_total"))
