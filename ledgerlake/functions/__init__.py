@@ -1,5 +1,6 @@
 from ledgerlake.functions.text import (
     clean_amount,
+    clean_merchant,
     fingerprint,
     looks_like_person,
     norm_key,
@@ -12,6 +13,7 @@ from ledgerlake.functions.text import (
 
 __all__ = [
     "clean_amount",
+    "clean_merchant",
     "fingerprint",
     "looks_like_person",
     "norm_key",

@@ -1,9 +1,11 @@
-"""Constant columns, parsed in one piece.
+"""Building blocks of column expressions.
 
-Built call by call, a long constant costs thousands of round trips to the
-JVM each time a plan is put together.
+Constants are parsed in one piece: built call by call, a long constant costs
+thousands of round trips to the JVM each time a plan is put together.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +28,12 @@ def struct_array(rows: list[dict[str, str | None]]) -> Column:
         for row in rows
     ]
     return F.expr(f"array({', '.join(parts)})")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it is used.
+
+    Plain nesting copies the value into every use, and the copies multiply
+    from step to step, above all where a filter is pushed into a projection.
+    """
+    return F.transform(F.array(value), body)[0]

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.constants import struct_array
+from ledgerlake.functions.blocks import struct_array
 
 # Fixed values: (pattern, merchant). Case-insensitive, unanchored, first match
 # wins, so the order is part of the meaning.

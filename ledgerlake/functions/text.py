@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
+from ledgerlake.functions.blocks import let
 from ledgerlake.functions.rules import merchant_rule
 
 # Every character that counts as white space when stripping.
@@ -99,8 +100,7 @@ def fingerprint(user: Column, amount: Column, receiver: Column, timestamp: Colum
 
 
 def without_handles(text: Column) -> Column:
-    has_handle = F.contains(text, F.lit("@"))
-    return strip(F.when(has_handle, F.regexp_replace(text, HANDLE, "")).otherwise(text))
+    return strip(F.regexp_replace(text, HANDLE, ""))
 
 
 def _is_payment_address(text: Column) -> Column:
@@ -115,8 +115,13 @@ def upi_merchant(text: Column) -> Column:
     """Name that follows the payment handle; null when there is none."""
     name = without_handles(strip(F.regexp_replace(text, VPA_PREFIX, "")))
     return F.when(
-        _is_payment_address(text) & (F.length(name) >= 3),
-        strip(F.regexp_replace(name, TRAILING_INITIAL, "")),
+        _is_payment_address(text),
+        let(
+            name,
+            lambda n: F.when(
+                F.length(n) >= 3, strip(F.regexp_replace(n, TRAILING_INITIAL, ""))
+            ),
+        ),
     )
 
 
@@ -127,33 +132,49 @@ def generic_name(text: Column) -> Column:
     return F.left(squeeze(text), F.lit(S.MERCHANT_MAX_LENGTH))
 
 
+def clean_merchant(receiver: Column, as_coded: bool = False) -> Column:
+    """Merchant of a receiver text: a rule's name, else the name behind the
+    payment handle, else the receiver without its codes; never empty.
+
+    Pure projection: no shuffle, so a receiver that fills a third of the
+    table does no harm.
+    """
+
+    def by_rule(named: Column) -> Column:
+        return let(
+            F.lower(F.coalesce(named, receiver)), lambda text: merchant_rule(text, as_coded)
+        )
+
+    def by_name(named: Column) -> Column:
+        return F.when(
+            named.isNotNull(), F.left(squeeze(named), F.lit(S.MERCHANT_MAX_LENGTH))
+        ).otherwise(generic_name(receiver))
+
+    return let(
+        let(upi_merchant(receiver), lambda named: F.coalesce(by_rule(named), by_name(named))),
+        lambda name: F.coalesce(F.when(name != "", name), F.lit("Unknown")),
+    )
+
+
 def with_merchant(
     df: DataFrame, receiver: str = "receiver", out: str = "merchant", as_coded: bool = False
 ) -> DataFrame:
-    """Add the cleaned merchant name.
-
-    Staged over helper columns, so the handle removal and the lower-casing run
-    once per row although several branches use them. Pure projection: no
-    shuffle, so a receiver that fills a third of the table does no harm.
-    """
-    staged = df.withColumn("_named", upi_merchant(F.col(receiver)))
-    staged = staged.withColumn("_lower", F.lower(F.coalesce("_named", F.col(receiver))))
-    staged = staged.withColumn("_rule", merchant_rule(F.col("_lower"), as_coded))
-    fallback = F.when(
-        F.col("_named").isNotNull(),
-        F.left(squeeze(F.col("_named")), F.lit(S.MERCHANT_MAX_LENGTH)),
-    ).otherwise(generic_name(F.col(receiver)))
-    staged = staged.withColumn(out, F.coalesce("_rule", fallback))
-    return staged.withColumn(
-        out, F.coalesce(F.when(F.col(out) != "", F.col(out)), F.lit("Unknown"))
-    ).drop("_named", "_lower", "_rule")
+    """Add the cleaned merchant name."""
+    return df.withColumn(out, clean_merchant(F.col(receiver), as_coded))
 
 
 def preprocess_text(text: Column) -> Column:
     """Text as the classifier sees it, in training and in scoring alike."""
-    bare = strip(F.regexp_replace(F.coalesce(text, F.lit("")), VPA_WORD, ""))
-    after = without_handles(bare)
-    working = F.when(F.length(after) >= 3, after).otherwise(bare)
+
+    def without_handle(bare: Column) -> Column:
+        return let(
+            without_handles(bare),
+            lambda after: F.when(F.length(after) >= 3, after).otherwise(bare),
+        )
+
+    working = let(
+        strip(F.regexp_replace(F.coalesce(text, F.lit("")), VPA_WORD, "")), without_handle
+    )
     for pattern in (GATEWAY_PREFIX, SEPARATORS, LONG_NUMBER, NOISE_WORDS):
         working = F.regexp_replace(working, pattern, " ")
     return F.lower(squeeze(working))
@@ -161,8 +182,10 @@ def preprocess_text(text: Column) -> Column:
 
 def looks_like_person(receiver: Column) -> Column:
     """Two or three alphabetic words, none of them a business word."""
-    name = without_handles(F.coalesce(receiver, F.lit("")))
-    return F.rlike(name, F.lit(PERSON_NAME)) & ~F.rlike(name, F.lit(BUSINESS_WORDS))
+    return let(
+        without_handles(F.coalesce(receiver, F.lit(""))),
+        lambda name: F.rlike(name, F.lit(PERSON_NAME)) & ~F.rlike(name, F.lit(BUSINESS_WORDS)),
+    )
 
 
 def text_variants(text: Column) -> Column:

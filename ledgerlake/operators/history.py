@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
-from ledgerlake.functions.constants import string_array
+from ledgerlake.functions.blocks import string_array
 from ledgerlake.functions.text import norm_key
 from ledgerlake.operators.trailing import MICROS_PER_HOUR, micros, trailing_sums
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
-from ledgerlake.functions.constants import string_array
+from ledgerlake.functions.blocks import string_array
 from ledgerlake.functions.features import METADATA_FEATURES, metadata_features
 from ledgerlake.functions.text import preprocess_text
 from ledgerlake.operators import textfeatures as X

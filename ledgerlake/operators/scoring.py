@@ -8,20 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
-from ledgerlake.functions.constants import string_array
+from ledgerlake.functions.blocks import let, string_array
 from ledgerlake.functions.text import looks_like_person, norm_key
 from ledgerlake.operators.history import KEYS, history_profile
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once however often it is used.
-
-    Plain nesting would copy the value into every use, and the copies multiply
-    from step to step of the cascade.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def normalised(p: Column) -> Column:
     """The array scaled to sum one; unchanged when it sums to zero."""
 

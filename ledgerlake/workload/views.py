@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
-from ledgerlake.functions.constants import string_array
+from ledgerlake.functions.blocks import string_array
 from ledgerlake.functions.text import with_merchant
 from ledgerlake.operators.bronze import to_bronze
 from ledgerlake.operators.feedback import split_corrections
