@@ -87,9 +87,9 @@ def section_accuracy(checks: DataFrame) -> DataFrame:
     )
 
 
-# Durations are ranked as whole nanoseconds in groups of 2**12, three rounds
-# above the last group.
-_DIGIT = 12
+# Durations are ranked as whole nanoseconds, 16 bits in each of four rounds.
+_DIGIT = 16
+_ROUNDS = 4
 
 
 def percentiles(
@@ -99,7 +99,7 @@ def percentiles(
 
     Found digit by digit: values are counted per leading digits, the count
     tells which digits hold the wanted index, and the next round only counts
-    values below those. Each round shuffles at most a few thousand counts, and
+    values below those. Each round shuffles at most 65,536 counts per prefix, and
     nothing is ever sorted or gathered as a whole. Durations are
     milliseconds, kept to the nanosecond.
     """
@@ -119,10 +119,8 @@ def percentiles(
     spark = durations.sparkSession
     # One row per quantile: the wanted index among the values of a prefix.
     cuts = spark.range(1).select(F.inline(wanted)).withColumn("_prefix", F.lit(0).cast("long"))
-    rounds = range(4, -1, -1)
-    for i, level in enumerate(rounds):
-        shift = _DIGIT * level
-        digit = F.shiftright("_u", shift)
+    for i in range(_ROUNDS):
+        digit = F.shiftright("_u", _DIGIT * (_ROUNDS - 1 - i))
         counted = units.select(digit.alias("_d"))
         if i:
             prefixes = cuts.select("_prefix").distinct()

@@ -52,22 +52,28 @@ def trailing_sums(
     )
 
     # Every row also serves, shifted by one span, as context for the slot in
-    # which the span that starts at it ends.
+    # which the span that starts at it ends. Context carries no payload.
+    places = F.array(
+        F.struct(F.col("_slot"), F.col("_t"), F.lit(1).alias("_own")),
+        F.struct(
+            (F.col("_slot") + slots).alias("_slot"),
+            (F.col("_t") + span).alias("_t"),
+            F.lit(0).alias("_own"),
+        ),
+    )
     payload = F.struct(*[F.col(c) for c in df.columns])
     measured = [F.col(f"_m_{n}") for n in names]
-    own = timed.select(*keys, "_slot", "_t", F.lit(1).alias("_own"), payload.alias("_row"),
-                       *measured)
-    context = timed.select(
-        *keys, (F.col("_slot") + slots).alias("_slot"), (F.col("_t") + span).alias("_t"),
-        F.lit(0).alias("_own"), F.lit(None).cast(df.select(payload).schema[0].dataType)
-        .alias("_row"), *measured,
+    edges = (
+        timed.select(*keys, payload.alias("_row"), *measured, F.explode(places).alias("_place"))
+        .select(*keys, "_place.*", *measured,
+                F.when(F.col("_place._own") == 1, F.col("_row")).alias("_row"))
     )
+
     # Own rows count while earlier; shifted rows count from their time on.
     earlier = (
         Window.partitionBy(*keys, "_slot").orderBy("_t")
         .rangeBetween(Window.unboundedPreceding, -1)
     )
-    edges = own.unionByName(context)
     for n in names:
         is_own = F.col("_own") == 1
         edges = edges.withColumn(

@@ -66,15 +66,15 @@ def run(
     """Bring all layers up to date with ``raw``.
 
     ``probabilities`` is a function from the scoring input to (silver_id, p).
-    ``bronze`` and ``silver`` are the layers of the previous run. Silver is
-    written to the shared folder once, because gold, corrections and the
-    explorer all read it.
+    ``bronze`` and ``silver`` are the layers of the previous run. Every layer
+    that is read more than once is written to the shared folder.
     """
     new_bronze = to_bronze(raw, bronze)
     all_bronze = new_bronze if bronze is None else bronze.unionByName(new_bronze)
     all_bronze = materialise(all_bronze, "bronze")
     new_silver = to_silver(all_bronze, silver, as_of)
     all_silver = new_silver if silver is None else silver.unionByName(new_silver)
+    all_silver = materialise(all_silver, "silver")
     history = feedback
     if include_predictions and silver is not None:
         history = feedback.unionByName(accepted_as_feedback(silver))

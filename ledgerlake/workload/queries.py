@@ -119,12 +119,14 @@ def clean_merchant(spark: Spark, d: str) -> DataFrame:
 
 
 def merchant_rules(spark: Spark, d: str) -> DataFrame:
-    rows = V.line_receivers(spark, d).withColumn("_lower", F.lower("receiver"))
-    return (
-        rows.withColumn("merchant", merchant_rule(F.col("_lower")))
-        .withColumn("merchant_as_coded", merchant_rule(F.col("_lower"), as_coded=True))
-        .groupBy("receiver", "merchant", "merchant_as_coded")
-        .agg(F.count("*").alias("n"))
+    """Rules on the distinct receivers of the largest table."""
+    rows = V.line_receivers(spark, d).groupBy("receiver").agg(F.count("*").alias("n"))
+    lowered = rows.withColumn("_lower", F.lower("receiver"))
+    return lowered.select(
+        "receiver",
+        merchant_rule(F.col("_lower")).alias("merchant"),
+        merchant_rule(F.col("_lower"), as_coded=True).alias("merchant_as_coded"),
+        "n",
     )
 
 
@@ -223,7 +225,6 @@ def gold_monthly_long(spark: Spark, d: str) -> DataFrame:
 
 def gold_refresh(spark: Spark, d: str) -> DataFrame:
     before, accepted, _ = V.corrected(spark, d)
-    before = materialise(before, "silver")
     accepted = materialise(accepted, "corrections")
     after = feedback.apply_corrections(before, accepted)
     groups = gold.affected_groups(after, accepted)

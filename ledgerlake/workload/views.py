@@ -15,6 +15,7 @@ from ledgerlake.operators.feedback import split_corrections
 from ledgerlake.operators.scoring import categorise
 from ledgerlake.operators.silver import project_silver, scoring_input, write_back
 from ledgerlake.plans.daily import with_frequency
+from ledgerlake.sources.shared import materialise
 
 RECEIVERS = [
     "VPA swiggy.stores@axb Swiggy Limited",
@@ -287,11 +288,15 @@ def probabilities(txns: DataFrame) -> DataFrame:
     return probability_arrays(txns.select("silver_id"), n)
 
 
-def scored_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring input with the number of feedback entries as frequency."""
-    rows = bronze(spark, sf_dir)
+def scored_input(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """Scoring input with the number of feedback entries as frequency.
+
+    Bronze is written first, as in the daily run: silver and the lookup of
+    the receiver both read it.
+    """
+    rows = materialise(bronze(spark, sf_dir), "bronze")
     txns = scoring_input(project_silver(rows, as_of()), rows)
-    return with_frequency(txns, feedback(spark, sf_dir))
+    return with_frequency(txns, feedback(spark, sf_dir) if known is None else known)
 
 
 def scored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,12 +306,17 @@ def scored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    txns = scored_input(spark, sf_dir)
-    return categorise(txns, probabilities(txns), feedback(spark, sf_dir))
+    known = materialise(feedback(spark, sf_dir), "feedback")
+    txns = scored_input(spark, sf_dir, known)
+    return categorise(txns, probabilities(txns), known)
 
 
 def silver_categorised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_back(silver(spark, sf_dir), decisions(spark, sf_dir))
+    known = materialise(feedback(spark, sf_dir), "feedback")
+    rows = materialise(bronze(spark, sf_dir), "bronze")
+    plain = materialise(project_silver(rows, as_of()), "silver")
+    txns = with_frequency(scoring_input(plain, rows), known)
+    return write_back(plain, categorise(txns, probabilities(txns), known))
 
 
 def corrections_from_payments(rows: DataFrame) -> DataFrame:
@@ -331,7 +341,7 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corrected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(silver before, accepted corrections, rejected corrections)."""
-    before = silver_categorised(spark, sf_dir)
+    before = materialise(silver_categorised(spark, sf_dir), "silver")
     accepted, rejected = split_corrections(before, corrections(spark, sf_dir))
     return before, accepted, rejected
 
