@@ -586,6 +586,27 @@ _SQL = {
         SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight
         FROM (SELECT doc_id, term, (1 + ln(tf)) * idf AS w
               FROM word_terms JOIN vocab USING (term))""",
+    # Both analysers scale to length one; sine and cosine add one more.
+    "feature_matrix": r"""
+        WITH texts AS (SELECT DISTINCT prepared FROM pay JOIN prepared USING (receiver)),
+        chars AS (
+          SELECT DISTINCT unnest(flatten([[w[i:i + size - 1]
+                   for i in range(1, length(w) - size + 2)] for size in [2, 3, 4, 5]])) AS term
+          FROM (SELECT ' ' || w || ' ' AS w
+                FROM (SELECT unnest(string_split(prepared, ' ')) AS w FROM texts) WHERE w <> '')),
+        tokens AS (SELECT prepared, regexp_extract_all(prepared, '\w\w+') AS w FROM texts),
+        wordset AS (
+          SELECT unnest(w) AS term FROM tokens UNION
+          SELECT a || ' ' || b FROM (SELECT unnest(w[1:len(w) - 1]) AS a,
+                                            unnest(w[2:len(w)]) AS b FROM tokens WHERE len(w) > 1))
+        SELECT event_id AS example_id,
+               CAST((SELECT count(*) FROM chars) + (SELECT count(*) FROM wordset) + 5 AS INT)
+                 AS width,
+               round(CASE WHEN prepared <> '' THEN 1 ELSE 0 END
+                 + CASE WHEN len(w) > 0 THEN 1 ELSE 0 END
+                 + power(ln(1 + CAST(amount AS DOUBLE)), 2) + 1
+                 + power((isodow(ts) - 1) / 6, 2), 6) AS squares
+        FROM pay JOIN prepared USING (receiver) JOIN tokens USING (prepared)""",
     "class_distribution": "SELECT * FROM counts",
     "class_weights": """
         SELECT category, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight
