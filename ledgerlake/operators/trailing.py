@@ -15,8 +15,15 @@ SPAN_30_DAYS = 30 * 24 * MICROS_PER_HOUR
 
 
 def micros(timestamp: Column) -> Column:
-    """Wall-clock microseconds of a timestamp without zone."""
-    return F.unix_micros(timestamp.cast("timestamp"))
+    """Wall-clock microseconds of a timestamp without zone, whatever the
+    session's time zone."""
+    seconds = (
+        F.unix_date(F.to_date(timestamp)) * F.lit(86_400).cast("long")
+        + F.hour(timestamp) * 3600
+        + F.minute(timestamp) * 60
+    )
+    fraction = F.extract(F.lit("SECOND"), timestamp) * 1_000_000
+    return seconds * F.lit(1_000_000).cast("long") + fraction.cast("long")
 
 
 def trailing_sums(

@@ -4,14 +4,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
+from ledgerlake.functions.blocks import let
 from ledgerlake.functions.text import strip
 
 # The patterns of an alert. ``(?d)``: a point stops only at a
-# line feed, since message bodies contain carriage returns.
+# line feed, since message bodies contain carriage returns. White space is
+# spelt out with the no-break space that mail often holds.
 DEBIT_WORD = "(?i)debited|spent|paid"
-CURRENCY_FIRST = r"(?idU)(?:rs\.?|inr|₹)\s?([\d,]+\.?\d{0,2}).*?(?:debited|spent|paid)"
-VERB_FIRST = r"(?idU)(?:debited|spent|paid).*?(?:rs\.?|inr|₹)\s?([\d,]+\.?\d{0,2})"
-RECEIVER = r"(?idU)to\s+(.*?)\s+on"
+CURRENCY_FIRST = (
+    r"(?id)(?:rs\.?|inr|₹)[\s\xa0]?([\d,]+\.?\d{0,2}).*?(?:debited|spent|paid)"
+)
+VERB_FIRST = r"(?id)(?:debited|spent|paid).*?(?:rs\.?|inr|₹)[\s\xa0]?([\d,]+\.?\d{0,2})"
+RECEIVER = r"(?id)to[\s\xa0]+(.*?)[\s\xa0]+on"
 
 # Senders and words of the fetch query.
 BANK_SENDERS = "(?i)hdfc|icici|sbi|axis|kotak|yesbank"
@@ -54,13 +58,18 @@ def parse_alerts(messages: DataFrame, as_of: Column) -> DataFrame:
     replaces a missing date. Other columns pass through.
     """
     body = F.col("body")
-    amount = F.coalesce(
-        F.nullif(F.regexp_extract(body, CURRENCY_FIRST, 1), F.lit("")),
-        F.nullif(F.regexp_extract(body, VERB_FIRST, 1), F.lit("")),
+    amount = let(
+        F.regexp_extract(body, CURRENCY_FIRST, 1),
+        lambda found: F.when(found != "", found).otherwise(
+            F.regexp_extract(body, VERB_FIRST, 1)
+        ),
+    )
+    receiver = let(
+        F.regexp_extract(body, RECEIVER, 0),
+        lambda found: F.when(
+            found != "", strip(F.regexp_extract(found, RECEIVER, 1))
+        ).otherwise("UNKNOWN"),
     )
-    receiver = F.when(
-        F.rlike(body, F.lit(RECEIVER)), strip(F.regexp_extract(body, RECEIVER, 1))
-    ).otherwise("UNKNOWN")
     return (
         messages.where(F.rlike(body, F.lit(DEBIT_WORD)))
         .withColumn("_amount", amount)

@@ -12,9 +12,15 @@ _LOCAL_FOLDER = "spark.ledgerlake.localFolder"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``, or a temporary folder if unset."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves, but only in local mode: on
+    a cluster other machines could not read it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_FOLDER, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         folder = tempfile.mkdtemp(prefix="ledgerlake-")
         spark.conf.set(_LOCAL_FOLDER, folder)
     return folder

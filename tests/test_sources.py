@@ -33,8 +33,10 @@ def test_alert_wordings(spark):
         "Rs 12.5\r\nwas\rdebited to  A B  on x",
         "amount Rs 20 only\nspent",
         "₹5 paid",
+        "Rs.\u00a07 spent to\u00a0Tea\u00a0on Monday",
     ])
-    assert sorted(got) == ["m0", "m1", "m7"]
+    assert sorted(got) == ["m0", "m1", "m7", "m8"]
+    assert (float(got["m8"].amount), got["m8"].receiver) == (7.0, "Tea")
     assert (float(got["m0"].amount), got["m0"].receiver) == (1250.75, "Lotus Tea")
     assert (float(got["m1"].amount), got["m1"].receiver) == (99.0, "UNKNOWN")
     assert float(got["m7"].amount) == 5.0 and got["m0"].source == "gmail"
