@@ -1,28 +1,17 @@
 """The folder every executor can reach, for checkpoints and staged tables."""
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Only used where the cluster names no folder, as in tests on one machine.
-_LOCAL_FOLDER = "spark.ledgerlake.localFolder"
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``.
-
-    Where that is unset a temporary folder serves, but only in local mode: on
-    a cluster other machines could not read it.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_FOLDER, None)
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, the
+    session's warehouse, which every executor can reach as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        folder = tempfile.mkdtemp(prefix="ledgerlake-")
-        spark.conf.set(_LOCAL_FOLDER, folder)
+        folder = posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "staged")
     return folder
 
 
