@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontaminate, simhash
+from ledgerlake.llm import decontaminate, packing, simhash, tokenfiles
+from ledgerlake.sources.shared import new_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +21,18 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of each document's pieces in sequences of 4096 tokens."""
+    return packing.pack(packing.pieces(_table(spark, folder, "documents")))
+
+
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What stands in the ORC files of all documents' token ids."""
+    path = new_folder(spark, "token-files")
+    tokenfiles.write_ids(_table(spark, folder, "documents"), path)
+    return tokenfiles.manifest(spark, path)
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
     return simhash.near_duplicates(_table(spark, folder, "documents"))
@@ -27,6 +40,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
 
