@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontaminate, packing, simhash, tokenfiles
+from ledgerlake.llm import decontaminate, packing, quality, simhash, tokenfiles
 from ledgerlake.sources.shared import new_folder
 
 
@@ -21,6 +21,19 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Scores from here on count as good: a document is only dropped if it is likely bad.
+GOOD = 0.3
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of each document, learnt from the labels outside the fold."""
+    docs = _table(spark, folder, "documents")
+    weights = quality.train(docs, _table(spark, folder, "labels"))
+    return quality.score(docs, weights).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Place of each document's pieces in sequences of 4096 tokens."""
     return packing.pack(packing.pieces(_table(spark, folder, "documents")))
@@ -40,6 +53,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
