@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontaminate, packing, quality, simhash, tokenfiles
+from ledgerlake.llm import decontaminate, fingerprints, packing, quality, simhash, tokenfiles
 from ledgerlake.sources.shared import new_folder
 
 
@@ -39,6 +39,20 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, folder, "documents")))
 
 
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text, and their likeness."""
+    pairs = fingerprints.edited_pairs(_table(spark, folder, "documents"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """What stands in the ORC files of all documents' token ids."""
     path = new_folder(spark, "token-files")
@@ -55,6 +69,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
