@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontaminate, fingerprints, packing, quality, simhash, tokenfiles
+from ledgerlake.llm import decontaminate, fingerprints, packing, personal, quality, secrets, simhash, tokenfiles
 from ledgerlake.sources.shared import new_folder
 
 
@@ -53,6 +53,40 @@ def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _spans(found, chosen=lambda x: F.lit(True)):
+    """kind:start:end of the chosen ones, comma-joined."""
+    text = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    return F.array_join(F.transform(F.filter(found, chosen), text), ",")
+
+
+def _count(found, kind: str):
+    return F.size(F.filter(found, lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+
+
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in each document, from a ledger that starts empty."""
+    ledger = new_folder(spark, "secret-ledger")
+    paths = secrets.scan(_table(spark, folder, "documents"), ledger)
+    found = secrets.report(paths, secrets.findings(spark, ledger))
+    return found.select(
+        "doc_id",
+        *[_count("findings", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(_spans("findings", lambda x: x["base"]), 256).alias("base_sha256"),
+        _spans("findings").alias("spans"),
+    )
+
+
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in each document."""
+    found = personal.find(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *[_count("found", k).alias(f"n_{k}") for k in personal.KINDS],
+        F.sha2(_spans("found", lambda x: x["base"]), 256).alias("base_sha256"),
+        _spans("found").alias("spans"),
+    )
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """What stands in the ORC files of all documents' token ids."""
     path = new_folder(spark, "token-files")
@@ -70,6 +104,8 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_secrets": op5_secrets,
+    "op6_personal_data": op6_personal_data,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
