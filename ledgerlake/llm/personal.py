@@ -1,15 +1,15 @@
 """Personal data by weak supervision.
 
 Patterns give candidate spans: strict ones, whose valid matches are always
-reported, and loose ones (national phone numbers, spelt-out addresses, numbers
-that fail a check). Labelers vote on each candidate, for, against or not at all:
+reported, and loose ones, which may be added where no valid match lies: national
+phone numbers, spelt-out addresses, and numbers that a strict pattern misses
+because it runs on into the next number. Labelers vote on each candidate, for, against or not at all:
 the pattern's own validity, a gazetteer of top-level domains, card issuers,
 country codes and address blocks, words of the context, and what touches the
 span. Expectation-maximisation on the counts of vote patterns, kind by kind,
 estimates how reliable each labeler is and how likely each pattern of votes is
 personal data. A logistic regression of the votes and the span's form, trained on
-these likelihoods, decides on the candidates that aren't valid matches of a
-strict pattern.
+these likelihoods, decides on the loose candidates.
 
 Only counts of vote patterns and forms leave the executors: at most 81 vote
 patterns for each of four kinds, times the classes of length and separators.
@@ -42,7 +42,12 @@ PATTERNS = [
     ("card", _CARD, None),
     ("phone", _PHONE, "+"),
     ("email_loose", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(](?i:dot)[\])])\x20?[A-Za-z0-9-]{1,63}){1,8}", None),
-    ("phone_loose", r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9.-])", None),
+    ("card_loose", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9A-Za-z])", None),
+    (
+        "phone_loose",
+        r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
+        None,
+    ),
 ]
 
 _CONTEXT = {
@@ -72,12 +77,12 @@ def _luhn(digits: Column) -> Column:
 
 
 def _valid(kind: Column, text: Column) -> Column:
-    """Whether a match of the strict pattern passes its check."""
+    """Whether a match passes the check of its kind."""
     small = lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3
     octets = F.forall(F.split(text, r"\."), lambda p: small(p) & (F.substring(p, -3, 3).cast("int") <= 255))
     n = F.length(_digits(text))
     return (
-        F.when(kind == "email", F.lit(True))
+        F.when(kind == "email", F.contains(text, F.lit("@")))
         .when(kind == "ip", octets)
         .when(kind == "card", F.when(n.between(13, 19), _luhn(_digits(text))).otherwise(F.lit(False)))
         .when(kind == "phone", n.between(9, 15))
@@ -95,7 +100,14 @@ def candidates(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     # two digits make a match of the card pattern: shorter than 12 it isn't even a candidate
     spans = spans.filter((F.col("label") != "card") | (F.length("match") >= 12))
     kind = F.regexp_replace("label", "_loose$", "")
-    spans = spans.withColumn("kind", kind).withColumn("base", _valid(F.col("label"), F.col("match")))
+    spans = spans.withColumn("kind", kind).withColumn("loose", F.col("label").endswith("_loose"))
+    spans = spans.withColumn("passes", _valid(F.col("kind"), F.col("match"))).withColumn("base", F.col("passes") & ~F.col("loose"))
+    # a loose candidate gives way where it overlaps a valid match of its kind
+    by_kind = W.partitionBy(*keys, "kind").orderBy("start", "end", "label")
+    last = F.max(F.when(F.col("base"), F.col("end"))).over(by_kind.rowsBetween(W.unboundedPreceding, -1))
+    following = F.min(F.when(F.col("base"), F.col("start"))).over(by_kind.rowsBetween(1, W.unboundedFollowing))
+    free = (F.coalesce(last, F.lit(0)) <= F.col("start")) & (F.coalesce(following, F.col("end")) >= F.col("end"))
+    spans = spans.withColumn("_free", free).filter(~F.col("loose") | F.col("_free"))
     match, before, after = F.col("match"), F.col("before"), F.col("after")
     domain = F.lower(F.regexp_extract("match", r"([A-Za-z]+)$", 1))
     number = _digits(match)
@@ -111,8 +123,8 @@ def candidates(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     touched = before.rlike(r"[\p{L}\p{N}_#-]$") | after.rlike(r"^[\p{L}\p{N}_-]")
     length = F.length("match")
     return spans.select(
-        *keys, "kind", "start", "end", "base",
-        _vote(F.col("base"), ~F.col("base") & ~F.col("label").endswith("_loose")).alias("valid"),
+        *keys, "kind", "start", "end", "base", "loose",
+        _vote(F.col("passes"), ~F.col("passes")).alias("valid"),
         known.alias("known"),
         _vote(good, bad).alias("context"),
         _vote(~touched, touched).alias("edges"),
@@ -195,13 +207,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         chosen = score >= math.log(threshold / (1 - threshold))
     else:
         chosen = F.lit(False)
-    spans = spans.filter(F.col("base") | chosen)
-    # an added span gives way where it overlaps a valid one of its kind
-    by_kind = W.partitionBy(*keys, "kind").orderBy("start", "end")
-    last = F.max(F.when(F.col("base"), F.col("end"))).over(by_kind.rowsBetween(W.unboundedPreceding, -1))
-    following = F.min(F.when(F.col("base"), F.col("start"))).over(by_kind.rowsBetween(1, W.unboundedFollowing))
-    free = (F.coalesce(last, F.lit(0)) <= F.col("start")) & (F.coalesce(following, F.col("end")) >= F.col("end"))
-    spans = spans.withColumn("_free", free).filter(F.col("base") | F.col("_free"))
+    spans = spans.filter(F.col("base") | (F.col("loose") & chosen))
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     one = F.struct(order.alias("order"), F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end"), "base")
     by_doc = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("found"))
