@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontaminate, fingerprints, packing, personal, quality, secrets, simhash, tokenfiles
+from ledgerlake.llm import decontaminate, fingerprints, lines, packing, personal, quality, secrets, simhash, tokenfiles
 from ledgerlake.sources.shared import new_folder
 
 
@@ -87,6 +87,12 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document without the lines that stand on ten sites or more."""
+    found = lines.strip(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """What stands in the ORC files of all documents' token ids."""
     path = new_folder(spark, "token-files")
@@ -106,8 +112,38 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_secrets": op5_secrets,
     "op6_personal_data": op6_personal_data,
+    "op7_line_dedup": op7_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+# The spread of a line with exact counts throughout.
+_LINES_STRIPPED = """
+lines AS (
+  SELECT doc_id, source, i, ls[i] AS line, trim(ls[i]) AS t,
+         i > 1 AS has_prev, i < len(ls) AS has_next,
+         CASE WHEN i > 1 THEN trim(ls[i - 1]) END AS prev, trim(ls[i + 1]) AS next
+  FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
+       unnest(generate_series(1, len(ls))) AS s(i)
+),
+spread AS (
+  SELECT t FROM lines WHERE t <> ''
+  GROUP BY t
+  HAVING count(DISTINCT source) >= 10 AND 2 * count(DISTINCT {'p': prev, 'n': next}) >= count(*)
+),
+marked AS (SELECT l.*, (l.t IN (SELECT t FROM spread)) AS gone FROM lines l),
+docs AS (
+  SELECT doc_id, count(*) AS n_lines, coalesce(bool_or(NOT gone AND t <> ''), false) AS some
+  FROM marked GROUP BY doc_id
+),
+stripped AS (
+  SELECT m.doc_id, any_value(d.n_lines) AS n_lines,
+         count(*) FILTER (WHERE m.gone AND d.some) AS n_removed,
+         string_agg(m.line, chr(10) ORDER BY m.i) FILTER (WHERE NOT (m.gone AND d.some)) AS text
+  FROM marked m JOIN docs d ON d.doc_id = m.doc_id GROUP BY m.doc_id
+)
+"""
+
+ORACLE: dict[str, str] = {
+    "op7_line_dedup": f"WITH {_LINES_STRIPPED} SELECT doc_id, n_lines, n_removed, sha256(text) AS kept_sha256 FROM stripped",
+}
