@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontaminate, fingerprints, lines, packing, personal, quality, secrets, simhash, tokenfiles
+from ledgerlake.llm import decontaminate, fingerprints, lines, packing, personal, quality, secrets, simhash, substrings, tokenfiles
 from ledgerlake.sources.shared import new_folder
 
 
@@ -93,6 +93,12 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document without the bytes that repeat 100 earlier ones."""
+    found = substrings.dedup(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """What stands in the ORC files of all documents' token ids."""
     path = new_folder(spark, "token-files")
@@ -113,6 +119,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_personal_data": op6_personal_data,
     "op7_line_dedup": op7_line_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
