@@ -146,9 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``score`` from 0 to 1 for every row, with ``id_col`` and the columns of
-    ``keep``."""
+    ``keep`` (but for one named ``score``)."""
     bits = int(len(weights)).bit_length() - 1
-    taken = [id_col, *keep]
+    taken = list(dict.fromkeys(c for c in (id_col, *keep) if c != "score"))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in taken)
 
     def work(batches):

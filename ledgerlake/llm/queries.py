@@ -108,7 +108,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
-    return simhash.near_duplicates(_table(spark, folder, "documents"))
+    return simhash.near_duplicates(_table(spark, folder, "documents")).drop("text_key")
 
 
 QUERIES = {

@@ -2,10 +2,15 @@
 
 Each text gets a 64-bit fingerprint: a bit is set if it is set in more than
 half of the hashes of its word shingles. Two texts are linked if their
-fingerprints differ in at most three bits. A pair that near agrees in one of
-its two 32-bit halves up to one bit, so each fingerprint is stored under its
-halves and looked up under the 33 values around each half; whatever meets
-there is compared in all 64 bits.
+fingerprints differ in at most so many bits. Fingerprints are stored under each
+of their segments and looked up under all values within one bit of a segment;
+whatever meets there is compared in all 64 bits.
+
+* Three bits: two fingerprints that near agree in one of their two 32-bit halves
+  up to one bit, so halves find every link.
+* More bits (as for near copies with a few words in a hundred changed) need
+  more and shorter segments, cut from further fingerprints of the same shingles;
+  these find links with a probability that grows with the number of segments.
 
 Equal fingerprints are one node throughout, so copies never form pairs. Where
 many fingerprints meet under one value, a task compares them in blocks and
@@ -23,20 +28,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.text import whole
+from ledgerlake.llm.text import mixed, whole
 from ledgerlake.sources.shared import materialise
 
 BITS = 3
 SHINGLE = 3
 SEED = 42
 _BLOCK = 1_000_000  # pairs compared at once
+_MANY = 2_000  # rows behind a home from which on it is a block of its own
 _HASHES = 1 << 16  # hashes whose bits are counted at once
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE, further: int = 0) -> list[int]:
+    """The fingerprint and ``further`` ones, from the same hashes mixed anew."""
     words = text.lower().split()  # A-Z and ASCII white space only, as these are bytes
     if not words:
-        return 0
+        return [0] * (further + 1)
     line = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -46,76 +53,62 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     hash64 = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((further + 1, 64), np.int64)
     for i in range(0, len(starts), _HASHES):
         spans = zip(starts[i : i + _HASHES].tolist(), ends[i : i + _HASHES].tolist(), strict=True)
         hashes = np.array([hash64(line[s:e], SEED) for s, e in spans], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += np.add.reduce(bits, axis=0, dtype=np.uint32).astype(np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<i8")[0])
+        for k in range(further + 1):
+            own = mixed(hashes + np.uint64(k)) if k else hashes
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += np.add.reduce(bits, axis=0, dtype=np.uint32).astype(np.int64)
+    return np.packbits(ones * 2 > len(starts), axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id_col`` and ``fingerprint`` (a long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, further: int = 0) -> DataFrame:
+    """``id_col``, ``text_key`` (xxhash64 of the text), ``fingerprint`` (a
+    long) and ``words`` (it and the further ones) of every row."""
 
     def work(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            found = [fingerprint(t.as_py(), shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=[id_col, "fingerprint"])
-
-    rows = docs.select(F.col(id_col), whole(F.col(text_col)).alias("_text"))
+            texts = batch.column(2).cast(pa.large_binary())
+            found = [fingerprint(t.as_py(), shingle, further) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array([x[0] for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                names=["_id", "text_key", "fingerprint", "words"],
+            )
+
+    rows = docs.select(F.col(id_col).alias("_id"), whole(F.col(text_col)).alias("_text"))
+    rows = rows.select("_id", F.xxhash64("_text").alias("text_key"), "_text")
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(work, f"`{id_col}` {kind}, fingerprint long")
+    found = rows.mapInArrow(work, f"_id {kind}, text_key long, fingerprint long, words array<long>")
+    return found.withColumnRenamed("_id", id_col)
 
 
-def _near(homes, fingerprints, starts, ends, bits):
-    """Pairs of one home and a later row under the same value, in blocks."""
-    width = ends - starts
+def _blocks(homes, starts, ends):
+    """Pairs of rows to compare: each home and the rows behind it under the
+    same value (homes stand first), some at a time; a home of many rows alone."""
     first = np.flatnonzero(homes)
     group = np.searchsorted(starts, first, side="right") - 1
-    rest = ends[group] - first - 1  # homes stand first, so the rows behind are all to compare
-    keep = (rest > 0) & (width[group] > 1)
-    first, rest = first[keep], rest[keep]
-    while len(first):
-        total = np.cumsum(rest)
-        n = max(1, int(np.searchsorted(total, _BLOCK, side="right")))
-        a, k = first[:n], rest[:n]
-        if n == 1 and k[0] > _BLOCK:
-            blocks = [(a, a + 1 + i, np.minimum(k - i, _BLOCK)) for i in range(0, int(k[0]), _BLOCK)]
+    rest = ends[group] - first - 1
+    first, rest = first[rest > 0], rest[rest > 0]
+    i = 0
+    while i < len(first):
+        n = max(1, int(np.searchsorted(np.cumsum(rest[i : i + _BLOCK]), _BLOCK, side="right")))
+        if rest[i] > _MANY:
+            n = 1
         else:
-            blocks = [(a, a + 1, k)]
-        for left, begin, count in blocks:
-            x = np.repeat(left, count)
-            y = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-            x, y = fingerprints[x], fingerprints[y]
-            linked = (np.bitwise_count(x ^ y) <= bits) & (x != y)
-            yield x[linked].view(np.int64), y[linked].view(np.int64)
-        first, rest = first[n:], rest[n:]
-
-
-class _Forest:
-    """Keeps the links that join what was apart."""
-
-    def __init__(self):
-        self.up = {}
-
-    def root(self, x):
-        up = self.up
-        path = []
-        while (above := up.get(x, x)) != x:
-            path.append(x)
-            x = above
-        for p in path:
-            up[p] = x
-        return x
-
-    def joins(self, x, y) -> bool:
-        a, b = self.root(x), self.root(y)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+            large = np.flatnonzero(rest[i : i + n] > _MANY)
+            n = int(large[0]) if len(large) else n
+        left, count = first[i : i + n], rest[i : i + n]
+        x = np.repeat(left, count)
+        yield x, np.repeat(left + 1 - (np.cumsum(count) - count), count) + np.arange(len(x))
+        i += n
+
+
+def _top(up: list, x: int) -> int:
+    while up[x] != x:
+        up[x] = x = up[up[x]]
+    return x
 
 
 def _links(bits):
@@ -137,40 +130,47 @@ def _links(bits):
             return
         starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
         ends = np.concatenate((starts[1:], [len(values)]))
-        forest = _Forest()
-        for x, y in _near(rank == 0, prints.view(np.uint64), starts, ends, bits):
-            kept = [(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True) if forest.joins(a, b)]
-            if kept:
-                a, b = zip(*kept, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        nodes, own = np.unique(prints, return_inverse=True)
+        bare = nodes.view(np.uint64)
+        up, links = list(range(len(nodes))), []
+        root = np.arange(len(nodes))
+        for x, y in _blocks(rank == 0, starts, ends):
+            x, y = own[x], own[y]
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            near = np.bitwise_count(bare[x] ^ bare[y]) <= bits
+            before = len(links)
+            for a, b in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                a, b = _top(up, a), _top(up, b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    links.append((a, b))
+            if len(links) > before:
+                root = np.array(up)
+                while ((above := root[root]) != root).any():
+                    root = above
+        if links:
+            a, b = np.array(links).T
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
 
     return work
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+def links(nodes: DataFrame, bits: int = BITS, segment: int = 32) -> DataFrame:
     """Links ``a``, ``b`` between distinct ``fingerprint`` values that join
-    all values within ``bits`` (3 at most) of each other: not all such pairs,
-    but a path for each."""
-    if not 0 <= bits <= 3:
-        raise ValueError("two halves with one bit of play find at most 3 differing bits")
-    low = F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fingerprint", 32)
+    those within ``bits`` of each other: not all such pairs, but a path for
+    each. ``segment`` is the length of the segments that ``words`` are cut to."""
+    each = 64 // segment
+    segments = nodes.select("fingerprint", F.posexplode("words").alias("at", "word"))
+    segments = segments.select("fingerprint", "at", "word", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("k"))
+    value = F.expr(f"shiftrightunsigned(word, k * {segment}) & {(1 << segment) - 1}L")
+    named = F.expr(f"shiftleft(cast(at * {each} + k as long), {segment})")
     # rank 0: the value itself, under which the fingerprint is stored
-    around = F.explode(F.sequence(F.lit(0), F.lit(32))).alias("rank")
-    halves = F.explode(
-        F.array(F.struct(low.alias("value"), F.lit(0).alias("half")), F.struct(high.alias("value"), F.lit(1).alias("half")))
-    )
-    looked = (
-        prints.select("fingerprint", halves.alias("h"))
-        .select("fingerprint", "h.*", around)
-        .select(
-            (
-                F.expr("CASE WHEN rank = 0 THEN value ELSE value ^ shiftleft(1L, rank - 1) END")
-                + F.shiftleft(F.col("half").cast("long"), 32)
-            ).alias("value"),
-            (F.col("rank") > 0).cast("tinyint").alias("rank"),
-            "fingerprint",
-        )
+    around = segments.select("fingerprint", (value + named).alias("value"), F.explode(F.sequence(F.lit(0), F.lit(segment))).alias("rank"))
+    looked = around.select(
+        F.expr("CASE WHEN rank = 0 THEN value ELSE value ^ shiftleft(1L, rank - 1) END").alias("value"),
+        (F.col("rank") > 0).cast("tinyint").alias("rank"),
+        "fingerprint",
     )
     dealt = looked.repartition("value").sortWithinPartitions("value", "rank", "fingerprint")
     return dealt.mapInArrow(_links(bits), "a long, b long").distinct()
@@ -206,18 +206,24 @@ def components(pairs: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """Every row's ``id_col``, ``fingerprint`` (16 hexadecimal digits) and
-    ``component_id``, the smallest id among the texts that links reach."""
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("_first"))
-    found = components(links(nodes, bits), "simhash-links")
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, segment: int = 32, further: int = 0
+) -> DataFrame:
+    """Every row's ``id_col``, ``text_key`` (xxhash64 of its text),
+    ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest
+    id among the texts that links reach."""
+    if bits > 3 and not further:
+        raise ValueError("halves of one fingerprint find links of three bits; give further ones for more")
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle, further), "simhash")
+    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("_first"), F.min("words").alias("words"))
+    found = components(links(nodes, bits, segment), "simhash-links")
     rooted = (
-        nodes.join(found, F.col("fingerprint") == F.col("node"), "left")
+        nodes.select("fingerprint", "_first")
+        .join(found, F.col("fingerprint") == F.col("node"), "left")
         .select("fingerprint", "_first", F.coalesce("root", "fingerprint").alias("root"))
     )
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = materialise(rooted.join(named, "root").select("fingerprint", "component_id"), "simhash-components")
-    return prints.join(named, "fingerprint").select(
-        id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    return prints.select(id_col, "text_key", "fingerprint").join(named, "fingerprint").select(
+        id_col, "text_key", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
