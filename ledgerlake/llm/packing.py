@@ -136,6 +136,7 @@ def _placed(given, sequence):
 def pack(parts: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """``parts`` (with a ``length`` from 1 to ``sequence``) with the columns
     ``sequence_id`` and ``offset``. Lengths out of that range are an error."""
+    parts = materialise(parts, "cut")  # dealing by range reads its input twice
     others = [c for c in parts.columns if c != "length" and parts.schema[c].dataType.typeName() != "array"]
     dealt = parts.repartitionByRange("length", *others[:2]).sortWithinPartitions("length", *others)
     dealt = materialise(dealt.withColumn("_place", F.monotonically_increasing_id()), "pieces")
