@@ -51,9 +51,11 @@ BUSINESS_WORDS = (
 )
 PERSON_NAME = r"(?U)^[A-Za-z]{2,}\s+[A-Za-z]{2,}(\s+[A-Za-z]{2,})?$"
 
+# Day first; separators are made dashes before (see ``parse_date``).
+_TIME_OF_DAY = "[ H:mm[:ss]]"
 STATEMENT_DATE_FORMATS = [
-    "d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy", "d MMM yyyy", "d-MMM-yyyy",
-    "yyyy-M-d", "yyyy-M-d HH:mm:ss", "yyyy-M-d'T'HH:mm:ss", "d/M/yyyy HH:mm:ss",
+    f"{day}{_TIME_OF_DAY}"
+    for day in ("d-M-yyyy", "yyyy-M-d", "d-M-yy", "d-MMM-yyyy", "d-MMM-yy", "d-MMMM-yyyy")
 ]
 
 
@@ -78,20 +80,37 @@ def clean_amount(text: Column) -> Column:
 
 
 def parse_date(text: Column, formats: list[str] = STATEMENT_DATE_FORMATS) -> Column:
-    """First format that fits, day first by default; null if none does."""
+    """First format that fits, day first by default; null if none does.
+
+    Slashes, points, blanks and commas between the parts of a day count as
+    dashes, a ``T`` before the time as a blank. Fractions of a second and a
+    zone are dropped: the wall-clock time counts.
+    """
     trimmed = strip(text)
-    return F.coalesce(
-        *[F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    day = F.regexp_replace(
+        trimmed, r"^(\d{1,2})[-/. ]+([A-Za-z]+|\d{1,2})[-/., ]+(\d{2,4})", "$1-$2-$3"
+    )
+    day = F.regexp_replace(day, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", "$1-$2-$3")
+    plain = F.regexp_replace(day, r"(?<=\d)T(?=\d)", " ")
+    plain = F.regexp_replace(plain, r"(:\d{2})(?:[.,]\d+)?\s*(?:Z|[+-]\d{2}:?\d{2})?$", "$1")
+    return let(
+        plain,
+        lambda d: F.coalesce(
+            *[F.try_to_timestamp(d, F.lit(f)).cast("timestamp_ntz") for f in formats]
+        ),
     )
 
 
 def fingerprint(user: Column, amount: Column, receiver: Column, timestamp: Column) -> Column:
-    """SHA-256 over user, amount, receiver and day: one value per real payment."""
+    """SHA-256 over user, amount, receiver and day: one value per real payment.
+
+    A null part is an empty one, so it can't be mistaken for its neighbour.
+    """
     return F.sha2(
         F.concat_ws(
             "|",
-            user,
-            amount.cast(S.MONEY).cast("string"),
+            F.coalesce(user, F.lit("")),
+            F.coalesce(amount.cast(S.MONEY).cast("string"), F.lit("")),
             F.lower(strip(F.coalesce(receiver, F.lit("")))),
             F.coalesce(F.to_date(timestamp).cast("string"), F.lit("")),
         ),
@@ -129,7 +148,7 @@ def generic_name(text: Column) -> Column:
     """Receiver without codes, honorifics and rail words."""
     for pattern in GENERIC_CLEANUP:
         text = F.regexp_replace(text, pattern, "")
-    return F.left(squeeze(text), F.lit(S.MERCHANT_MAX_LENGTH))
+    return squeeze(text)
 
 
 def clean_merchant(receiver: Column, as_coded: bool = False) -> Column:
@@ -146,9 +165,7 @@ def clean_merchant(receiver: Column, as_coded: bool = False) -> Column:
         )
 
     def by_name(named: Column) -> Column:
-        return F.when(
-            named.isNotNull(), F.left(squeeze(named), F.lit(S.MERCHANT_MAX_LENGTH))
-        ).otherwise(generic_name(receiver))
+        return F.when(named.isNotNull(), squeeze(named)).otherwise(generic_name(receiver))
 
     return let(
         let(upi_merchant(receiver), lambda named: F.coalesce(by_rule(named), by_name(named))),

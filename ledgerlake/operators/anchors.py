@@ -151,7 +151,8 @@ def _softmax_choice(similarities: Column) -> Column:
         mass = F.aggregate(
             s, F.lit(0.0), lambda t, x: t + F.exp((x - top) * S.COLD_START_SHARPNESS)
         )
-        best = F.element_at(string_array(S.LABELS), F.array_position(s, top).cast("int"))
+        # of equal ones the first in label order, Other last
+        best = F.coalesce(*[F.when(s[S.LABELS.index(c)] == top, c) for c in S.CATEGORIES])
         return let(
             1 / mass,
             lambda c: F.struct(

@@ -41,7 +41,8 @@ def split_corrections(
 
 
 def apply_corrections(silver: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Silver with accepted corrections written in."""
+    """Silver with accepted corrections written in: the user's word, so with
+    full confidence and not as a decision of the model."""
     new = accepted.select("silver_id", "user_id", F.col("corrected_category").alias("_new"))
     corrected = F.col("_new").isNotNull()
     return (
@@ -49,6 +50,11 @@ def apply_corrections(silver: DataFrame, accepted: DataFrame) -> DataFrame:
         .withColumn("category", F.coalesce("_new", "category"))
         .withColumn("is_categorised", corrected | F.col("is_categorised"))
         .withColumn("user_corrected", corrected | F.col("user_corrected"))
+        .withColumn("confidence", F.when(corrected, F.lit(1.0)).otherwise(F.col("confidence")))
+        .withColumn(
+            "decision_source",
+            F.when(corrected, F.lit("user_correction")).otherwise(F.col("decision_source")),
+        )
         .select(*SILVER.names)
     )
 

@@ -199,17 +199,14 @@ def recurring_charges(txns: DataFrame, key: str = "merchant") -> DataFrame:
         {
             "freq_30d": F.lit(1).cast("long"),
             "_sum": value.cast("decimal(28,2)"),
-            "_squares": (value * value).cast("decimal(38,4)"),
+            "_squares": value.cast("double") * value.cast("double"),
         },
+
     )
     n = F.col("freq_30d").cast("double")
     mean = F.col("_sum").cast("double") / n
-    # n * sum of squares - square of the sum, in exact arithmetic.
-    spread = (
-        F.col("freq_30d").cast("decimal(10,0)") * F.col("_squares").cast("decimal(28,4)")
-        - F.col("_sum").cast("decimal(19,2)") * F.col("_sum").cast("decimal(19,2)")
-    )
-    std = F.sqrt(spread.cast("double")) / n
+    # Doubles can't overflow; what they round off is far below the threshold.
+    std = F.sqrt(F.greatest(F.col("_squares") / n - mean * mean, F.lit(0.0)))
     return (
         sums.where(F.col("freq_30d") >= S.SUBSCRIPTION_MIN_COUNT)
         .withColumn("amount_mean", mean)

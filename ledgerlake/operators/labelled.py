@@ -203,29 +203,21 @@ def stratified_split(
     )
 
 
-def refit_input(feedback: DataFrame, labels: list[str] = S.LABELS) -> DataFrame:
-    """The newest corrections as training rows; unknown labels are dropped
-    and a batch of fewer than ten rows is repeated three times."""
-    rows = newest_feedback(feedback, S.REFIT_FEEDBACK_ROWS).where(
-        F.col("corrected_category").isin(labels)
-    )
-    everything = Window.partitionBy()  # at most 50 rows
-    copies = F.when(
-        F.count("*").over(everything) < S.REFIT_SMALL_BATCH, F.lit(S.REFIT_REPEAT)
-    ).otherwise(1)
-    return (
-        rows.withColumn("_copies", copies)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(
-            "user_id",
-            "silver_id",
-            "copy",
-            F.coalesce(F.nullif("raw_text", F.lit("")), "merchant").alias("raw_text"),
-            F.col("corrected_category").alias("category"),
-            "amount",
-            F.col("corrected_at").alias("timestamp"),
-            F.lit(0).alias("freq_30d"),
-        )
+def refit_input(
+    feedback: DataFrame, labels: list[str] = S.LABELS, rows: int = S.REFIT_FEEDBACK_ROWS
+) -> DataFrame:
+    """The newest ``rows`` corrections over all users as training rows;
+    unknown labels are dropped. ``model.refit`` gives them their weight, the
+    same for batches of any size."""
+    newest = newest_feedback(feedback, rows).where(F.col("corrected_category").isin(labels))
+    return newest.select(
+        "user_id",
+        "silver_id",
+        F.coalesce(F.nullif("raw_text", F.lit("")), "merchant").alias("raw_text"),
+        F.col("corrected_category").alias("category"),
+        "amount",
+        F.col("corrected_at").alias("timestamp"),
+        F.lit(0).alias("freq_30d"),
     )
 
 

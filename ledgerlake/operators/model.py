@@ -21,6 +21,9 @@ from ledgerlake.operators import textfeatures as X
 from ledgerlake.operators.labelled import class_weights
 from ledgerlake.sources.shared import materialise
 
+#: How often a correction counts against a base example.
+REFIT_WEIGHT = 3
+
 # Text features first, then the metadata, then the embedding.
 
 
@@ -202,7 +205,7 @@ def train(
 
 
 def refit(
-    base: DataFrame, corrections: DataFrame, repeat: int = S.REFIT_REPEAT, **options
+    base: DataFrame, corrections: DataFrame, repeat: int = REFIT_WEIGHT, **options
 ) -> TextModel:
     """A new model on the base examples and the corrections together, the
     corrections counting ``repeat`` times. Spark's classifiers have no warm

@@ -222,6 +222,9 @@ def anchor_centroids(
     )
 
 
+MAX_ANCHORS = 1_000
+
+
 def cold_start(
     texts: DataFrame,
     anchors: DataFrame,
@@ -234,12 +237,14 @@ def cold_start(
 
     There is one anchor per label, so all anchors travel as one constant
     array inside the plan; each text is compared in a projection. The first
-    label in label order wins a tie; below the threshold the answer is
-    ``fallback`` (Other by default).
+    label in label order wins a tie, Other last; below the threshold the
+    answer is ``fallback`` (Other by default). More than ``MAX_ANCHORS``
+    labels are an error: they wouldn't fit a plan.
     """
-    pairs = anchors.groupBy().agg(
-        F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "anchor"))).alias("a")
-    )
+    if anchors.limit(MAX_ANCHORS + 1).count() > MAX_ANCHORS:
+        raise ValueError(f"more than {MAX_ANCHORS} anchors")
+    place = F.struct((F.col(label).cast("string") == "Other").alias("other"), F.col(label).alias("label"), "anchor")
+    pairs = anchors.groupBy().agg(F.array_sort(F.collect_list(place)).alias("a"))
     v = F.col(vector)
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 

@@ -37,12 +37,7 @@ MIN_DOCUMENT_FREQUENCY = 2
 PREDICT_FEEDBACK_ROWS = 1000
 REFIT_FEEDBACK_ROWS = 50
 REFIT_TRIGGER = 2
-REFIT_SMALL_BATCH = 10
-REFIT_REPEAT = 3
 PAGE_SIZE = 20
-MERCHANT_MAX_LENGTH = 60
-RECEIVER_MAX_LENGTH = 100
-RAW_TEXT_MAX_LENGTH = 200
 
 MONEY = T.DecimalType(18, 2)
 
@@ -99,13 +94,18 @@ FEEDBACK = T.StructType([
     T.StructField("corrected_at", T.TimestampNTZType()),
 ])
 
-# A message payload: parts nest at most three levels deep.
-_LEAF = [
+# A message payload: its headers, and its parts as a flat list in depth-first
+# order, however deep they nest; ``path`` says where a part stands (0, 1.0, ...).
+PAYLOAD = T.StructType([
+    T.StructField("headers", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()),
+        T.StructField("value", T.StringType()),
+    ]))),
     T.StructField("mimeType", T.StringType()),
     T.StructField("body", T.StructType([T.StructField("data", T.StringType())])),
-]
-_LEVEL3 = T.StructType(_LEAF)
-_LEVEL2 = T.StructType(_LEAF + [T.StructField("parts", T.ArrayType(_LEVEL3))])
-_LEVEL1 = T.StructType(_LEAF + [T.StructField("parts", T.ArrayType(_LEVEL2))])
-PAYLOAD = T.StructType(_LEAF + [T.StructField("parts", T.ArrayType(_LEVEL1))])
-PAYLOAD_DEPTH = 3
+    T.StructField("parts", T.ArrayType(T.StructType([
+        T.StructField("path", T.StringType()),
+        T.StructField("mimeType", T.StringType()),
+        T.StructField("data", T.StringType()),
+    ]))),
+])

@@ -24,30 +24,57 @@ FETCH_WORDS = "(?i)debited|spent|txn|transaction"
 TEXT_TYPES = ["text/plain", "text/html"]
 
 
-def _part_body(part: Column, depth: int) -> Column:
-    own = F.when(
-        part["mimeType"].isin(TEXT_TYPES) & (part["body"]["data"] != ""), part["body"]["data"]
+def _decoded(data: Column) -> Column:
+    """Invalid base64 gives null and invalid UTF-8 bytes are dropped."""
+    raw = F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64"))
+    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
+
+
+def decode_body(payload: Column) -> Column:
+    """Text of the first text part, depth first, else of the message itself."""
+    texts = F.filter(
+        payload["parts"], lambda p: p["mimeType"].isin(TEXT_TYPES) & (p["data"] != "")
     )
-    if depth == 1:
-        return own
-    return F.coalesce(own, _first_body(part["parts"], depth - 1))
+    first = F.try_element_at(F.transform(texts, lambda p: p["data"]), F.lit(1))
+    data = F.when(payload["parts"].isNotNull(), first).otherwise(payload["body"]["data"])
+    return _decoded(data)
 
 
-def _first_body(parts: Column, depth: int) -> Column:
-    bodies = F.array_compact(F.transform(parts, lambda p: _part_body(p, depth)))
-    return F.try_element_at(bodies, F.lit(1))
+def header(payload: Column, name: str) -> Column:
+    """Value of the first header of that name, in any case."""
+    named = F.filter(payload["headers"], lambda h: F.lower(h["name"]) == name.lower())
+    return F.try_element_at(F.transform(named, lambda h: h["value"]), F.lit(1))
 
 
-def decode_body(payload: Column, depth: int = S.PAYLOAD_DEPTH) -> Column:
-    """Text of the first text part, depth first, else of the message itself.
+def message_date(text: Column) -> Column:
+    """UTC time of a mail date such as ``Tue, 2 Jan 2024 10:11:12 +0530 (IST)``.
 
-    Invalid base64 gives null and invalid UTF-8 bytes are dropped.
+    The weekday, a zone's name in brackets and the seconds may be missing; a
+    zone that is missing or a name counts as UTC.
     """
-    data = F.when(payload["parts"].isNotNull(), _first_body(payload["parts"], depth)).otherwise(
-        payload["body"]["data"]
+    bare = F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*|\s*\([^)]*\)\s*$", "")
+    parts = r"^(\d{1,2}\s+[A-Za-z]{3}\s+\d{4}\s+\d{1,2}:\d{2}(?::\d{2})?)\s*([+-]\d{4})?"
+    clock = F.try_to_timestamp(
+        F.regexp_replace(F.regexp_extract(bare, parts, 1), r"\s+", " "), F.lit("d MMM yyyy H:mm[:ss]")
+    ).cast("timestamp_ntz")
+    zone = F.regexp_extract(bare, parts, 2)
+    minutes = (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")) * F.when(
+        F.startswith(zone, F.lit("-")), 1
+    ).otherwise(-1)
+    return clock + F.make_dt_interval(mins=F.coalesce(minutes, F.lit(0)))
+
+
+def read_messages(landed: DataFrame) -> DataFrame:
+    """Landed payloads (message_id, user_id, payload) as messages: sender,
+    subject, sent_at from the Date header, and body."""
+    payload = F.col("payload")
+    return landed.select(
+        *[c for c in landed.columns if c != "payload"],
+        header(payload, "From").alias("sender"),
+        header(payload, "Subject").alias("subject"),
+        message_date(header(payload, "Date")).alias("sent_at"),
+        decode_body(payload).alias("body"),
     )
-    raw = F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64"))
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
 
 
 def parse_alerts(messages: DataFrame, as_of: Column) -> DataFrame:
@@ -56,6 +83,9 @@ def parse_alerts(messages: DataFrame, as_of: Column) -> DataFrame:
     ``messages``: message_id, user_id, sent_at, body. A message without a
     debit word, an amount or a positive amount yields nothing; ``as_of``
     replaces a missing date. Other columns pass through.
+
+    What is read from the body is read once, behind a generator: a plain
+    filter on it would be computed again below the projection.
     """
     body = F.col("body")
     amount = let(
@@ -70,30 +100,43 @@ def parse_alerts(messages: DataFrame, as_of: Column) -> DataFrame:
             found != "", strip(F.regexp_extract(found, RECEIVER, 1))
         ).otherwise("UNKNOWN"),
     )
-    return (
-        messages.where(F.rlike(body, F.lit(DEBIT_WORD)))
-        .withColumn("_amount", amount)
-        .withColumn("amount", F.replace("_amount", F.lit(","), F.lit("")).try_cast(S.MONEY))
-        .where(F.col("amount") > 0)
-        .withColumn("receiver", F.left(receiver, F.lit(S.RECEIVER_MAX_LENGTH)))
-        .withColumn("transaction_type", F.lit("debit"))
-        .withColumn("timestamp", F.coalesce("sent_at", as_of))
-        .withColumn("source", F.lit("gmail"))
-        .withColumn("raw_text", F.left(body, F.lit(S.RAW_TEXT_MAX_LENGTH)))
-        .drop("_amount", "body", "sent_at", "sender")
+    number = let(amount, lambda a: F.replace(a, F.lit(","), F.lit("")).try_cast(S.MONEY))
+    read = F.when(
+        F.rlike(body, F.lit(DEBIT_WORD)),
+        F.filter(F.array(F.struct(number.alias("amount"), receiver.alias("receiver"))), lambda r: r["amount"] > 0),
+    )
+    kept = [c for c in messages.columns if c not in ("body", "sent_at", "sender", "subject")]
+    return messages.select(
+        *kept, F.inline(read), "sent_at", F.col("body").alias("raw_text")
+    ).select(
+        *kept,
+        "amount",
+        "receiver",
+        F.lit("debit").alias("transaction_type"),
+        F.coalesce("sent_at", as_of).alias("timestamp"),
+        F.lit("gmail").alias("source"),
+        "raw_text",
     )
 
 
-def select_new_messages(messages: DataFrame, marks: DataFrame, as_of: Column) -> DataFrame:
+def select_new_messages(
+    messages: DataFrame, marks: DataFrame, as_of: Column, source: str = "gmail"
+) -> DataFrame:
     """Bank debit messages dated on or after the user's last fetched day.
 
-    A user without a mark starts at the first day of the ``as_of`` month.
-    ``marks`` has one row per user, so the join adds no rows; a hot user's
+    The words may stand in the body or, where there is one, in the subject.
+    A user without a mark of this source starts at the first day of the
+    ``as_of`` month. ``marks`` has one row per user and source (as
+    ``advance_marks`` gives it), so the join adds no rows; a hot user's
     messages are split by the adaptive skew join.
     """
+    words = F.col("body")
+    if "subject" in messages.columns:
+        words = F.concat_ws("\n", "subject", "body")
     wanted = messages.where(
-        F.rlike("sender", F.lit(BANK_SENDERS)) & F.rlike("body", F.lit(FETCH_WORDS))
+        F.rlike("sender", F.lit(BANK_SENDERS)) & F.rlike(words, F.lit(FETCH_WORDS))
     )
+    marks = marks.where(F.col("source") == source)
     since = F.coalesce(F.to_date("last_fetched"), F.trunc(as_of, "month"))
     return (
         wanted.join(marks.select("user_id", "last_fetched"), "user_id", "left")

@@ -3,6 +3,7 @@
 import posixpath
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +27,14 @@ def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 def upsert(
     target: DataFrame, updates: DataFrame, keys: list[str], order: list[str] | None = None
 ) -> DataFrame:
-    """``target`` with ``updates`` applied: the update with the highest
-    ``order`` wins over the row stored under the same key."""
+    """``target`` with ``updates`` applied: of each key the row with the
+    highest ``order`` stays, stored or new; an update wins a tie."""
     columns = target.columns
     order = order or []
     tagged = target.withColumn("_new", F.lit(0)).unionByName(
         updates.select(*columns).withColumn("_new", F.lit(1))
     )
-    ranked = [F.col("_new")] + [F.col(c) for c in order]
+    ranked = [F.col(c) for c in order] + [F.col("_new")]
     return latest_by_key(tagged, keys, ranked).select(*columns)
 
 
@@ -46,10 +47,12 @@ def write_append(df: DataFrame, path: str, partition_by: list[str] | None = None
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path``, or an empty one while nothing has been written."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: str) -> None:
@@ -72,6 +75,20 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: str) -> None:
     )
 
 
+def replace_partitions(
+    df: DataFrame, path: str, partition_by: str, touched: list
+) -> None:
+    """Make the ``touched`` partitions hold exactly the rows of ``df``; those
+    without a row are emptied. ``touched``: partition values, a bounded list
+    such as the months of a batch."""
+    overwrite_partitions(df, path, partition_by)
+    left = {r[0] for r in df.select(partition_by).distinct().collect()}
+    nothing = df.drop(partition_by).limit(0)
+    for value in touched:
+        if value not in left:
+            nothing.write.mode("overwrite").parquet(posixpath.join(path, f"{partition_by}={value}"))
+
+
 def write_upsert(
     updates: DataFrame,
     path: str,

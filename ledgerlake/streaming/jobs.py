@@ -17,7 +17,7 @@ from ledgerlake.operators.bronze import to_bronze, with_fingerprint
 from ledgerlake.operators.feedback import apply_corrections, feedback_rows, split_corrections
 from ledgerlake.operators.gold import monthly_summary
 from ledgerlake.operators.silver import project_silver
-from ledgerlake.sources.sinks import upsert
+from ledgerlake.sources.sinks import read_or_empty, upsert
 
 
 def stream_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
@@ -63,12 +63,8 @@ def _write_batch(df: DataFrame, path: str, batch: int) -> None:
 
 def _read_before(spark: SparkSession, path: str, schema, batch: int) -> DataFrame:
     """Rows written by earlier batches; pruned to their folders."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema_ddl(schema)}, batch int").parquet(path).where(
-        F.col("batch") < batch
-    ).drop("batch")
+    stored = read_or_empty(spark, path, f"{schema_ddl(schema)}, batch int")
+    return stored.where(F.col("batch") < batch).drop("batch")
 
 
 def schema_ddl(schema) -> str:

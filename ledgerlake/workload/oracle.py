@@ -3,7 +3,9 @@
 import re
 
 from ledgerlake import schema as S
+from ledgerlake.functions import text
 from ledgerlake.functions.rules import rule_table
+from ledgerlake.sources import alerts
 from ledgerlake.workload import views as V
 
 
@@ -27,14 +29,14 @@ def _rules(column: str, as_coded: bool = False) -> str:
     return f"CASE {branches} END"
 
 
-_NOISE = (
-    r"(?i)\b(pvt|ltd|pte|inc|llp|llc|private|limited|"
-    r"payment|online|india|tech|services|w|g|rzp|upi)\b"
-)
-_BUSINESS = (
-    r"(?i)\b(store|shop|mart|foods|kitchen|cafe|pvt|ltd|solutions|services|"
-    r"enterprises|technologies|consultancy|agency|studio|lab|clinic|hospital|"
-    r"pharmacy|pay|payments|bank|finance|credit|capital|ventures)\b"
+# The marked patterns; this engine has no flag for Unicode classes.
+_NOISE = text.NOISE_WORDS.replace("(?iU)", "(?i)")
+_BUSINESS = text.BUSINESS_WORDS.replace("(?iU)", "(?i)")
+
+_GATEWAY = text.GATEWAY_PREFIX.replace("(?iU)", "(?i)")
+_LONG_NUMBER = text.LONG_NUMBER.replace("(?U)", "")
+_CURRENCY_FIRST, _VERB_FIRST, _RECEIVER = (
+    p.replace("(?id)", "(?i)") for p in (alerts.CURRENCY_FIRST, alerts.VERB_FIRST, alerts.RECEIVER)
 )
 
 _LABELS = _list(S.LABELS)
@@ -71,15 +73,15 @@ CTES = {
                  trim(regexp_replace(receiver, '(?i)^vpa\s*', '')), '\S+@\S+\s*', '', 'g')) AS x
               FROM (SELECT DISTINCT receiver FROM pay))""",
     "generic": r"""
-        SELECT receiver, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        SELECT receiver, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
                  regexp_replace(regexp_replace(receiver, '(?i)^[a-z0-9]{6,}\s+', ''),
                    '(?i)\b(Mr|Mrs|Miss|Dr|Shri)\b\.?\s*', '', 'g'),
                  '[/@]\S+', '', 'g'), '\d{6,}', '', 'g'),
-                 '(?i)\b(UPI|NEFT|IMPS|RTGS|VPA)\b', '', 'g'), '\s+', ' ', 'g')), 60) AS plain
+                 '(?i)\b(UPI|NEFT|IMPS|RTGS|VPA)\b', '', 'g'), '\s+', ' ', 'g')) AS plain
         FROM named""",
     "merchants": f"""
         SELECT receiver, coalesce({_rules('coalesce(name, receiver)')},
-                 left(trim(regexp_replace(name, '\\s+', ' ', 'g')), 60),
+                 trim(regexp_replace(name, '\\s+', ' ', 'g')),
                  nullif(plain, ''), 'Unknown') AS merchant
         FROM named JOIN generic USING (receiver)""",
     "silver": """
@@ -89,8 +91,8 @@ CTES = {
     "prepared": rf"""
         SELECT receiver, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
                  regexp_replace(CASE WHEN length(after) >= 3 THEN after ELSE bare END,
-                   '(?i)\b(paytmqr|gpay-|paytm\.)[a-zA-Z0-9-]+\b', ' ', 'g'),
-                 '[/@.]', ' ', 'g'), '\b\d{{4,}}\b', ' ', 'g'),
+                   '{_GATEWAY}', ' ', 'g'),
+                 '{text.SEPARATORS}', ' ', 'g'), '{_LONG_NUMBER}', ' ', 'g'),
                  '{_NOISE}', ' ', 'g'), '\s+', ' ', 'g'))) AS prepared
         FROM (SELECT *, trim(regexp_replace(bare, '\S+@\S+\s*', '', 'g')) AS after
               FROM (SELECT DISTINCT receiver,
@@ -102,7 +104,7 @@ CTES = {
         FROM (SELECT DISTINCT receiver, trim(regexp_replace(receiver, '\S+@\S+\s*', '', 'g')) AS x
               FROM pay)""",
     "feedback": f"""
-        SELECT user_id, event_id % 5000 AS silver_id, merchant, receiver AS raw_text,
+        SELECT user_id, event_id * 2 AS silver_id, merchant, receiver AS raw_text,
                {_pick(S.CATEGORIES, 'k + CAST(user_id AS INT)')} AS corrected_category,
                amount, ts AS corrected_at
         FROM pay JOIN merchants USING (receiver) WHERE event_type IN ('click', 'view')""",
@@ -194,7 +196,7 @@ CTES = {
     "statement": """
         SELECT line_id, user_id, CAST(replace(w, ',', '') AS DOUBLE) AS amount,
                coalesce(n, '') AS raw_text, try_strptime(d, '%d/%m/%Y') AS "timestamp",
-               coalesce(left(n, 100), 'UNKNOWN') AS receiver, 'debit' AS transaction_type,
+               coalesce(n, 'UNKNOWN') AS receiver, 'debit' AS transaction_type,
                'file' AS source
         FROM lines WHERE w IS NOT NULL AND try_strptime(d, '%d/%m/%Y') IS NOT NULL
           AND CAST(replace(w, ',', '') AS DOUBLE) > 0""",
@@ -208,23 +210,24 @@ CTES = {
                     ELSE 'Rs. ' || amount || ' debited from a/c' || dest END AS body
         FROM (SELECT *, ' to ' || receiver || ' on ' || strftime(ts, '%d-%m-%Y') AS dest
               FROM pay)""",
-    "mail": r"""
+    "mail": rf"""
         SELECT message_id, user_id, CAST(replace(a, ',', '') AS DOUBLE) AS amount,
-               CASE WHEN regexp_matches(body, '(?i)to\s+(.*?)\s+on')
-                    THEN left(trim(regexp_extract(body, '(?i)to\s+(.*?)\s+on', 1)), 100)
+               CASE WHEN regexp_matches(body, '{_RECEIVER}')
+                    THEN trim(regexp_extract(body, '{_RECEIVER}', 1))
                     ELSE 'UNKNOWN' END AS receiver,
                'debit' AS transaction_type, sent_at AS "timestamp", 'gmail' AS source,
-               left(body, 200) AS raw_text
+               body AS raw_text
         FROM (SELECT *, coalesce(
                 nullif(regexp_extract(body,
-                  '(?i)(?:rs\.?|inr|₹)\s?([\d,]+\.?\d{0,2}).*?(?:debited|spent|paid)', 1), ''),
+                  '{_CURRENCY_FIRST}', 1), ''),
                 nullif(regexp_extract(body,
-                  '(?i)(?:debited|spent|paid).*?(?:rs\.?|inr|₹)\s?([\d,]+\.?\d{0,2})', 1), '')) AS a
-              FROM messages WHERE regexp_matches(body, '(?i)debited|spent|paid'))
+                  '{_VERB_FIRST}', 1), '')) AS a
+              FROM messages WHERE regexp_matches(body, '{alerts.DEBIT_WORD}'))
         WHERE a IS NOT NULL AND CAST(replace(a, ',', '') AS DOUBLE) > 0""",
     "marks": """
-        SELECT user_id, min(ts) AS last_fetched, 'gmail' AS source
-        FROM pay WHERE event_type = 'signup' GROUP BY user_id""",
+        SELECT user_id, last_fetched, unnest(['gmail', 'file']) AS source
+        FROM (SELECT user_id, min(ts) AS last_fetched
+              FROM pay WHERE event_type = 'signup' GROUP BY user_id)""",
     "labelled": f"""
         SELECT event_id AS example_id, receiver AS raw_text, user_id, amount, ts,
                {_pick(S.CATEGORIES, f'k % {len(V.RECEIVERS)}')} AS category FROM pay""",
@@ -323,7 +326,7 @@ def _query(sql: str) -> str:
     _needed(sql, seen)
     if not seen:
         return sql.strip()
-    tables = ",\n".join(f"{name} AS ({CTES[name]})" for name in seen)
+    tables = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in seen)
     return f"WITH {tables}\n{sql.strip()}"
 
 
@@ -362,9 +365,15 @@ _SQL = {
     "alert_extract": "SELECT * FROM mail",
     "alert_body": "SELECT message_id, body FROM messages",
     "incremental_fetch": f"""
-        SELECT message_id, user_id, sender, sent_at FROM messages LEFT JOIN marks USING (user_id)
-        WHERE regexp_matches(sender, '(?i)hdfc|icici|sbi|axis|kotak|yesbank')
-          AND regexp_matches(body, '(?i)debited|spent|txn|transaction')
+        WITH advanced AS (
+          SELECT user_id, max(t) AS last_fetched
+          FROM (SELECT user_id, last_fetched AS t FROM marks WHERE source = 'gmail'
+                UNION ALL SELECT user_id, ts FROM txn_raw
+                WHERE source = 'gmail' AND ts < TIMESTAMP '{V.PREVIOUS_RUN}' AND user_id NOT LIKE '%7')
+          GROUP BY user_id)
+        SELECT message_id, user_id, sender, sent_at FROM messages LEFT JOIN advanced USING (user_id)
+        WHERE regexp_matches(sender, '{alerts.BANK_SENDERS}')
+          AND regexp_matches(body, '{alerts.FETCH_WORDS}')
           AND CAST(sent_at AS DATE) >= coalesce(CAST(last_fetched AS DATE),
                 CAST(date_trunc('month', TIMESTAMP '{V.AS_OF}') AS DATE))""",
     "high_water_mark": """
@@ -379,16 +388,36 @@ _SQL = {
               UNION ALL SELECT source, user_id, amount FROM statement)
         GROUP BY source, user_id""",
     "feedback_upsert": """
-        SELECT user_id, silver_id, merchant, raw_text, corrected_category,
-               CAST(amount AS DOUBLE) AS amount, corrected_at FROM feedback
-        QUALIFY row_number() OVER (PARTITION BY user_id, silver_id
-                                   ORDER BY corrected_at DESC) = 1""",
+        SELECT user_id, silver_id, merchant, raw_text,
+               CASE WHEN silver_id % 3 = 1 THEN 'Health'
+                    WHEN silver_id % 15 = 0 THEN 'Other' ELSE corrected_category END
+                 AS corrected_category,
+               CAST(amount AS DOUBLE) AS amount,
+               CASE WHEN silver_id % 3 = 1 THEN corrected_at + INTERVAL 1 DAY
+                    WHEN silver_id % 15 = 0 THEN corrected_at - INTERVAL 1 DAY
+                    ELSE corrected_at END AS corrected_at
+        FROM feedback WHERE silver_id % 5 <> 0 OR silver_id % 3 <> 2""",
     "gold_upsert": """
         SELECT user_id, month, category, CAST(total_amount AS DOUBLE) AS total_amount,
                txn_count + CASE WHEN month >= DATE '1998-01-01' THEN 1 ELSE 0 END AS txn_count
         FROM orders_gold""",
     "clean_amount": "SELECT line_id, CAST(replace(w, ',', '') AS DOUBLE) AS amount FROM lines",
-    "parse_date": "SELECT line_id, try_strptime(d, '%d/%m/%Y') AS parsed FROM lines",
+    "parse_date": """
+        SELECT o_orderkey AS line_id, CASE WHEN o_orderkey % 11 <> 0
+               THEN CAST(o_orderdate + INTERVAL 10 YEARS AS TIMESTAMP) END AS parsed FROM orders""",
+    "statement_files": """
+        SELECT line_id, CAST(CAST(user_id AS INT) % 10 AS VARCHAR) AS user_id, amount, receiver,
+               "timestamp" FROM statement""",
+    "statement_rejects": """
+        SELECT line_id, CASE WHEN w IS NULL THEN 'no_amount' ELSE 'no_date' END AS reason
+        FROM lines WHERE w IS NULL OR d = 'n/a'""",
+    "message_ingest": """
+        SELECT message_id, user_id, amount, receiver, transaction_type,
+               date_trunc('second', "timestamp") AS "timestamp", source, raw_text FROM mail""",
+    "gold_store": """
+        SELECT user_id, month, category, CAST(total_amount AS DOUBLE) AS total_amount, txn_count
+        FROM orders_gold
+        WHERE month <> DATE '1999-06-01' AND (year(month) <> 1998 OR CAST(user_id AS INT) % 2 = 0)""",
     "fingerprint": "SELECT raw_id, fingerprint FROM printed",
     "upi_merchant": "SELECT event_id, name FROM pay JOIN named USING (receiver)",
     "clean_merchant": "SELECT raw_id, merchant FROM txn_raw JOIN merchants USING (receiver)",
@@ -560,7 +589,8 @@ _SQL = {
         SELECT event_id, coalesce(h.category, c.category) AS category,
                round(CASE WHEN h.category IS NULL THEN confidence
                           ELSE least(confidence + 0.15, 0.99) END, 6) AS confidence
-        FROM scored JOIN cold_decided c ON vec_id = txn_id JOIN pay ON event_id = txn_id
+        FROM scored JOIN cold_decided c ON vec_id = txn_id % (SELECT count(*) FROM embeddings)
+        JOIN pay ON event_id = txn_id
         LEFT JOIN (SELECT * FROM weighted
                    QUALIFY row_number() OVER (PARTITION BY {_KEYS}
                      ORDER BY weight DESC, category) = 1) h
@@ -686,9 +716,8 @@ _SQL = {
           ON i = CAST(floor(n * quantile) AS BIGINT)""",
     "refit_input": f"""
         WITH newest AS ({{newest}})
-        SELECT user_id, silver_id, CAST(copy AS INT) AS copy, raw_text, category
-        FROM (SELECT *, unnest(CASE WHEN count(*) OVER () < 10 THEN [1, 2, 3] ELSE [1] END) AS copy
-              FROM newest WHERE category IN ({_list(S.LABELS)[1:-1]}))""",
+        SELECT user_id, silver_id, raw_text, category
+        FROM newest WHERE category IN ({_list(S.LABELS)[1:-1]})""",
     "model_status": """
         SELECT model, max(version) AS version, max(trained_at) AS trained_at,
                max(updated_at) AS updated_at, CAST(sum(samples) AS BIGINT) AS samples_applied

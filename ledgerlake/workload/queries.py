@@ -1,5 +1,7 @@
 """One query per operator, each over the whole of the given tables."""
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,26 @@ def statement_normalise(spark: Spark, d: str) -> DataFrame:
     return money(rows, "amount")
 
 
+def statement_files(spark: Spark, d: str) -> DataFrame:
+    """Statement files of two layouts, written and read back."""
+    path = new_folder(spark, "statement-files")
+    V.write_statement_files(spark, d, path)
+    rows = statements.normalise_files(spark, path)
+    return money(
+        rows.select(F.col("line_id").cast("long").alias("line_id"), "user_id", "amount", "receiver", "timestamp"), "amount"
+    )
+
+
+def statement_rejects(spark: Spark, d: str) -> DataFrame:
+    return statements.statement_rejects(V.statements(spark, d)).select("line_id", "reason")
+
+
+def message_ingest(spark: Spark, d: str) -> DataFrame:
+    """From landed payloads to raw transactions."""
+    read = alerts.read_messages(V.with_payload(V.messages(spark, d)))
+    return money(alerts.parse_alerts(read, V.as_of()), "amount")
+
+
 def alert_extract(spark: Spark, d: str) -> DataFrame:
     return money(alerts.parse_alerts(V.messages(spark, d), V.as_of()), "amount")
 
@@ -57,7 +79,10 @@ def alert_body(spark: Spark, d: str) -> DataFrame:
 
 
 def incremental_fetch(spark: Spark, d: str) -> DataFrame:
-    fresh = alerts.select_new_messages(V.messages(spark, d), V.marks(spark, d), V.as_of())
+    """What came since the marks as an earlier run advanced them."""
+    landed = V.txn_raw(spark, d).where(F.col("timestamp") < F.lit(V.PREVIOUS_RUN).cast("timestamp_ntz"))
+    marks = alerts.advance_marks(V.marks(spark, d), landed.where("user_id not like '%7'"))
+    fresh = alerts.select_new_messages(V.messages(spark, d), marks, V.as_of())
     return fresh.select("message_id", "user_id", "sender", "sent_at")
 
 
@@ -75,12 +100,14 @@ def raw_union(spark: Spark, d: str) -> DataFrame:
 
 
 def feedback_upsert(spark: Spark, d: str) -> DataFrame:
+    """Updates older and newer than what is stored, and new keys."""
     rows = V.feedback(spark, d)
-    cut = F.lit(V.PREVIOUS_RUN).cast("timestamp_ntz")
-    stored = feedback.upsert_feedback(
-        rows.limit(0), rows.where(F.col("corrected_at") < cut)
-    )
-    merged = feedback.upsert_feedback(stored, rows.where(F.col("corrected_at") >= cut))
+    stored = rows.where("silver_id % 5 <> 0")
+    older = rows.where("silver_id % 3 = 0").withColumn("corrected_category", F.lit("Other"))
+    older = older.withColumn("corrected_at", F.col("corrected_at") - F.expr("interval 1 day"))
+    newer = rows.where("silver_id % 3 = 1").withColumn("corrected_category", F.lit("Health"))
+    newer = newer.withColumn("corrected_at", F.col("corrected_at") + F.expr("interval 1 day"))
+    merged = feedback.upsert_feedback(stored, older.unionByName(newer))
     return money(merged.drop("original_category"), "amount")
 
 
@@ -92,6 +119,19 @@ def gold_upsert(spark: Spark, d: str) -> DataFrame:
     return money(sinks.upsert(rows, updates, gold.GOLD_KEYS), "total_amount")
 
 
+def gold_store(spark: Spark, d: str) -> DataFrame:
+    """Stored summaries: upserted, then some months replaced, one by nothing."""
+    path = new_folder(spark, "gold")
+    rows = _long_gold(spark, d)
+    sinks.write_upsert(rows.where("user_id not like '%3'"), path, gold.GOLD_KEYS, "month")
+    sinks.write_upsert(rows.where("user_id like '%3' or month < date'1996-01-01'"), path, gold.GOLD_KEYS, "month")
+    touched = [datetime.date(1998, m, 1) for m in range(1, 13)] + [datetime.date(1999, 6, 1)]
+    sinks.replace_partitions(
+        rows.where("year(month) = 1998 and cast(user_id as int) % 2 = 0"), path, "month", touched
+    )
+    return money(spark.read.schema(rows.schema).parquet(path), "total_amount")
+
+
 # Columns -------------------------------------------------------------------
 
 def clean_amount(spark: Spark, d: str) -> DataFrame:
@@ -101,8 +141,8 @@ def clean_amount(spark: Spark, d: str) -> DataFrame:
 
 
 def parse_date(spark: Spark, d: str) -> DataFrame:
-    rows = V.statements(spark, d)
-    return rows.select("line_id", text.parse_date(F.col("` Txn Date `")).alias("parsed"))
+    rows = V.dated_lines(spark, d)
+    return rows.select("line_id", text.parse_date(F.col("written")).alias("parsed"))
 
 
 def fingerprint(spark: Spark, d: str) -> DataFrame:
@@ -442,9 +482,11 @@ def cold_start(spark: Spark, d: str) -> DataFrame:
 
 
 def cold_start_history(spark: Spark, d: str) -> DataFrame:
-    """Payments whose number has an embedding, decided without a classifier."""
+    """All payments, each with the embedding of its number, decided without a
+    classifier."""
+    vectors = V.table(spark, d, "embeddings").count()
     rows = text.with_merchant(V.payments(spark, d)).join(
-        _cold(spark, d), F.col("event_id") == F.col("vec_id")
+        _cold(spark, d), F.col("event_id") % vectors == F.col("vec_id")
     )
     profile = history.history_profile(V.feedback(spark, d))
     done = scoring.cold_start_with_history(
@@ -552,7 +594,7 @@ def augment(spark: Spark, d: str) -> DataFrame:
 
 
 def labelled_set(spark: Spark, d: str) -> DataFrame:
-    rows = labelled.generate_examples(V.cases(spark, d), samples=5)
+    rows = labelled.generate_examples(V.cases(spark, d), samples=40)
     return money(rows, "amount")
 
 
@@ -593,14 +635,14 @@ def percentiles(spark: Spark, d: str) -> DataFrame:
 # Models --------------------------------------------------------------------
 
 def train_model(spark: Spark, d: str) -> DataFrame:
-    fitted = model.train(V.labelled(spark, d), max_iter=5)
+    fitted = model.train(V.labelled(spark, d))
     rows = fitted.vocabulary.join(fitted.coefficients, "idx")
     return rows.select("idx", "analyser", "term", F.size("w").alias("labels"))
 
 
 def predict_proba(spark: Spark, d: str) -> DataFrame:
     examples = V.labelled(spark, d)
-    fitted = model.train(examples, max_iter=5)
+    fitted = model.train(examples)
     scored = model.predict_proba(examples, fitted, key="example_id")
     return scoring.explode_probabilities(scored, "example_id").select(
         "example_id", "category", num("p")
@@ -609,12 +651,12 @@ def predict_proba(spark: Spark, d: str) -> DataFrame:
 
 def refit_input(spark: Spark, d: str) -> DataFrame:
     rows = labelled.refit_input(V.feedback(spark, d))
-    return rows.select("user_id", "silver_id", "copy", "raw_text", "category")
+    return rows.select("user_id", "silver_id", "raw_text", "category")
 
 
 def refit(spark: Spark, d: str) -> DataFrame:
     corrections = labelled.refit_input(V.feedback(spark, d))
-    fitted = model.refit(V.labelled(spark, d), corrections, max_iter=5)
+    fitted = model.refit(V.labelled(spark, d), corrections)
     scored = model.predict_proba(V.labelled(spark, d), fitted, key="example_id")
     return scoring.top_k(scored, "example_id", 1)
 
@@ -710,6 +752,9 @@ def spend_by_merchant(spark: Spark, d: str) -> DataFrame:
 QUERIES = {
     "spend_by_merchant": spend_by_merchant,
     "statement_normalise": statement_normalise,
+    "statement_files": statement_files,
+    "statement_rejects": statement_rejects,
+    "message_ingest": message_ingest,
     "alert_extract": alert_extract,
     "alert_body": alert_body,
     "incremental_fetch": incremental_fetch,
@@ -717,6 +762,7 @@ QUERIES = {
     "raw_union": raw_union,
     "feedback_upsert": feedback_upsert,
     "gold_upsert": gold_upsert,
+    "gold_store": gold_store,
     "clean_amount": clean_amount,
     "parse_date": parse_date,
     "fingerprint": fingerprint,

@@ -17,43 +17,48 @@ from ledgerlake.operators.silver import project_silver, scoring_input, write_bac
 from ledgerlake.plans.daily import with_frequency
 from ledgerlake.sources.shared import materialise
 
+# Invented receivers, one for each shape of text and each collision of rules.
 RECEIVERS = [
-    "VPA swiggy.stores@axb Swiggy Limited",
-    "VPA zomato@hdfcbank Zomato",
-    "VPA paytmqr5hq@ptys GLOBAL MEDICAL AND G",
-    "VPA gpay-11256438@okbizaxis Food Corner",
-    "VPA ss20027kgn@okicici Mr Rohan Iqbal Das",
-    "VPA 8368500000@pthdfc MEERA SAXENA",
-    "VPA bharatpe.9y0r@fbpe TARUN SK",
-    "VPA swiggy@ybl",
-    "VPA Anita Desai ANITA DESAI",
-    "VPA x@y Acme Traders",
-    "netflix@icici",
-    "Ravi Stores",
-    "Amazon Prime Video",
-    "Cupid Gifts",
-    "coin.zerodha fund",
-    "Ola Cabs Koramangala",
-    "Tata 1mg Labs",
-    "CRED Club Bill",
-    "FreshMenu Kitchen",
-    "Water Board Office",
-    "MobiKwik Wallet",
-    "PrimeVideo Monthly",
-    "UPI/423199887766/Lotus Tea Stall",
-    "NEFT Kiran Books 123456789",
-    "mukh337arun Rohit Prakash Das",
-    "Dr. Asha Menon",
-    "Miss Lata Rao /ref88",
-    "IMPS 998877665544",
-    "indian railway uts",
-    "adani electric supply",
-    "gas supply co",
-    "Sunrise Payments Bank",
-    "Uber Trip 4421",
-    "bsnl bill 2210",
-    "Green Leaf Nursery Pvt Ltd",
-    "VPA lic@paytm LIC Premium B",
+    "VPA dinner-swiggy@qbk SWIGGY SUPPER CLUB",
+    "VPA zomato.gold7@rbank Zomato Gold Table",
+    "VPA paytmqr7zx9@pbank SILVER OAK DISPENSARY",
+    "VPA gpay-55501234@gbank Hilltop Noodle Bar",
+    "VPA kx81qrt@nbank Mr Test Person One",
+    "VPA 7000000001@tbank SAMPLE PERSON",
+    "VPA bharatpe.0a1b@cbank VARIABLE QZ",
+    "VPA swiggy@qq",
+    "VPA Nimbus Example NIMBUS EXAMPLE",
+    "VPA a@b Orbit Hardware",
+    "netflix@qbk",
+    "Kivi Umbrellas",
+    "Amazon Prime Annual",
+    "Cupid Flowers",
+    "coin.zerodha deposit",
+    "Ola Auto Riverside",
+    "Tata 1mg Refill",
+    "CRED Rent Bill",
+    "FreshMenu Supper",
+    "Water Board Counter",
+    "MobiKwik Topup",
+    "PrimeVideo Rental",
+    "UPI/100200300400/Saffron Tea House",
+    "NEFT Quill Books 555000111",
+    "zx12qv9 Second Sample Person",
+    "Dr. Third Sample",
+    "Miss Fourth Sample /ref07",
+    "IMPS 111122223333",
+    "indian railway platform",
+    "adani electric bill",
+    "gas supply depot",
+    "Moonlight Payments Bank",
+    "Uber Ride 9081",
+    "bsnl broadband 1180",
+    "Blue Fern Nursery Pvt Ltd",
+    "VPA lic@qbk LIC Policy C",
+    "Association of Northern Lighthouse Keepers and Friends of the Old Harbour Museum, Section for "
+    "Repairs of Lamps and Lenses, Branch A",
+    "Association of Northern Lighthouse Keepers and Friends of the Old Harbour Museum, Section for "
+    "Repairs of Lamps and Lenses, Branch B",
 ]
 SENDERS = [
     "alerts@hdfcbank.net", "noreply@icicibank.com", "donotreply@sbi.co.in",
@@ -185,6 +190,34 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DATE_SHAPES = [
+    "dd/MM/yyyy", "dd-MMM-yy", "yyyy/MM/dd", "dd.MM.yyyy", "d MMMM yyyy", "dd/MM/yyyy HH:mm",
+    "dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "d MMM, yyyy", "yyyy-MM-dd'T'HH:mm:ss.SSS'+05:30'",
+]
+
+
+def dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of this century in many shapes, some unreadable."""
+    number, day = F.col("raw_id"), F.col("timestamp") + F.expr("interval 10 years")
+    shapes = [F.date_format(day, shape) for shape in DATE_SHAPES]
+    shape = F.element_at(F.array(*shapes), (number % len(shapes) + 1).cast("int"))
+    return txn_long(spark, sf_dir).select(
+        number.alias("line_id"), F.when(number % 11 == 0, "n/a").otherwise(shape).alias("written")
+    )
+
+
+def write_statement_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Statement lines as CSV files of two layouts, in one folder per owner."""
+    lines = statements(spark, sf_dir).withColumn("user_id", (F.col("user_id").cast("int") % 10).cast("string"))
+    writer = lambda df: df.write.mode("append").option("header", True).partitionBy("user_id")
+    writer(lines.where("line_id % 2 = 0")).csv(path)
+    other = lines.where("line_id % 2 = 1").select(
+        F.col("`Withdrawal Amt.`").alias("Debit"), F.col("Narration").alias("Description"),
+        F.col("` Txn Date `").alias("Date"), "line_id", "user_id",
+    )
+    writer(other).csv(path)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments as alert messages in several wordings."""
     n = F.col("event_id")
@@ -210,47 +243,48 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_payload(msgs: DataFrame) -> DataFrame:
-    """Messages as nested payloads: the body at one of three depths, or bare."""
+    """Messages as landed: headers, and the body as a part on one of several
+    levels (5 at most), or bare."""
     data = F.translate(F.base64(F.encode("body", "UTF-8")), "+/", "-_")
     data = F.regexp_replace(data, "\\s", "")
-    leaf = S.PAYLOAD["parts"].dataType.elementType
-    level2 = leaf["parts"].dataType.elementType
-    level3 = level2["parts"].dataType.elementType
-
-    def part(kind: str, text: Column | None, parts, schema):
-        body = F.struct((F.lit(None).cast("string") if text is None else text).alias("data"))
-        fields = [F.lit(kind).alias("mimeType"), body.alias("body")]
-        if "parts" in schema.names:
-            nested = F.lit(None).cast(schema["parts"].dataType) if parts is None else parts
-            fields.append(nested.alias("parts"))
-        return F.struct(*fields).cast(schema)
-
-    image = part("image/png", F.lit("AAAA"), None, leaf)
-    flat = F.array(image, part("text/plain", data, None, leaf))
-    two = F.array(part("multipart/mixed", None,
-                       F.array(part("text/html", data, None, level2)), leaf))
-    three = F.array(
-        image,
-        part("multipart/mixed", None,
-             F.array(part("multipart/alternative", None,
-                          F.array(part("text/plain", data, None, level3)), level2)), leaf),
-    )
+
+    def part(path: str, kind: str, text: Column | None = None) -> Column:
+        text = F.lit(None).cast("string") if text is None else text
+        return F.struct(F.lit(path).alias("path"), F.lit(kind).alias("mimeType"), text.alias("data"))
+
+    image = part("0", "image/png", F.lit("AAAA"))
+    flat = F.array(image, part("1", "text/plain", data))
+    two = F.array(part("0", "multipart/mixed"), part("0.0", "text/html", data), part("1", "text/plain", F.lit("c2Vjb25k")))
+    deep = [part(".".join(["1"] + ["0"] * n), "multipart/mixed") for n in range(4)]
+    five = F.array(image, *deep, part("1.0.0.0.0", "text/plain", data))
     none = F.lit(None).cast(S.PAYLOAD["parts"].dataType)
     kind = F.length("body") % 4
-    parts = F.when(kind == 0, flat).when(kind == 1, two).when(kind == 2, three).otherwise(none)
-    own = F.struct(F.when(kind == 3, data).alias("data"))
+    parts = F.when(kind == 0, flat).when(kind == 1, two).when(kind == 2, five).otherwise(none)
+    # half past five ahead of UTC, three hours behind, or without a zone
+    zone = F.length("body") % 3
+    ahead = F.when(zone == 0, 330).when(zone == 1, -180).otherwise(0)
+    clock = F.date_format(F.col("sent_at") + F.make_dt_interval(mins=ahead), "d MMM yyyy HH:mm:ss")
+    date = F.concat(
+        F.when(zone != 1, F.concat(F.date_format(F.col("sent_at") + F.make_dt_interval(mins=ahead), "EEE"), F.lit(", "))).otherwise(""),
+        clock,
+        F.when(zone == 0, " +0530").when(zone == 1, " -0300 (BRT)").otherwise(""),
+    )
+    named = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
     payload = F.struct(
-        F.lit("multipart/mixed").alias("mimeType"), own.alias("body"), parts.alias("parts")
+        F.array(named("FROM", F.col("sender")), named("Subject", F.lit("Alert")), named("date", date)).alias("headers"),
+        F.lit("multipart/mixed").alias("mimeType"),
+        F.struct(F.when(kind == 3, data).alias("data")).alias("body"),
+        parts.alias("parts"),
     )
-    return msgs.select("message_id", payload.cast(S.PAYLOAD).alias("payload"))
+    return msgs.select("message_id", "user_id", payload.cast(S.PAYLOAD).alias("payload"))
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last fetch per user, from the purchases; users without one have no mark."""
-    bought = payments(spark, sf_dir).where("event_type = 'signup'")
-    return bought.groupBy("user_id").agg(
-        F.min("timestamp").alias("last_fetched")
-    ).withColumn("source", F.lit("gmail"))
+    """Last fetch per user and source; users without a signup have no mark."""
+    signups = payments(spark, sf_dir).where("event_type = 'signup'")
+    first = signups.groupBy("user_id").agg(F.min("timestamp").alias("last_fetched"))
+    sources = F.explode(F.array(F.lit("gmail"), F.lit("file"))).alias("source")
+    return first.select("user_id", sources, "last_fetched")
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +293,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("k") + F.col("user_id").cast("int")
     return with_merchant(rows).select(
         "user_id",
-        (F.col("event_id") % 5000).alias("silver_id"),
+        (F.col("event_id") * 2).alias("silver_id"),
         "merchant",
         F.col("receiver").alias("raw_text"),
         F.lit(None).cast("string").alias("original_category"),

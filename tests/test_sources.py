@@ -47,31 +47,70 @@ def test_a_carriage_return_does_not_end_the_amount_search(spark):
     assert float(got["m0"].amount) == 12.5
 
 
-def leaf(kind, text=None, parts=None, raw=None):
-    data = raw if raw is not None else (
-        text and base64.urlsafe_b64encode(text.encode()).decode())
-    return {"mimeType": kind, "body": {"data": data}, "parts": parts}
-
-
-@pytest.mark.parametrize("payload, expected", [
-    (leaf("text/plain", "bare"), "bare"),
-    (leaf("x", parts=[leaf("image/png", "img"), leaf("text/html", "first"),
-                      leaf("text/plain", "second")]), "first"),
-    (leaf("x", parts=[leaf("m", parts=[leaf("text/plain", "deep")]), leaf("text/plain", "flat")]),
-     "deep"),
-    (leaf("x", parts=[leaf("m", parts=[leaf("m", parts=[leaf("text/plain", "deeper")])])]),
-     "deeper"),
-    (leaf("x", "ignored", parts=[leaf("image/png", "img")]), None),
-    (leaf("text/plain", raw="_-8="), ""),
-    (leaf("text/plain", raw="not base64!"), None),
-    (leaf("text/plain"), None),
+def coded(text):
+    return base64.urlsafe_b64encode(text.encode()).decode()
+
+
+def part(path, kind, text=None):
+    return {"path": path, "mimeType": kind, "data": text and coded(text)}
+
+
+def payload(parts=None, data=None, headers=()):
+    named = [{"name": n, "value": v} for n, v in headers]
+    return {"headers": named, "mimeType": "x", "body": {"data": data}, "parts": parts}
+
+
+NESTED = [part(".".join("0" * n), "m") for n in range(1, 5)]
+
+
+@pytest.mark.parametrize("message, expected", [
+    (payload(data=coded("bare")), "bare"),
+    (payload([part("0", "image/png", "img"), part("1", "text/html", "first"),
+              part("2", "text/plain", "second")]), "first"),
+    (payload([part("0", "m"), part("0.0", "text/plain", "deep"),
+              part("1", "text/plain", "flat")]), "deep"),
+    (payload([*NESTED, part("0.0.0.0.0", "text/plain", "level five")]), "level five"),
+    (payload([part("0", "image/png", "img")], coded("ignored")), None),
+    (payload(data="_-8="), ""),
+    (payload(data="not base64!"), None),
+    (payload(), None),
 ])
-def test_message_body(spark, payload, expected):
+def test_message_body(spark, message, expected):
     schema = S.T.StructType([S.T.StructField("payload", S.PAYLOAD)])
-    df = spark.createDataFrame([{"payload": payload}], schema)
+    df = spark.createDataFrame([{"payload": message}], schema)
     assert df.select(alerts.decode_body(F.col("payload")).alias("b")).first().b == expected
 
 
+@pytest.mark.parametrize("written, utc", [
+    ("Tue, 2 Jan 2024 10:11:12 +0530", dt.datetime(2024, 1, 2, 4, 41, 12)),
+    ("2 Jan 2024 22:00:00 -0330 (NST)", dt.datetime(2024, 1, 3, 1, 30)),
+    ("Wed, 03 Jan 2024 07:08 GMT", dt.datetime(2024, 1, 3, 7, 8)),
+    ("yesterday", None),
+    (None, None),
+])
+def test_message_date(spark, written, utc):
+    rows = spark.createDataFrame([(written,)], "d string")
+    assert rows.select(alerts.message_date(F.col("d")).alias("t")).first().t == utc
+
+
+def test_message_to_raw_row(spark):
+    headers = [("from", "a@hdfc.in"), ("SUBJECT", "Money debited"),
+               ("Date", "Tue, 2 Jan 2024 10:11:12 +0000")]
+    message = payload([part("0", "text/plain", "Rs 12 paid to Tea on Monday")], headers=headers)
+    schema = S.T.StructType([
+        S.T.StructField("message_id", S.T.StringType()),
+        S.T.StructField("user_id", S.T.StringType()),
+        S.T.StructField("payload", S.PAYLOAD),
+    ])
+    read = alerts.read_messages(spark.createDataFrame([("m1", "u", message)], schema))
+    marks = spark.createDataFrame([], "user_id string, source string, last_fetched timestamp_ntz")
+    month = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    fresh = alerts.select_new_messages(read, marks, month)  # the word stands in the subject
+    row = alerts.parse_alerts(fresh, now()).first()
+    assert (float(row.amount), row.receiver, row.timestamp) == (
+        12.0, "Tea", dt.datetime(2024, 1, 2, 10, 11, 12))
+
+
 def test_new_messages_start_at_the_mark_or_the_month(spark):
     rows = [
         ("a", "u1", "x@sbi.in", dt.datetime(2024, 5, 9, 23), "debited"),
@@ -85,7 +124,8 @@ def test_new_messages_start_at_the_mark_or_the_month(spark):
         rows, "message_id string, user_id string, sender string, sent_at timestamp_ntz, "
         "body string")
     marks = spark.createDataFrame(
-        [("u1", "gmail", dt.datetime(2024, 5, 10, 20))],
+        [("u1", "gmail", dt.datetime(2024, 5, 10, 20)), ("u1", "file", dt.datetime(2024, 5, 1)),
+         ("u2", "file", dt.datetime(2024, 5, 19))],
         "user_id string, source string, last_fetched timestamp_ntz")
     got = alerts.select_new_messages(msgs, marks, now())
     assert sorted(r.message_id for r in got.collect()) == ["b", "d"]
@@ -113,14 +153,29 @@ def test_statement_files(spark, tmp_path):
             f"03/02/2024,Salary,,900,{user}\n"
             f"04/02/2024,Zero,0,,{user}\n"
             f"05/02/2024,{'n' * 120},5,,{user}\n")
-    rows = statements.normalise_statement(statements.read_statements(spark, str(tmp_path)))
+    (tmp_path / "other.csv").write_text(
+        "user_id,Debit,Date,Description\nu3,44,6 March 2024,Lotus Tea\nu3,x,7 March 2024,a\n")
+    rows = statements.normalise_files(spark, str(tmp_path))
     got = sorted((r.user_id, float(r.amount), r.receiver, r.timestamp) for r in rows.collect())
     assert got[:3] == [
-        ("u1", 5.0, "n" * 100, dt.datetime(2024, 2, 5)),
+        ("u1", 5.0, "n" * 120, dt.datetime(2024, 2, 5)),
         ("u1", 7.0, "UNKNOWN", dt.datetime(2024, 2, 2)),
         ("u1", 1200.5, "Lotus Tea", dt.datetime(2024, 2, 1)),
     ]
-    assert len(got) == 6
+    assert len(got) == 7 and got[-1] == ("u3", 44.0, "Lotus Tea", dt.datetime(2024, 3, 6))
+    tables = statements.read_statements(spark, str(tmp_path))
+    reasons = sorted((r.user_id, r.reason) for t in tables
+                     for r in statements.statement_rejects(t).collect())
+    each = ["no_amount", "no_amount", "no_date", "no_date"]
+    assert reasons == [(u, r) for u in ("u1", "u2") for r in each] + [("u3", "no_amount")]
+
+
+def test_owner_of_a_statement_from_its_folder(spark, tmp_path):
+    for user in ("7", "8"):
+        (tmp_path / f"user_id={user}").mkdir()
+        (tmp_path / f"user_id={user}" / "s.csv").write_text("Date,Debit\n01/02/2024,5\n")
+    got = statements.normalise_files(spark, str(tmp_path)).collect()
+    assert sorted(r.user_id for r in got) == ["7", "8"]
 
 
 def test_statement_without_required_columns(spark):
@@ -152,6 +207,29 @@ def test_write_upsert_rewrites_only_touched_months(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "more")).count() == 2
 
 
+def test_a_month_that_became_empty_is_emptied(spark, tmp_path):
+    from decimal import Decimal
+
+    path = str(tmp_path / "gold")
+    jan, feb = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
+    both = [("u", jan, "Food", Decimal(5), 1), ("u", feb, "Food", Decimal(6), 1)]
+    sinks.overwrite_partitions(gold(spark, both), path, "month")
+    fresh = gold(spark, [("v", feb, "Food", Decimal(7), 1)])
+    sinks.replace_partitions(fresh, path, "month", [jan, feb])
+    rows = spark.read.schema(S.GOLD).parquet(path).collect()
+    assert [(r.user_id, r.month) for r in rows] == [("v", feb)]
+
+
+def test_an_older_update_does_not_win(spark):
+    def rows(*values):
+        return spark.createDataFrame(values, "k int, at int, v string")
+
+    got = sinks.upsert(rows((1, 5, "stored"), (2, 5, "stored"), (3, 5, "stored")),
+                       rows((1, 4, "older"), (2, 5, "same"), (3, 6, "newer")), ["k"], ["at"])
+    assert sorted((r.k, r.v) for r in got.collect()) == [
+        (1, "stored"), (2, "same"), (3, "newer")]
+
+
 def test_union_of_sources_fills_missing_columns(spark):
     a, b = spark.sql("select 1 as x, 'm' as message_id"), spark.sql("select 2 as x")
     assert sorted(map(tuple, alerts.union_sources(a, b).collect())) == [(1, "m"), (2, None)]
