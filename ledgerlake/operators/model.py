@@ -6,12 +6,14 @@ share of each score is computed once per distinct text and the metadata's
 share per row.
 """
 
+import datetime
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, OneVsRest
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake import schema as S
 from ledgerlake.functions.blocks import string_array
@@ -19,11 +21,14 @@ from ledgerlake.functions.features import METADATA_FEATURES, metadata_features
 from ledgerlake.functions.text import preprocess_text
 from ledgerlake.operators import textfeatures as X
 from ledgerlake.operators.labelled import class_weights
-from ledgerlake.sources.shared import materialise
+from ledgerlake.sources.shared import materialise, new_folder
 
 #: How often a correction counts against a base example.
 REFIT_WEIGHT = 3
 
+#: One row per saved version; ``labelled.model_status`` reads them.
+REGISTRY = "model string, version long, trained_at timestamp_ntz, updated_at timestamp_ntz, samples_applied long"
+
 # Text features first, then the metadata, then the embedding.
 
 
@@ -31,23 +36,37 @@ REFIT_WEIGHT = 3
 class TextModel:
     """``vocabulary``: idx, analyser, term, idf. ``coefficients``: idx and one
     weight per label. ``tail``: per label, the weights of metadata and
-    embedding; ``intercepts``: one per label."""
+    embedding; ``intercepts``: one per label. ``embedding``: the name of the
+    embedding column, if it has one."""
 
     vocabulary: DataFrame
     coefficients: DataFrame
     tail: list[list[float]]
     intercepts: list[float]
     labels: list[str]
-
-    def save(self, path: str) -> None:
-        """Write one version of the model under its own path."""
+    embedding: str | None = None
+
+    def save(
+        self,
+        path: str,
+        as_of: datetime.datetime | None = None,
+        model: str = "text",
+        version: int = 1,
+        samples_applied: int = 0,
+    ) -> None:
+        """Write one version of the model under its own path, with its row of
+        the registry: ``as_of`` is when it was trained or, with samples, last
+        updated."""
         spark = self.vocabulary.sparkSession
         self.vocabulary.write.parquet(f"{path}/vocabulary")
         self.coefficients.write.parquet(f"{path}/coefficients")
         rows = list(zip(range(len(self.labels)), self.labels, self.tail, self.intercepts))
         spark.createDataFrame(
             rows, "i int, label string, tail array<double>, intercept double"
-        ).write.parquet(f"{path}/labels")
+        ).withColumn("embedding", F.lit(self.embedding)).write.parquet(f"{path}/labels")
+        trained = None if samples_applied else as_of
+        row = [(model, version, trained, as_of, samples_applied)]
+        spark.createDataFrame(row, REGISTRY).write.parquet(f"{path}/registry")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "TextModel":
@@ -58,6 +77,7 @@ class TextModel:
             [list(r["tail"]) for r in rows],
             [r["intercept"] for r in rows],
             [r["label"] for r in rows],
+            rows[0]["embedding"],
         )
 
 
@@ -77,16 +97,24 @@ def _counts(texts: DataFrame) -> DataFrame:
     return counted[0].unionByName(counted[1])
 
 
-def fit_vocabulary(texts: DataFrame) -> DataFrame:
-    """Character terms, then word terms, numbered through."""
+def fit_vocabulary(
+    texts: DataFrame,
+    sizes: dict[str, int] | None = None,
+    min_documents: int = S.MIN_DOCUMENT_FREQUENCY,
+) -> DataFrame:
+    """Character terms, then word terms, numbered through. ``sizes``: terms of
+    each analyser at most."""
     total = texts.agg(F.sum("copies")).scalar()
     copies = texts.select("text", "copies")
     counts = _counts(texts.select("text")).join(copies, "text")
     parts = [
         X.vocabulary(
-            X.term_statistics(counts.where(F.col("analyser") == a), F.col("copies")), total, size
+            X.term_statistics(counts.where(F.col("analyser") == a), F.col("copies")),
+            total,
+            size,
+            min_documents,
         ).withColumn("analyser", F.lit(a))
-        for a, size in X.ANALYSERS.items()
+        for a, size in (sizes or X.ANALYSERS).items()
     ]
     both = parts[0].unionByName(parts[1])
     # At most 60,000 rows.
@@ -107,9 +135,15 @@ def text_weights(texts: DataFrame, vocab: DataFrame) -> DataFrame:
     return weighted.select("text", "idx", (F.col("_w") / norm).alias("weight"))
 
 
-@F.udf(VectorUDT(), useArrow=False)
-def _sparse(size, indices, values):
-    return SparseVector(size, indices, values)
+def _as_vectors(df: DataFrame, column: str) -> DataFrame:
+    """Write ``df`` and read its structs of type, size, indices and values as
+    the sparse vectors that they are stored as."""
+    path = new_folder(df.sparkSession, "features")
+    df.write.parquet(path)
+    fields = [
+        T.StructField(f.name, VectorUDT()) if f.name == column else f for f in df.schema.fields
+    ]
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
 
 
 def feature_matrix(
@@ -119,13 +153,16 @@ def feature_matrix(
     embedding: str | None = None,
     embedding_size: int = 0,
 ) -> DataFrame:
-    """Examples with their sparse feature vector.
+    """Examples with their sparse feature vector, written to the shared folder.
 
     Terms are gathered per distinct text, at most one entry per vocabulary
-    term. Only the last step, building the vector, runs in Python, since
-    Spark has no built-in for it.
+    term. The prepared text is stored first, so that no filter on it repeats
+    its making.
     """
-    weights = text_weights(distinct_texts(examples), vocab)
+    examples = materialise(
+        examples.withColumn("text", preprocess_text(F.col("raw_text"))), "prepared"
+    )
+    weights = text_weights(examples.select("text").distinct(), vocab)
     gathered = weights.groupBy("text").agg(
         F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_terms")
     )
@@ -137,8 +174,7 @@ def feature_matrix(
     tail_size = len(METADATA_FEATURES) + embedding_size
     terms = F.coalesce(F.col("_terms"), F.array().cast("array<struct<idx:int,weight:double>>"))
     joined = (
-        examples.withColumn("text", preprocess_text(F.col("raw_text")))
-        .join(gathered, "text", "left")
+        examples.join(gathered, "text", "left")
         .withColumn("_terms", terms)
     )
     indices = F.concat(
@@ -146,9 +182,13 @@ def feature_matrix(
         F.sequence(F.lit(text_size), F.lit(text_size + tail_size - 1)),
     )
     values = F.concat(F.transform("_terms", lambda t: t["weight"]), tail)
-    return joined.withColumn(
-        "features", _sparse(F.lit(text_size + tail_size), indices, values)
-    ).drop("_terms", "text")
+    sparse = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(text_size + tail_size).alias("size"),
+        indices.alias("indices"),
+        values.alias("values"),
+    )
+    return _as_vectors(joined.withColumn("features", sparse).drop("_terms", "text"), "features")
 
 
 def train(
@@ -158,20 +198,30 @@ def train(
     reg: float = 1e-4,
     weight: str | None = None,
     parallelism: int = 4,
+    embedding: str | None = None,
+    embedding_size: int = 0,
+    sizes: dict[str, int] | None = None,
+    min_documents: int = S.MIN_DOCUMENT_FREQUENCY,
 ) -> TextModel:
     """One log-loss classifier per label, classes balanced by weight.
 
-    ``examples``: raw_text, category, amount, timestamp, freq_30d, and an
-    optional weight column that multiplies the class weight.
+    ``examples``: raw_text, category, amount, timestamp, freq_30d, an optional
+    weight column that multiplies the class weight, and an optional embedding
+    column of ``embedding_size`` numbers. ``sizes`` and ``min_documents``: see
+    ``fit_vocabulary``. A label without an example never gets a probability.
     """
     spark = examples.sparkSession
-    vocab = materialise(fit_vocabulary(distinct_texts(examples)), "vocabulary")
+    vocab = materialise(
+        fit_vocabulary(distinct_texts(examples), sizes, min_documents), "vocabulary"
+    )
     size = vocab.count()
     index = F.array_position(string_array(labels), F.col("category")) - 1
     balanced = class_weights(examples).select("category", F.col("weight").alias("_balance"))
     own = F.col(weight) if weight else F.lit(1.0)
     rows = (
-        feature_matrix(examples.where(F.col("category").isin(labels)), vocab, size)
+        feature_matrix(
+            examples.where(F.col("category").isin(labels)), vocab, size, embedding, embedding_size
+        )
         .join(F.broadcast(balanced), "category")
         .select(
             "features",
@@ -179,28 +229,21 @@ def train(
             (F.col("_balance") * own).alias("weight"),
         )
     )
-    rows = materialise(rows, "features")
-    # Labels without a single example keep a flat score of zero probability.
-    present = [int(r["label"]) for r in rows.select("label").distinct().collect()]
-    size_all = size + len(METADATA_FEATURES)
-    vectors = [([0.0] * size_all, float("-inf"))] * len(labels)
-    if present == list(range(len(labels))) or sorted(present) == list(range(len(labels))):
-        fitted = OneVsRest(
-            classifier=LogisticRegression(maxIter=max_iter, regParam=reg, weightCol="weight"),
-            weightCol="weight",
-            parallelism=parallelism,
-        ).fit(rows)
-        vectors = [(m.coefficients.toArray().tolist(), m.intercept) for m in fitted.models]
-    else:
-        for i in present:
-            one = rows.withColumn("label", (F.col("label") == i).cast("double"))
-            m = LogisticRegression(maxIter=max_iter, regParam=reg, weightCol="weight").fit(one)
-            vectors[i] = (m.coefficients.toArray().tolist(), m.intercept)
+    rows = materialise(rows, "training")
+    # Labels behind the last one with an example have no classifier.
+    nothing = ([0.0] * (size + len(METADATA_FEATURES) + embedding_size), float("-inf"))
+    fitted = OneVsRest(
+        classifier=LogisticRegression(maxIter=max_iter, regParam=reg, weightCol="weight"),
+        weightCol="weight",
+        parallelism=parallelism,
+    ).fit(rows)
+    vectors = [(m.coefficients.toArray().tolist(), m.intercept) for m in fitted.models]
+    vectors += [nothing] * (len(labels) - len(vectors))
     # At most 60,000 terms times 13 labels.
     table = [(j, [v[0][j] for v in vectors]) for j in range(size)]
     coefficients = spark.createDataFrame(table, "idx int, w array<double>")
     return TextModel(
-        vocab, coefficients, [v[0][size:] for v in vectors], [v[1] for v in vectors], labels
+        vocab, coefficients, [v[0][size:] for v in vectors], [v[1] for v in vectors], labels, embedding
     )
 
 
@@ -223,13 +266,16 @@ def _sigmoid(x: Column) -> Column:
 
 
 def predict_proba(txns: DataFrame, model: TextModel, key: str = "silver_id") -> DataFrame:
-    """(key, p): per-label sigmoid scores scaled to sum one, in label order.
+    """``txns`` with ``p``: per-label sigmoid scores scaled to sum one, in
+    label order. ``key`` names the column that numbers the rows.
 
     Terms are scored per distinct text against the broadcast coefficients
     (bounded by the vocabulary), summed before they are shuffled back, and
     met by each transaction in one join on the text.
     """
     n = len(model.labels)
+    if key not in txns.columns:
+        raise ValueError(f"no column {key}")
     rows = txns.withColumn("_text", preprocess_text(F.col("raw_text")))
     texts = rows.select(F.col("_text").alias("text")).distinct()
     weights = text_weights(texts, model.vocabulary)
@@ -238,19 +284,26 @@ def predict_proba(txns: DataFrame, model: TextModel, key: str = "silver_id") ->
     )
     frequency = F.col("freq_30d") if "freq_30d" in txns.columns else F.lit(0)
     meta = metadata_features(F.col("amount"), F.col("timestamp"), frequency)
+    kept = [c for c in txns.columns if c != "p"]
     joined = rows.join(scored.withColumnRenamed("text", "_text"), "_text", "left").select(
-        key, *meta, *[F.coalesce(f"_s{i}", F.lit(0.0)).alias(f"_s{i}") for i in range(n)]
+        *kept,
+        *[m.alias(f"_m_{name}") for m, name in zip(meta, METADATA_FEATURES)],
+        *[F.coalesce(f"_s{i}", F.lit(0.0)).alias(f"_s{i}") for i in range(n)],
     )
     scores = []
     for i in range(n):
         score = F.col(f"_s{i}") + model.intercepts[i]
         for name, w in zip(METADATA_FEATURES, model.tail[i]):
-            score = score + F.col(name) * w
+            score = score + F.col(f"_m_{name}") * w
+        if model.embedding:
+            weights_i = F.expr(f"array({', '.join(f'{w!r}D' for w in model.tail[i][len(METADATA_FEATURES):])})")
+            product = F.zip_with(F.col(model.embedding).cast("array<double>"), weights_i, lambda x, w: x * w)
+            score = score + F.aggregate(product, F.lit(0.0), lambda t, x: t + x)
         scores.append(_sigmoid(score))
-    sigmoids = joined.select(key, F.array(*scores).alias("_p"))
+    sigmoids = joined.select(*kept, F.array(*scores).alias("_p"))
     total = F.aggregate("_p", F.lit(0.0), lambda s, x: s + x)
     return sigmoids.withColumn("_total", total).select(
-        key,
+        *kept,
         F.when(F.col("_total") > 0, F.transform("_p", lambda x: x / F.col("_total")))
         .otherwise(F.array(*[F.lit(1.0 / n)] * n))
         .alias("p"),

@@ -156,9 +156,13 @@ def categorise(
     """Final category of every transaction.
 
     ``txns``: silver_id, user_id, merchant, receiver, amount, timestamp and
-    optionally freq_30d; ``probabilities``: silver_id and the array ``p``.
+    optionally freq_30d; ``probabilities``: silver_id and the array ``p``, or
+    the transactions with ``p`` added, which needs no join.
     """
-    scored = txns.join(probabilities, "silver_id")
+    if set(txns.columns) <= set(probabilities.columns):
+        scored = probabilities
+    else:
+        scored = txns.join(probabilities, "silver_id")
     scored = with_history(scored, history_profile(feedback, key), key)
     frequency = F.col("freq_30d" if "freq_30d" in txns.columns else "history_count")
     return decide(scored, final_probabilities(F.col("p"), frequency)).select(
@@ -166,6 +170,22 @@ def categorise(
     )
 
 
+def categorise_cold(txns: DataFrame, feedback: DataFrame, key: str = "merchant") -> DataFrame:
+    """Final category of every transaction where no model is trained yet:
+    anchor words, and a remembered category where the history has weight."""
+    from ledgerlake.operators.anchors import cold_start_by_text
+
+    decided = cold_start_by_text(txns, "silver_id")
+    decided = cold_start_with_history(decided, history_profile(feedback, key), key)
+    return decided.select(
+        "silver_id",
+        "user_id",
+        "category",
+        "confidence",
+        F.when(F.col("category") == "Other", "low_confidence").otherwise("cold_start").alias("decision_source"),
+    )
+
+
 def explode_probabilities(df: DataFrame, *keys: str, p: str = "p") -> DataFrame:
     """One row per key and label."""
     long = df.select(*keys, F.posexplode(p).alias("_i", "p"))

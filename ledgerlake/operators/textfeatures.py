@@ -98,15 +98,21 @@ def term_statistics(counts: DataFrame, copies: Column | None = None) -> DataFram
     )
 
 
-def vocabulary(statistics: DataFrame, documents: Column, size: int) -> DataFrame:
-    """The ``size`` most frequent terms found in two or more documents, with
-    index and inverse document frequency. ``documents``: number of documents.
+def vocabulary(
+    statistics: DataFrame,
+    documents: Column,
+    size: int,
+    min_documents: int = S.MIN_DOCUMENT_FREQUENCY,
+) -> DataFrame:
+    """The ``size`` most frequent terms found in ``min_documents`` or more
+    documents, with index and inverse document frequency. ``documents``: number
+    of documents.
 
     At most ``size`` rows leave the top-N, so numbering them in one task and
     broadcasting them later are both bounded.
     """
     top = (
-        statistics.where(F.col("df") >= S.MIN_DOCUMENT_FREQUENCY)
+        statistics.where(F.col("df") >= min_documents)
         .orderBy(F.desc("cf"), F.asc("term"))
         .limit(size)
     )

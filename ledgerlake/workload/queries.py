@@ -457,6 +457,22 @@ def categorise(spark: Spark, d: str) -> DataFrame:
     return rows.select("silver_id", "category", num("confidence"), "decision_source")
 
 
+def categorise_model(spark: Spark, d: str) -> DataFrame:
+    """Categories by a model trained on the labelled payments, end to end."""
+    known = materialise(V.feedback(spark, d), "feedback")
+    fitted = model.train(V.labelled(spark, d))
+    txns = V.scored_input(spark, d, known)
+    rows = scoring.categorise(txns, model.predict_proba(txns, fitted), known)
+    return rows.select("silver_id", "category", num("confidence"), "decision_source")
+
+
+def categorise_cold(spark: Spark, d: str) -> DataFrame:
+    """Categories where there is no model yet."""
+    known = materialise(V.feedback(spark, d), "feedback")
+    rows = scoring.categorise_cold(V.scored_input(spark, d, known), known)
+    return rows.select("silver_id", "category", num("confidence"), "decision_source")
+
+
 def topk_probas(spark: Spark, d: str) -> DataFrame:
     rows = scoring.top_k(V.scored_long(spark, d), "txn_id")
     return rows.select("txn_id", "rank", "category", num("p"))
@@ -812,6 +828,8 @@ QUERIES = {
     "soft_override": soft_override,
     "decide_category": decide_category,
     "categorise": categorise,
+    "categorise_model": categorise_model,
+    "categorise_cold": categorise_cold,
     "topk_probas": topk_probas,
     "anchor_centroids": anchor_centroids,
     "cold_start": cold_start,

@@ -107,6 +107,27 @@ def test_saved_model_scores_the_same(spark, fitted, tmp_path):
     assert a == b
 
 
+def test_registry_rows_of_saved_versions(spark, fitted, tmp_path):
+    first, second = dt.datetime(2024, 6, 1), dt.datetime(2024, 6, 5)
+    fitted.save(str(tmp_path / "v1"), first)
+    fitted.save(str(tmp_path / "v2"), second, version=2, samples_applied=3)
+    rows = spark.read.schema(model.REGISTRY).parquet(*[str(tmp_path / v / "registry") for v in ("v1", "v2")])
+    got = labelled.model_status(rows).first()
+    assert (got.version, got.trained_at, got.updated_at, got.samples_applied) == (2, first, second, 3)
+
+
+def test_embedding_decides_where_texts_are_alike(spark):
+    made = [(i, "same words", S.LABELS[i % 3], Decimal(10), dt.datetime(2024, 6, 1), 0,
+             [1.0 if j == i % 3 else 0.0 for j in range(3)]) for i in range(60)]
+    rows = spark.createDataFrame(
+        made, "silver_id long, raw_text string, category string, amount decimal(18,2), "
+        "timestamp timestamp_ntz, freq_30d int, embedding array<float>")
+    fitted = model.train(rows, embedding="embedding", embedding_size=3)
+    scored = scoring.top_k(model.predict_proba(rows, fitted), "silver_id", 1)
+    assert scored.join(rows.select("silver_id", F.col("category").alias("c")), "silver_id").where(
+        "category <> c").count() == 0
+
+
 def test_vector_and_relational_scores_agree(spark, fitted, examples):
     """The score per text plus metadata equals the dot product of the vector."""
     some = examples.where("sample = 0").withColumn(
