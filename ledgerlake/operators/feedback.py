@@ -17,14 +17,14 @@ def split_corrections(
 
     Rejected rows carry a reason: the category is unknown, or the user has no
     such transaction. Of several corrections of one row the newest applies;
-    the original category is the one silver holds.
+    the original category and the transaction's date are those silver holds.
     """
     known = F.col("corrected_category").isin(CATEGORIES)
     current = silver.select(
         "silver_id", "user_id", F.col("category").alias("original_category"),
-        F.lit(True).alias("_found"),
+        "transaction_date", F.lit(True).alias("_found"),
     )
-    checked = corrections.drop("original_category").join(
+    checked = corrections.drop("original_category", "transaction_date").join(
         current, ["silver_id", "user_id"], "left"
     )
     reason = F.when(F.coalesce(known, F.lit(False)), F.lit(None)).otherwise("unknown_category")
@@ -36,7 +36,7 @@ def split_corrections(
         ["silver_id", "user_id"],
         [F.col("corrected_at")],
     )
-    rejected = checked.where("reason is not null").drop("original_category")
+    rejected = checked.where("reason is not null").drop("original_category", "transaction_date")
     return accepted, rejected
 
 

@@ -25,20 +25,26 @@ def monthly_summary(silver: DataFrame) -> DataFrame:
     )
 
 
-def affected_groups(silver: DataFrame, applied: DataFrame) -> DataFrame:
+def affected_groups(applied: DataFrame) -> DataFrame:
     """Gold keys a set of applied corrections can change.
 
-    Both the old and the new category count; the month is the silver row's.
+    Both the old and the new category count; the month is the silver row's,
+    whose date ``split_corrections`` keeps.
     """
-    rows = applied.join(silver.select("silver_id", "user_id", "transaction_date"),
-                        ["silver_id", "user_id"])
-    return rows.select(
+    return applied.select(
         "user_id",
         month_of(F.col("transaction_date")).alias("month"),
         F.explode(F.array("original_category", "corrected_category")).alias("category"),
     ).where("category is not null").distinct()
 
 
+def of_months(silver: DataFrame, groups: DataFrame) -> DataFrame:
+    """Silver rows of the months of some groups, a handful of months."""
+    months = groups.select("month").distinct()
+    dated = silver.withColumn("month", month_of(F.col("transaction_date")))
+    return dated.join(F.broadcast(months), "month", "left_semi").drop("month")
+
+
 def refresh_gold(gold: DataFrame, silver: DataFrame, groups: DataFrame) -> DataFrame:
     """Gold after recomputing ``groups`` from silver; emptied groups vanish.
 
@@ -46,10 +52,6 @@ def refresh_gold(gold: DataFrame, silver: DataFrame, groups: DataFrame) -> DataF
     summed before it meets the groups, so no raw row is shuffled and a hot
     user costs nothing extra.
     """
-    months = groups.select("month").distinct()
-    recent = silver.withColumn("month", month_of(F.col("transaction_date"))).join(
-        F.broadcast(months), "month", "left_semi"
-    )
-    fresh = monthly_summary(recent).join(groups, GOLD_KEYS, "left_semi")
+    fresh = monthly_summary(of_months(silver, groups)).join(groups, GOLD_KEYS, "left_semi")
     kept = gold.join(groups, GOLD_KEYS, "left_anti")
     return kept.select(*fresh.columns).unionByName(fresh)

@@ -1,16 +1,24 @@
-"""One run over all users: raw to bronze, silver, categories and gold."""
+"""One run over all users: raw to bronze, silver, categories and gold.
 
+``run`` works on tables in hand; ``advance`` brings stored layers up to date
+and costs what is new: it reads the days and months that a batch touches.
+"""
+
+import posixpath
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake import schema as S
+from ledgerlake.functions.dates import month_of
 from ledgerlake.operators.bronze import to_bronze
-from ledgerlake.operators.gold import monthly_summary
+from ledgerlake.operators.gold import GOLD_KEYS, monthly_summary
 from ledgerlake.operators.history import frequency_30d, history_count, with_keys, KEYS
 from ledgerlake.operators.scoring import categorise
 from ledgerlake.operators.silver import scoring_input, to_silver, write_back
 from ledgerlake.sources.shared import materialise
+from ledgerlake.sources.sinks import read_or_empty, replace_partitions, write_append
 
 
 @dataclass
@@ -84,3 +92,119 @@ def run(
     decisions = categorise(txns, probabilities(txns), history, key)
     categorised = materialise(write_back(all_silver, decisions), "silver")
     return Layers(all_bronze, categorised, monthly_summary(categorised))
+
+
+@dataclass
+class Store:
+    """Layers in a folder that all executors can reach.
+
+    Bronze lies by day of payment, decided silver by day and gold by month.
+    Rows without a category wait in a table of their own, one folder per run,
+    and are scored again by the next run.
+    """
+
+    spark: SparkSession
+    folder: str
+
+    def path(self, name: str) -> str:
+        return posixpath.join(self.folder, name)
+
+    def bronze(self, days: list | None = None) -> DataFrame:
+        return _within(self._read("bronze", S.BRONZE, "day date"), "day", days).drop("day")
+
+    def decided(self, days: list | None = None) -> DataFrame:
+        return _within(self._read("silver", S.SILVER), "transaction_date", days)
+
+    def undecided(self) -> DataFrame:
+        waiting = self._read("undecided", S.SILVER, "run int")
+        return waiting.where(F.col("run") == self.runs()).drop("run")
+
+    def silver(self) -> DataFrame:
+        return self.decided().unionByName(self.undecided())
+
+    def gold(self, months: list | None = None) -> DataFrame:
+        return _within(self._read("gold", S.GOLD), "month", months)
+
+    def runs(self) -> int:
+        """Number of the last finished run; 0 before the first."""
+        return read_or_empty(self.spark, self.path("runs"), "run int").agg(F.max("run")).first()[0] or 0
+
+    def _read(self, name: str, schema, extra: str = "") -> DataFrame:
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
+        return read_or_empty(self.spark, self.path(name), ", ".join([*fields, *([extra] if extra else [])]))
+
+
+def _within(df: DataFrame, column: str, values: list | None) -> DataFrame:
+    """Rows of some partitions; the list prunes the read."""
+    if values is None:
+        return df
+    some = [v for v in values if v is not None]
+    chosen = F.col(column).isin(some) if some else F.lit(False)
+    return df.where(chosen | F.col(column).isNull() if None in values else chosen)
+
+
+def _values(df: DataFrame, column: Column) -> list:
+    """Distinct days or months of a batch: as many as the batch spans."""
+    return [r[0] for r in df.select(column.alias("v")).distinct().collect()]
+
+
+def advance(
+    store: Store,
+    raw: DataFrame,
+    feedback: DataFrame,
+    probabilities,
+    as_of: Column,
+    key: str = "merchant",
+    text_source: str = "merchant",
+) -> None:
+    """Bring stored layers up to date with ``raw``, which may hold rows of
+    earlier runs.
+
+    A payment's copies share their day, so only bronze of the batch's days is
+    looked at. New and still undecided rows are scored; gold is recomputed for
+    the groups that got rows, from silver of their months. A run that broke off
+    is repeated whole: what it appended is known by its ids and left out.
+    """
+    run_number = store.runs() + 1
+    day = F.to_date("timestamp")
+    known = store.bronze(_values(raw, day))
+    fresh = to_bronze(raw, known).withColumn("day", day)
+    write_append(fresh.select(*S.BRONZE.names, "day"), store.path("bronze"), ["day"])
+
+    batch_days = _values(raw, day)
+    batch = store.bronze(batch_days)
+    # silver rows are dated by their payment, or by the run where it has no date
+    dated = [*batch_days, *_values(store.spark.range(1), F.to_date(as_of))]
+    waiting = store.undecided()
+    new = to_silver(batch, store.decided(dated).unionByName(waiting), as_of)
+    todo = materialise(new.unionByName(waiting), "todo")
+    todo_days = _values(todo, F.col("transaction_date"))
+    origin = store.bronze([*todo_days, None])
+    txns = with_frequency(scoring_input(todo, origin, text_source), feedback, key)
+    done = materialise(write_back(todo, categorise(txns, probabilities(txns), feedback, key)), "scored")
+
+    decided = done.where("is_categorised")
+    groups = materialise(
+        monthly_summary(decided).select(*GOLD_KEYS), "groups"
+    )
+    write_append(decided.select(*S.SILVER.names), store.path("silver"), ["transaction_date"])
+    still = done.where("not is_categorised").select(*S.SILVER.names)
+    still.write.mode("overwrite").parquet(posixpath.join(store.path("undecided"), f"run={run_number}"))
+
+    months = _values(groups, F.col("month"))
+    _refresh(store, groups, months)
+    store.spark.createDataFrame([(run_number,)], "run int").write.mode("append").parquet(store.path("runs"))
+
+
+def _refresh(store: Store, groups: DataFrame, months: list) -> None:
+    """Recompute gold groups from the stored silver of their months."""
+    if not months:
+        return
+    month = month_of(F.col("transaction_date"))
+    first, last = min(months), max(months)
+    span = store.decided().where(
+        (F.col("transaction_date") >= first) & (F.col("transaction_date") <= F.last_day(F.lit(last)))
+    )
+    again = monthly_summary(span.where(month.isin(months))).join(groups, GOLD_KEYS, "left_semi")
+    kept = store.gold(months).join(groups, GOLD_KEYS, "left_anti")
+    replace_partitions(kept.unionByName(again.select(*kept.columns)), store.path("gold"), "month", months)

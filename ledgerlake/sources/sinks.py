@@ -1,13 +1,12 @@
 """Append and keyed-upsert sinks over partitioned files."""
 
 import posixpath
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.sources.shared import shared_folder
+from ledgerlake.sources.shared import materialise
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -55,24 +54,22 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_by: str) -> None:
-    """Replace exactly the partitions that ``df`` has rows for.
+def overwrite_partitions(df: DataFrame, path: str, partition_by: str) -> DataFrame:
+    """Replace exactly the partitions that ``df`` has rows for; returns its
+    staged copy.
 
     ``df`` may read ``path``: it is first written to the shared folder and
     copied from there, so the files being replaced are never being read, and
     a lost executor only repeats the task.
     """
-    spark = df.sparkSession
-    staging = posixpath.join(shared_folder(spark), f"staging-{uuid.uuid4().hex}")
-    df.write.parquet(staging)
+    staged = materialise(df, "staging")
     (
-        spark.read.schema(df.schema)
-        .parquet(staging)
-        .write.mode("overwrite")
+        staged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_by)
         .parquet(path)
     )
+    return staged
 
 
 def replace_partitions(
@@ -81,9 +78,9 @@ def replace_partitions(
     """Make the ``touched`` partitions hold exactly the rows of ``df``; those
     without a row are emptied. ``touched``: partition values, a bounded list
     such as the months of a batch."""
-    overwrite_partitions(df, path, partition_by)
-    left = {r[0] for r in df.select(partition_by).distinct().collect()}
-    nothing = df.drop(partition_by).limit(0)
+    staged = overwrite_partitions(df, path, partition_by)
+    left = {r[0] for r in staged.select(partition_by).distinct().collect()}
+    nothing = staged.drop(partition_by).limit(0)
     for value in touched:
         if value not in left:
             nothing.write.mode("overwrite").parquet(posixpath.join(path, f"{partition_by}={value}"))

@@ -15,9 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlake import schema as S
 from ledgerlake.operators.bronze import to_bronze, with_fingerprint
 from ledgerlake.operators.feedback import apply_corrections, feedback_rows, split_corrections
-from ledgerlake.operators.gold import monthly_summary
+from ledgerlake.operators.gold import affected_groups, monthly_summary, refresh_gold
 from ledgerlake.operators.silver import project_silver
-from ledgerlake.sources.sinks import read_or_empty, upsert
+from ledgerlake.sources.shared import materialise
+from ledgerlake.sources.sinks import latest_by_key, read_or_empty, upsert
 
 
 def stream_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
@@ -74,12 +75,20 @@ def schema_ddl(schema) -> str:
 def start_bronze(
     raw: DataFrame, path: str, checkpoint: str, continuous: bool = False
 ) -> StreamingQuery:
-    """Raw stream to bronze, each payment once for all time."""
+    """Raw stream to bronze, each payment once for all time.
+
+    Copies of a payment share their day, so of what earlier batches stored only
+    the days of this batch are compared with.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        arrived = materialise(batch, "arrived")
+        day = F.to_date("timestamp")
+        days = arrived.select(F.coalesce(day.cast("string"), F.lit("")).alias("d")).distinct()
         known = _read_before(spark, path, S.BRONZE, number)
-        _write_batch(to_bronze(batch, known).select(*S.BRONZE.names), path, number)
+        known = known.where(F.coalesce(day.cast("string"), F.lit("")).isin([r.d for r in days.collect()]))
+        _write_batch(to_bronze(arrived, known).select(*S.BRONZE.names), path, number)
 
     return _start(raw, checkpoint, step, continuous, "bronze")
 
@@ -93,17 +102,42 @@ def start_silver(
     continuous: bool = False,
 ) -> StreamingQuery:
     """Bronze stream to silver; ``categorise_batch`` (silver, bronze) adds the
-    categories and reads the feedback as it is at that batch."""
+    categories and reads the feedback as it is at that batch.
+
+    Rows that stay undecided are scored again with each later batch: their
+    bronze rows wait under ``<path>-undecided``, replaced batch by batch, and a
+    row that is decided later is written again (``read_silver`` takes the last).
+    """
+    waiting_path = f"{path}-undecided"
 
     def step(batch: DataFrame, number: int) -> None:
-        silver = project_silver(batch, as_of)
+        spark = batch.sparkSession
+        names = S.BRONZE.names
+        waiting = read_or_empty(spark, waiting_path, f"{schema_ddl(S.BRONZE)}, batch int")
+        waiting = waiting.where(F.col("batch") == number - 1).drop("batch")
+        rows = materialise(batch.select(*names).unionByName(waiting.select(*names)), "arrived")
+        silver = project_silver(rows, as_of)
         if categorise_batch:
-            silver = categorise_batch(silver, batch)
+            silver = categorise_batch(silver, rows)
+        silver = materialise(silver, "silver-batch")
         _write_batch(silver, path, number)
+        still = silver.where("not is_categorised").select("bronze_id")
+        _write_batch(rows.join(still, "bronze_id", "left_semi").select(*names), waiting_path, number)
 
     return _start(bronze, checkpoint, step, continuous, "silver")
 
 
+def read_silver(spark: SparkSession, path: str) -> DataFrame:
+    """Every streamed silver row as its last batch wrote it."""
+    rows = spark.read.schema(f"{schema_ddl(S.SILVER)}, batch int").parquet(path)
+    return latest_by_key(rows, ["silver_id"], [F.col("batch")]).select(*S.SILVER.names)
+
+
+def compact(spark: SparkSession, path: str, schema, out: str) -> None:
+    """All batches of an append-only table as one, in a folder of its own."""
+    read_batches(spark, path, schema).write.parquet(f"{out}/batch=0")
+
+
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(f"{schema_ddl(schema)}, batch int").parquet(path).drop("batch")
 
@@ -159,7 +193,15 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     return upsert(rows.limit(0), rows, ["user_id", "silver_id"], ["corrected_at"])
 
 
-def corrected_layers(silver: DataFrame, feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Silver and gold with all streamed corrections applied."""
+def corrected_layers(
+    silver: DataFrame, feedback: DataFrame, gold: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Silver and gold with all streamed corrections applied; of a stored
+    ``gold`` only the groups that they touch are made anew."""
     corrected = apply_corrections(silver, feedback)
-    return corrected, monthly_summary(corrected)
+    if gold is None:
+        return corrected, monthly_summary(corrected)
+    dates = silver.select("silver_id", "user_id", "transaction_date")
+    dated = feedback.drop("transaction_date").join(dates, ["silver_id", "user_id"])
+    groups = materialise(affected_groups(dated), "groups")
+    return corrected, refresh_gold(gold, corrected, groups)

@@ -465,6 +465,8 @@ _SQL = {
         SELECT silver_id, user_id, merchant, merchant AS raw_text,
                CAST(amount AS DOUBLE) AS amount, ts AS "timestamp", receiver FROM silver""",
     "silver_writeback": _WRITTEN,
+    "daily_run": _WRITTEN,
+    "daily_gold": _GOLD.format(table="stored"),
     "gold_monthly": _GOLD.format(table="stored"),
     "gold_monthly_long": """
         SELECT user_id, month, category, CAST(total_amount AS DOUBLE) AS total_amount, txn_count

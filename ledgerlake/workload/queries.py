@@ -22,6 +22,7 @@ from ledgerlake.operators import (
     silver,
     textfeatures,
 )
+from ledgerlake.plans import daily
 from ledgerlake.sources import alerts, sinks, statements
 from ledgerlake.sources.shared import materialise, new_folder
 from ledgerlake.streaming import jobs
@@ -264,10 +265,11 @@ def gold_monthly_long(spark: Spark, d: str) -> DataFrame:
 
 
 def gold_refresh(spark: Spark, d: str) -> DataFrame:
+    """The groups that corrections touch, from silver of their months alone."""
     before, accepted, _ = V.corrected(spark, d)
     accepted = materialise(accepted, "corrections")
-    after = feedback.apply_corrections(before, accepted)
-    groups = gold.affected_groups(after, accepted)
+    groups = materialise(gold.affected_groups(accepted), "groups")
+    after = feedback.apply_corrections(gold.of_months(before, groups), accepted)
     refreshed = gold.refresh_gold(gold.monthly_summary(before), after, groups)
     return money(refreshed, "total_amount")
 
@@ -473,6 +475,29 @@ def categorise_cold(spark: Spark, d: str) -> DataFrame:
     return rows.select("silver_id", "category", num("confidence"), "decision_source")
 
 
+def _two_runs(spark: Spark, d: str) -> daily.Store:
+    """Stored layers after a run at mid-month and one over all."""
+    store = daily.Store(spark, new_folder(spark, "layers"))
+    known = materialise(V.feedback(spark, d), "feedback")
+    raw = V.txn_raw(spark, d)
+    cut = F.lit(V.PREVIOUS_RUN).cast("timestamp_ntz")
+    for part in (raw.where(F.col("timestamp") < cut), raw):
+        daily.advance(store, part, known, V.probabilities, V.as_of())
+    return store
+
+
+def daily_run(spark: Spark, d: str) -> DataFrame:
+    """Silver after two runs over stored layers."""
+    return _two_runs(spark, d).silver().select(
+        "silver_id", "user_id", "category", "is_categorised", num("confidence"), "decision_source"
+    )
+
+
+def daily_gold(spark: Spark, d: str) -> DataFrame:
+    """Gold after two runs over stored layers."""
+    return money(_two_runs(spark, d).gold(), "total_amount")
+
+
 def topk_probas(spark: Spark, d: str) -> DataFrame:
     rows = scoring.top_k(V.scored_long(spark, d), "txn_id")
     return rows.select("txn_id", "rank", "category", num("p"))
@@ -721,7 +746,7 @@ def stream_dedupe(spark: Spark, d: str) -> DataFrame:
 
 
 def stream_silver(spark: Spark, d: str) -> DataFrame:
-    rows = jobs.read_batches(spark, _stream_silver(spark, d), S.SILVER)
+    rows = jobs.read_silver(spark, _stream_silver(spark, d))
     return rows.select(
         "silver_id", "user_id", "category", "is_categorised", num("confidence"),
         "decision_source",
@@ -742,7 +767,8 @@ def stream_corrections(spark: Spark, d: str) -> DataFrame:
     jobs.start_corrections(
         requests, lambda: before, path, new_folder(spark, "offsets")
     ).awaitTermination()
-    _, summary = jobs.corrected_layers(before, jobs.read_feedback(spark, path))
+    stored = materialise(gold.monthly_summary(before), "gold")
+    _, summary = jobs.corrected_layers(before, jobs.read_feedback(spark, path), stored)
     return money(summary, "total_amount")
 
 
@@ -828,6 +854,8 @@ QUERIES = {
     "soft_override": soft_override,
     "decide_category": decide_category,
     "categorise": categorise,
+    "daily_run": daily_run,
+    "daily_gold": daily_gold,
     "categorise_model": categorise_model,
     "categorise_cold": categorise_cold,
     "topk_probas": topk_probas,

@@ -248,7 +248,7 @@ def test_refreshed_gold_equals_a_rebuild(spark):
     assert {r.reason: r["count"] for r in reasons} == {"unknown_category": 40, "not_found": 2}
     after = feedback.apply_corrections(silver, accepted)
     before_gold = gold.monthly_summary(silver)
-    groups = gold.affected_groups(after, accepted)
+    groups = gold.affected_groups(accepted)
     refreshed = gold.refresh_gold(before_gold, after, groups)
     rebuilt = gold.monthly_summary(after)
     assert sorted(map(tuple, refreshed.collect())) == sorted(map(tuple, rebuilt.collect()))

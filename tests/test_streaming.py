@@ -66,7 +66,7 @@ def test_silver_and_gold_streams(spark, tmp_path):
     stream = jobs.stream_files(spark, str(tmp_path), S.BRONZE)
     jobs.start_silver(stream, out, new_folder(spark, "offsets"), as_of(),
                       categorised).awaitTermination()
-    got = jobs.read_batches(spark, out, S.SILVER)
+    got = jobs.read_silver(spark, out)
     batch = categorised(silver.project_silver(source, as_of()), None)
     assert rows(got, *S.SILVER.names) == rows(batch, *S.SILVER.names)
 
@@ -78,6 +78,30 @@ def test_silver_and_gold_streams(spark, tmp_path):
         gold.monthly_summary(batch), *S.GOLD.names)
 
 
+def test_undecided_rows_are_scored_again(spark, tmp_path):
+    source = bronze.to_bronze(make_raw(spark, 60))
+    out, mark = new_folder(spark, "silver"), new_folder(spark, "offsets")
+    decided_from = [F.lit(False), F.lit(True)]
+
+    def categorised(rows_, _):
+        now = decided_from[0]
+        return rows_.withColumn("category", F.when(now, "Food")).withColumn("is_categorised", now)
+
+    for name, part in (("a", "raw_id < 30"), ("b", "raw_id >= 30")):
+        land(source.where(part), tmp_path, name)
+        stream = jobs.stream_files(spark, str(tmp_path), S.BRONZE)
+        jobs.start_silver(stream, out, mark, as_of(), categorised).awaitTermination()
+        decided_from.pop(0)
+        decided_from.append(F.lit(True))
+    got = jobs.read_silver(spark, out)
+    assert got.count() == source.count() and got.where("not is_categorised").count() == 0
+    sums = new_folder(spark, "gold")
+    stored = jobs.stream_files(spark, f"{out}/*", S.SILVER)
+    jobs.start_gold(stored, sums, new_folder(spark, "offsets")).awaitTermination()
+    assert rows(jobs.read_gold(spark, sums), *S.GOLD.names) == rows(
+        gold.monthly_summary(got), *S.GOLD.names)
+
+
 def test_corrections_stream_and_refit_trigger(spark, tmp_path):
     before = make_silver(spark, 60)
     requests = make_corrections(spark, before)
@@ -95,3 +119,8 @@ def test_corrections_stream_and_refit_trigger(spark, tmp_path):
     assert rows(summary, *S.GOLD.names) == rows(
         gold.monthly_summary(feedback.apply_corrections(before, accepted)), *S.GOLD.names)
     assert after.where("user_corrected").count() == accepted.count()
+    _, refreshed = jobs.corrected_layers(before, stored, gold.monthly_summary(before))
+    assert rows(refreshed, *S.GOLD.names) == rows(summary, *S.GOLD.names)
+    packed = new_folder(spark, "feedback")
+    jobs.compact(spark, out, S.FEEDBACK, packed)
+    assert rows(jobs.read_feedback(spark, packed), "silver_id") == rows(stored, "silver_id")
