@@ -11,10 +11,13 @@ whatever meets there is compared in all 64 bits.
 * More bits (as for near copies with a few words in a hundred changed) need
   more and shorter segments, cut from further fingerprints of the same shingles;
   these find links with a probability that grows with the number of segments.
+  Such links are candidates: with ``similarity``, the word shingles of both
+  texts are compared, and only texts that are alike enough stay linked.
 
 Equal fingerprints are one node throughout, so copies never form pairs. Where
 many fingerprints meet under one value, a task compares them in blocks and
-emits only links that join what was apart, never all pairs.
+emits only links that join what was apart, the closest ones first, never all
+pairs. So each candidate that is checked is the closest way to reach a text.
 
 Null texts count as empty; texts without words have fingerprint zero and are
 linked like any other. Null ids are kept; a component is named by its smallest
@@ -111,7 +114,9 @@ def _top(up: list, x: int) -> int:
     return x
 
 
-def _links(bits):
+def _links(bits, steps):
+    """``steps``: distances up to which links are joined one after the other."""
+
     def work(batches):
         held = None
         for batch in batches:
@@ -120,11 +125,11 @@ def _links(bits):
             # the last value may go on in the next batch
             cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
             held = [x[cut:] for x in rows]
-            yield from found([x[:cut] for x in rows], bits)
+            yield from found([x[:cut] for x in rows])
         if held is not None:
-            yield from found(held, bits)
+            yield from found(held)
 
-    def found(rows, bits):
+    def found(rows):
         values, rank, prints = rows
         if not len(values):
             return
@@ -134,16 +139,19 @@ def _links(bits):
         bare = nodes.view(np.uint64)
         up, links = list(range(len(nodes))), []
         root = np.arange(len(nodes))
-        for x, y in _blocks(rank == 0, starts, ends):
+        homes = rank == 0
+        for most, (x, y) in ((s, p) for s in steps for p in _blocks(homes, starts, ends)):
             x, y = own[x], own[y]
             apart = root[x] != root[y]
             x, y = x[apart], y[apart]
-            near = np.bitwise_count(bare[x] ^ bare[y]) <= bits
+            distance = np.bitwise_count(bare[x] ^ bare[y])
+            near = np.flatnonzero(distance <= most)
+            near = near[np.argsort(distance[near], kind="stable")]
             before = len(links)
             for a, b in zip(x[near].tolist(), y[near].tolist(), strict=True):
-                a, b = _top(up, a), _top(up, b)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
+                p, q = _top(up, a), _top(up, b)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
                     links.append((a, b))
             if len(links) > before:
                 root = np.array(up)
@@ -173,7 +181,47 @@ def links(nodes: DataFrame, bits: int = BITS, segment: int = 32) -> DataFrame:
         "fingerprint",
     )
     dealt = looked.repartition("value").sortWithinPartitions("value", "rank", "fingerprint")
-    return dealt.mapInArrow(_links(bits), "a long, b long").distinct()
+    steps = [s for s in (4, 6, 8) if s < bits] + [bits]
+    return dealt.mapInArrow(_links(bits, steps), "a long, b long").distinct()
+
+
+def _shingle_sets(words):
+    """The distinct hashes of a text's word shingles."""
+
+    def of(text: bytes) -> list[int]:
+        cut = text.lower().split()
+        if not cut:
+            return []
+        ends = range(words, max(words, len(cut)) + 1)
+        return list({xxhash.xxh64_intdigest(b" ".join(cut[e - words : e]), SEED) for e in ends})
+
+    def work(batches):
+        for batch in batches:
+            sets = [of(t.as_py()) for t in batch.column(1).cast(pa.large_binary())]
+            flat = np.fromiter((h for s in sets for h in s), np.uint64)
+            places = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(places), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["fingerprint", "shingles"])
+
+    return work
+
+
+def alike(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, words: int = 5) -> DataFrame:
+    """The candidates ``a``, ``b`` whose texts have the Jaccard similarity of
+    word shingles. ``nodes`` names a text of each fingerprint (``_first``,
+    ``_key``); only texts in candidates are read."""
+    ends = candidates.select(F.col("a").alias("fingerprint")).unionByName(candidates.select(F.col("b").alias("fingerprint")))
+    chosen = nodes.select("fingerprint", "_first", "_key").join(ends.distinct(), "fingerprint")
+    rows = docs.select(F.col(id_col).alias("_id"), whole(F.col(text_col)).alias("_text"))
+    rows = rows.withColumn("_own", F.xxhash64("_text"))
+    texts = rows.join(chosen, rows["_id"].eqNullSafe(chosen["_first"]) & (rows["_own"] == chosen["_key"]))
+    sets = texts.select("fingerprint", "_text").mapInArrow(_shingle_sets(words), "fingerprint long, shingles array<long>")
+    sets = materialise(sets.dropDuplicates(["fingerprint"]), "shingles")
+    side = lambda c, n: sets.select(F.col("fingerprint").alias(c), F.col("shingles").alias(n))
+    both = candidates.join(side("a", "_x"), "a").join(side("b", "_y"), "b")
+    both = both.withColumn("_same", F.size(F.array_intersect("_x", "_y")))
+    whole_set = F.size("_x") + F.size("_y") - F.col("_same")
+    return both.where((F.col("_same") > 0) & (F.col("_same") >= similarity * whole_set)).select("a", "b")
 
 
 def components(pairs: DataFrame, name: str = "components") -> DataFrame:
@@ -207,16 +255,25 @@ def components(pairs: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, segment: int = 32, further: int = 0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE,
+    segment: int = 32, further: int = 0, similarity: float | None = None, words: int = 5,
 ) -> DataFrame:
     """Every row's ``id_col``, ``text_key`` (xxhash64 of its text),
     ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest
-    id among the texts that links reach."""
+    id among the texts that links reach. With ``similarity``, links are only
+    kept between texts whose sets of shingles of ``words`` are that much alike."""
     if bits > 3 and not further:
         raise ValueError("halves of one fingerprint find links of three bits; give further ones for more")
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, further), "simhash")
-    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("_first"), F.min("words").alias("words"))
-    found = components(links(nodes, bits, segment), "simhash-links")
+    first = F.min(F.struct(id_col, "text_key", "words")).alias("_n")
+    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("_first"), first)
+    nodes = nodes.select("fingerprint", "_first", F.col("_n.text_key").alias("_key"), F.col("_n.words").alias("words"), F.col(f"_n.{id_col}").alias("_id"))
+    found = links(nodes, bits, segment)
+    if similarity:
+        found = materialise(found, "simhash-candidates")
+        chosen = nodes.select("fingerprint", F.col("_id").alias("_first"), "_key")
+        found = alike(found, chosen, docs, id_col, text_col, similarity, words)
+    found = components(found, "simhash-links")
     rooted = (
         nodes.select("fingerprint", "_first")
         .join(found, F.col("fingerprint") == F.col("node"), "left")
