@@ -18,7 +18,7 @@ FREQUENCY_RANGES = {
 DEFAULT_FREQUENCY_RANGE = (0, 8)
 BASE_DATE = "2024-01-01"
 
-_HASH_STEPS = 1_000_003
+_HASH_DIGITS = 12  # hexadecimal digits of a draw
 
 
 def augment(cases: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -28,8 +28,10 @@ def augment(cases: DataFrame, text: str = "raw_text") -> DataFrame:
 
 
 def _uniform(*parts: Column) -> Column:
-    """Number in [0, 1) that depends on the parts alone."""
-    return F.pmod(F.xxhash64(*parts), F.lit(_HASH_STEPS)) / F.lit(float(_HASH_STEPS))
+    """Number in [0, 1) that depends on the parts alone: the first digits of
+    their SHA-256, the same in any engine."""
+    digits = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, _HASH_DIGITS)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**_HASH_DIGITS))
 
 
 def _whole_between(low: Column, high: Column, *parts: Column) -> Column:
@@ -163,13 +165,15 @@ def stratified_split(
     examples: DataFrame, id_column: str, fraction: float = 0.15, seed: int = 42
 ) -> DataFrame:
     """Add ``is_validation``: true for ceil(fraction * n) rows of each class,
-    those with the lowest hash of their id.
+    those with the lowest hash of their id. Rows without a class are an error.
 
     Rows are counted per class and hash slice first. All rows of the slices
     below the cut are in and all above are out; only the one slice per class
     that holds the cut is ranked, and hashing makes slices equally small
     however the classes are sized. So no class is ever sorted whole.
     """
+    classed = F.coalesce("category", F.raise_error(F.lit("an example has no category")))
+    examples = examples.withColumn("category", classed)
     hashed = examples.withColumn("_hash", F.xxhash64(F.col(id_column), F.lit(seed)))
     # 64-bit hashes in 2**16 slices, in hash order.
     hashed = hashed.withColumn("_slice", F.shiftright("_hash", 48))

@@ -5,6 +5,7 @@ import re
 from ledgerlake import schema as S
 from ledgerlake.functions import text
 from ledgerlake.functions.rules import rule_table
+from ledgerlake.operators import labelled
 from ledgerlake.sources import alerts
 from ledgerlake.workload import views as V
 
@@ -43,6 +44,13 @@ _LABELS = _list(S.LABELS)
 _KEYS = "user_key, merchant_key"
 _FOLDED = "strip_accents(lower(text))"
 
+
+
+def _draw(name: str) -> str:
+    """Number in [0, 1) from the hash of case, sample, seed and name."""
+    return f"CAST('0x' || substr(sha256(concat_ws('|', case_id, sample, 42, '{name}')), 1, 12) AS BIGINT) / {float(16**12)}"
+
+
 # Named tables; each may use the others.
 CTES = {
     "pay": f"""
@@ -501,6 +509,13 @@ _SQL = {
         UNION ALL
         SELECT 'amount', silver_id, merchant, CAST(amount AS DOUBLE) FROM silver
         WHERE contains(regexp_replace(CAST(amount AS VARCHAR), '\.?0+$', ''), '3.5')""",
+    "txn_by_category": """
+        SELECT 'category' AS hit, silver_id, category, CAST(amount AS DOUBLE) AS amount
+        FROM stored WHERE category = 'Food'
+        UNION ALL
+        SELECT 'both', silver_id, category, CAST(stored.amount AS DOUBLE)
+        FROM stored JOIN silver USING (silver_id)
+        WHERE category = 'Health' AND (contains(lower(merchant), 'e') OR contains('health', 'e'))""",
     "txn_page": """
         SELECT user_id, position, silver_id, transaction_date, total_pages
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id
@@ -639,6 +654,69 @@ _SQL = {
                  + power(ln(1 + CAST(amount AS DOUBLE)), 2) + 1
                  + power((isodow(ts) - 1) / 6, 2), 6) AS squares
         FROM pay JOIN prepared USING (receiver) JOIN tokens USING (prepared)""",
+    "text_weights": r"""
+        WITH texts AS (SELECT prepared AS text, count(*) AS copies
+                       FROM pay JOIN prepared USING (receiver) GROUP BY prepared),
+        grams AS (
+          SELECT text, 'char' AS analyser, g AS term
+          FROM (SELECT text, unnest(flatten([[w[i:i + size - 1]
+                  for i in range(1, length(w) - size + 2)] for size in [2, 3, 4, 5]])) AS g
+                FROM (SELECT text, ' ' || w || ' ' AS w
+                      FROM (SELECT text, unnest(string_split(text, ' ')) AS w FROM texts)
+                      WHERE w <> ''))
+          UNION ALL
+          SELECT text, 'word', unnest(regexp_extract_all(text, '\w\w+')) FROM texts
+          UNION ALL
+          SELECT text, 'word', a || ' ' || b
+          FROM (SELECT text, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b
+                FROM (SELECT text, regexp_extract_all(text, '\w\w+') AS w FROM texts)
+                WHERE len(w) > 1)),
+        tf AS (SELECT text, analyser, term, count(*) AS tf FROM grams GROUP BY ALL),
+        idf AS (SELECT analyser, term, ln((1 + (SELECT sum(copies) FROM texts))
+                  / (1 + sum(copies))) + 1 AS idf
+                FROM tf JOIN texts USING (text) GROUP BY ALL HAVING sum(copies) >= 2)
+        SELECT text, analyser, term,
+               round(w / sqrt(sum(w * w) OVER (PARTITION BY text, analyser)), 6) AS weight
+        FROM (SELECT text, analyser, term, (1 + ln(tf)) * idf AS w
+              FROM tf JOIN idf USING (analyser, term))""",
+    "labelled_set": f"""
+        WITH cases AS (
+          SELECT user_id || '/' || raw_text AS case_id, raw_text AS receiver, category,
+                 min(CAST(amount AS DOUBLE)) AS amount_low, max(CAST(amount AS DOUBLE)) AS amount_high,
+                 min(hour(ts)) AS hour_low, max(hour(ts)) AS hour_high
+          FROM labelled GROUP BY user_id, raw_text, category),
+        variants AS (
+          SELECT receiver, list(v ORDER BY o) AS vs
+          FROM (SELECT receiver, v, min(o) AS o
+                FROM (SELECT receiver, unnest(range(6)) AS o, unnest([t, lower(t),
+                        CASE WHEN bare <> '' AND bare <> t THEN bare END,
+                        CASE WHEN bare <> '' AND bare <> t THEN lower(bare) END,
+                        CASE WHEN NOT starts_with(upper(t), 'VPA')
+                             THEN 'VPA ' || coalesce(nullif(bare, ''), t) END,
+                        CASE WHEN contains(t, '@') THEN replace(t, ' ', '') END]) AS v
+                      FROM (SELECT receiver, receiver AS t,
+                              trim(regexp_replace(receiver, '\\S+@\\S+\\s*', '', 'g')) AS bare
+                            FROM (SELECT DISTINCT receiver FROM cases)))
+                WHERE v IS NOT NULL GROUP BY receiver, v)
+          GROUP BY receiver),
+        ranges AS (
+          SELECT category, coalesce(low, {labelled.DEFAULT_FREQUENCY_RANGE[0]}) AS low,
+                 coalesce(high, {labelled.DEFAULT_FREQUENCY_RANGE[1]}) AS high
+          FROM (SELECT DISTINCT category FROM cases)
+          LEFT JOIN (VALUES {', '.join(f"('{c}', {a}, {b})" for c, (a, b) in labelled.FREQUENCY_RANGES.items())})
+            AS r(category, low, high) USING (category)),
+        drawn AS (
+          SELECT *, {_draw('amount')} AS a, {_draw('day')} AS d, {_draw('hour')} AS h,
+                 {_draw('minute')} AS m, {_draw('frequency')} AS f
+          FROM (SELECT *, unnest(range(40)) AS sample FROM cases))
+        SELECT case_id, CAST(sample AS INT) AS sample, vs[sample % len(vs) + 1] AS raw_text, category,
+               CAST(CAST(round(amount_low + a * (amount_high - amount_low), 2) AS DECIMAL(18, 2)) AS DOUBLE)
+                 AS amount,
+               TIMESTAMP '{labelled.BASE_DATE}' + to_days(CAST(floor(d * 365) AS INT))
+                 + to_hours(CAST(hour_low + floor(h * (hour_high - hour_low + 1)) AS INT))
+                 + to_minutes(CAST(floor(m * 60) AS INT)) AS "timestamp",
+               CAST(low + floor(f * (high - low + 1)) AS INT) AS freq_30d
+        FROM drawn JOIN variants USING (receiver) JOIN ranges USING (category)""",
     "class_distribution": "SELECT * FROM counts",
     "class_weights": """
         SELECT category, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight

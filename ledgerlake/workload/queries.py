@@ -315,6 +315,14 @@ def txn_search(spark: Spark, d: str) -> DataFrame:
     return money(found.select("hit", "silver_id", "merchant", "amount"), "amount")
 
 
+def txn_by_category(spark: Spark, d: str) -> DataFrame:
+    """One category's rows, and what a text finds among another's."""
+    rows = materialise(V.silver_categorised(spark, d), "silver")
+    food = insights.search(rows, category="Food").withColumn("hit", F.lit("category"))
+    both = insights.search(rows, text="E", category="Health").withColumn("hit", F.lit("both"))
+    return money(food.unionByName(both).select("hit", "silver_id", "category", "amount"), "amount")
+
+
 def txn_page(spark: Spark, d: str) -> DataFrame:
     rows = insights.page(V.silver(spark, d), number=2)
     return rows.select("user_id", "position", "silver_id", "transaction_date", "total_pages")
@@ -586,6 +594,14 @@ def feature_matrix(spark: Spark, d: str) -> DataFrame:
     )
 
 
+def text_weights(spark: Spark, d: str) -> DataFrame:
+    """The model's text features: weight of every term of every distinct text."""
+    texts = materialise(model.distinct_texts(V.labelled(spark, d)), "texts")
+    vocab = materialise(model.fit_vocabulary(texts), "vocabulary")
+    rows = model.text_weights(texts, vocab).join(vocab, "idx")
+    return rows.select("text", "analyser", "term", num("weight"))
+
+
 # Labelled data and evaluation ----------------------------------------------
 
 def class_distribution(spark: Spark, d: str) -> DataFrame:
@@ -832,6 +848,7 @@ QUERIES = {
     "months_newest_first": months_newest_first,
     "category_facets": category_facets,
     "txn_search": txn_search,
+    "txn_by_category": txn_by_category,
     "txn_page": txn_page,
     "txn_sorted": txn_sorted,
     "filtered_totals": filtered_totals,
@@ -867,6 +884,7 @@ QUERIES = {
     "vocabulary": vocabulary,
     "tfidf": tfidf,
     "feature_matrix": feature_matrix,
+    "text_weights": text_weights,
     "class_distribution": class_distribution,
     "class_weights": class_weights,
     "weighted_union": weighted_union,
