@@ -27,7 +27,7 @@ def augment(cases: DataFrame, text: str = "raw_text") -> DataFrame:
         .drop(text).withColumnRenamed("_v", text)
 
 
-def _uniform(*parts: Column) -> Column:
+def draw(*parts: Column) -> Column:
     """Number in [0, 1) that depends on the parts alone: the first digits of
     their SHA-256, the same in any engine."""
     digits = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, _HASH_DIGITS)
@@ -35,7 +35,7 @@ def _uniform(*parts: Column) -> Column:
 
 
 def _whole_between(low: Column, high: Column, *parts: Column) -> Column:
-    return (low + F.floor(_uniform(*parts) * (high - low + 1))).cast("int")
+    return (low + F.floor(draw(*parts) * (high - low + 1))).cast("int")
 
 
 def generate_examples(cases: DataFrame, samples: int = 40, seed: int = 42) -> DataFrame:
@@ -63,7 +63,7 @@ def generate_examples(cases: DataFrame, samples: int = 40, seed: int = 42) -> Da
         .withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
         .withColumn("_frequency", packed)
     )
-    amount = F.col("amount_low") + _uniform(case, i, s, F.lit("amount")) * (
+    amount = F.col("amount_low") + draw(case, i, s, F.lit("amount")) * (
         F.col("amount_high") - F.col("amount_low")
     )
     day = _whole_between(F.lit(0), F.lit(364), case, i, s, F.lit("day"))

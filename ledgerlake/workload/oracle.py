@@ -359,6 +359,31 @@ _PREDICTED = """
     SELECT example_id, l.category AS actual, d.category AS predicted, event_type
     FROM labelled l JOIN decided_plain d ON example_id = txn_id
     JOIN events ON event_id = example_id"""
+_TEXT_WEIGHTS = r"""
+        WITH texts AS (SELECT prepared AS text, count(*) AS copies
+                       FROM pay JOIN prepared USING (receiver) GROUP BY prepared),
+        grams AS (
+          SELECT text, 'char' AS analyser, g AS term
+          FROM (SELECT text, unnest(flatten([[w[i:i + size - 1]
+                  for i in range(1, length(w) - size + 2)] for size in [2, 3, 4, 5]])) AS g
+                FROM (SELECT text, ' ' || w || ' ' AS w
+                      FROM (SELECT text, unnest(string_split(text, ' ')) AS w FROM texts)
+                      WHERE w <> ''))
+          UNION ALL
+          SELECT text, 'word', unnest(regexp_extract_all(text, '\w\w+')) FROM texts
+          UNION ALL
+          SELECT text, 'word', a || ' ' || b
+          FROM (SELECT text, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b
+                FROM (SELECT text, regexp_extract_all(text, '\w\w+') AS w FROM texts)
+                WHERE len(w) > 1)),
+        tf AS (SELECT text, analyser, term, count(*) AS tf FROM grams GROUP BY ALL),
+        idf AS (SELECT analyser, term, ln((1 + (SELECT sum(copies) FROM texts))
+                  / (1 + sum(copies))) + 1 AS idf
+                FROM tf JOIN texts USING (text) GROUP BY ALL HAVING sum(copies) >= 2)
+        SELECT text, analyser, term,
+               w / sqrt(sum(w * w) OVER (PARTITION BY text, analyser)) AS weight
+        FROM (SELECT text, analyser, term, (1 + ln(tf)) * idf AS w
+              FROM tf JOIN idf USING (analyser, term))"""
 _LONG = "SELECT txn_id, category, round(p, 6) AS p FROM {table}"
 
 _SQL = {
@@ -654,31 +679,25 @@ _SQL = {
                  + power(ln(1 + CAST(amount AS DOUBLE)), 2) + 1
                  + power((isodow(ts) - 1) / 6, 2), 6) AS squares
         FROM pay JOIN prepared USING (receiver) JOIN tokens USING (prepared)""",
-    "text_weights": r"""
-        WITH texts AS (SELECT prepared AS text, count(*) AS copies
-                       FROM pay JOIN prepared USING (receiver) GROUP BY prepared),
-        grams AS (
-          SELECT text, 'char' AS analyser, g AS term
-          FROM (SELECT text, unnest(flatten([[w[i:i + size - 1]
-                  for i in range(1, length(w) - size + 2)] for size in [2, 3, 4, 5]])) AS g
-                FROM (SELECT text, ' ' || w || ' ' AS w
-                      FROM (SELECT text, unnest(string_split(text, ' ')) AS w FROM texts)
-                      WHERE w <> ''))
-          UNION ALL
-          SELECT text, 'word', unnest(regexp_extract_all(text, '\w\w+')) FROM texts
-          UNION ALL
-          SELECT text, 'word', a || ' ' || b
-          FROM (SELECT text, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b
-                FROM (SELECT text, regexp_extract_all(text, '\w\w+') AS w FROM texts)
-                WHERE len(w) > 1)),
-        tf AS (SELECT text, analyser, term, count(*) AS tf FROM grams GROUP BY ALL),
-        idf AS (SELECT analyser, term, ln((1 + (SELECT sum(copies) FROM texts))
-                  / (1 + sum(copies))) + 1 AS idf
-                FROM tf JOIN texts USING (text) GROUP BY ALL HAVING sum(copies) >= 2)
-        SELECT text, analyser, term,
-               round(w / sqrt(sum(w * w) OVER (PARTITION BY text, analyser)), 6) AS weight
-        FROM (SELECT text, analyser, term, (1 + ln(tf)) * idf AS w
-              FROM tf JOIN idf USING (analyser, term))""",
+    "text_weights": f"SELECT text, analyser, term, round(weight, 6) AS weight FROM ({_TEXT_WEIGHTS})",
+    "score_model": f"""
+        WITH weights AS ({_TEXT_WEIGHTS}),
+        labels AS (SELECT * FROM (VALUES {', '.join(
+            f"({i}, '{c}', {V.MADE_INTERCEPTS[i]!r}, {', '.join(map(repr, V.MADE_TAIL[i]))})"
+            for i, c in enumerate(S.LABELS))})
+          AS l(i, category, b, t0, t1, t2, t3, t4)),
+        sums AS (
+          SELECT text, category, sum(w.weight * (CAST('0x' || substr(sha256(concat_ws('|', analyser, term, category)), 1, 12)
+                   AS BIGINT) / {float(16**12)} - 0.5)) AS s
+          FROM weights w, labels GROUP BY ALL),
+        scores AS (
+          SELECT event_id AS example_id, l.category, 1 / (1 + exp(-(l.b + coalesce(s, 0)
+                   + t0 * ln(1 + CAST(amount AS DOUBLE)) + t1 * sin(2 * pi() * hour(ts) / 24)
+                   + t2 * cos(2 * pi() * hour(ts) / 24) + t3 * (isodow(ts) - 1) / 6))) AS q
+          FROM pay JOIN prepared USING (receiver) CROSS JOIN labels l
+          LEFT JOIN sums ON sums.text = prepared AND sums.category = l.category)
+        SELECT example_id, category, round(q / sum(q) OVER (PARTITION BY example_id), 6) AS p
+        FROM scores""",
     "labelled_set": f"""
         WITH cases AS (
           SELECT user_id || '/' || raw_text AS case_id, raw_text AS receiver, category,

@@ -706,6 +706,19 @@ def predict_proba(spark: Spark, d: str) -> DataFrame:
     )
 
 
+def score_model(spark: Spark, d: str) -> DataFrame:
+    """Probabilities by a model whose coefficients are drawn from hashes of the terms."""
+    examples = V.labelled(spark, d)
+    vocab = materialise(model.fit_vocabulary(model.distinct_texts(examples)), "vocabulary")
+    drawn = [labelled.draw("analyser", "term", F.lit(c)) - 0.5 for c in S.LABELS]
+    made = model.TextModel(
+        vocab, materialise(vocab.select("idx", F.array(*drawn).alias("w")), "coefficients"),
+        V.MADE_TAIL, V.MADE_INTERCEPTS, S.LABELS,
+    )
+    scored = model.predict_proba(examples, made, key="example_id")
+    return scoring.explode_probabilities(scored, "example_id").select("example_id", "category", num("p"))
+
+
 def refit_input(spark: Spark, d: str) -> DataFrame:
     rows = labelled.refit_input(V.feedback(spark, d))
     return rows.select("user_id", "silver_id", "raw_text", "category")
@@ -899,6 +912,7 @@ QUERIES = {
     "percentiles": percentiles,
     "train_model": train_model,
     "predict_proba": predict_proba,
+    "score_model": score_model,
     "refit_input": refit_input,
     "refit": refit,
     "model_status": model_status,
