@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
+from ledgerlake.sources.shared import materialise
 
 ANALYSERS = {"char": S.CHAR_VOCABULARY_MAX, "word": S.WORD_VOCABULARY_MAX}
 CHAR_SIZES = range(2, 6)
@@ -139,10 +140,18 @@ def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     )
 
 
-def document_tfidf(docs: DataFrame, key: str, text: str, analyser: str) -> DataFrame:
-    """Vocabulary and weights of one corpus in one go."""
+def document_tfidf(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    analyser: str,
+    size: int | None = None,
+    min_documents: int = S.MIN_DOCUMENT_FREQUENCY,
+) -> DataFrame:
+    """Vocabulary and weights of one corpus in one go. The counts are stored:
+    both the vocabulary and the weights are made of them."""
     parted = by_document(docs.select(key, text), key)
-    counts = term_counts(parted, key, text, analyser)
+    counts = materialise(term_counts(parted, key, text, analyser), "term-counts")
     total = docs.agg(F.count("*")).scalar()
-    vocab = vocabulary(term_statistics(counts), total, ANALYSERS[analyser])
+    vocab = vocabulary(term_statistics(counts), total, size or ANALYSERS[analyser], min_documents)
     return tfidf(counts, vocab, key)

@@ -10,6 +10,8 @@ per row does not depend on how many rows the span holds.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.sources.shared import materialise
+
 MICROS_PER_HOUR = 3_600_000_000
 SPAN_30_DAYS = 30 * 24 * MICROS_PER_HOUR
 
@@ -47,6 +49,8 @@ def trailing_sums(
     timed = df.select("*", micros(F.col(timestamp)).alias("_t"),
                       *[c.alias(f"_m_{n}") for n, c in measures.items()])
     timed = timed.withColumn("_slot", F.floor(F.col("_t") / slot).cast("long"))
+    # Both branches below start from here: what the rows are made of is made once.
+    timed = materialise(timed, "timed")
 
     # Totals of the full slots strictly between the two edge slots. A key has
     # at most one row per slot here, whatever its number of transactions.
