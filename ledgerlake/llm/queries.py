@@ -4,11 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import decontaminate, fingerprints, lines, packing, personal, quality, secrets, simhash, substrings, tokenfiles
+from ledgerlake.llm.rows import reachable
 from ledgerlake.sources.shared import new_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

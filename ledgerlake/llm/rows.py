@@ -1,6 +1,9 @@
 """Helpers for the operators that use DataFrame functions alone."""
 
-from pyspark.sql import Column, DataFrame
+import os
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +13,20 @@ from ledgerlake.llm.text import whole
 _PART_BIT = 33  # monotonically_increasing_id counts rows below it and partitions above
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it lies, also if the driver
+    found it by its own search path. A Connect session ships its files itself."""
+    root = str(Path(__file__).resolve().parents[2])
+    try:
+        environment = spark.sparkContext.environment
+    except AttributeError:  # a Connect session has no context
+        return spark
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+    return spark
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id``, ``_text`` (null: empty) and a key that is never null: hashes
     of the text (``_a``) and of the id (``_b``). Rows with equal id and text
