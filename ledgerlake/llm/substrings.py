@@ -39,7 +39,7 @@ from ledgerlake.sources.shared import materialise
 LENGTH = 100
 GRAM = 32
 #: Entries that a task's levels hold at most; beyond it a new family begins, and the common scan finds the rest.
-HELD = 1_500_000
+HELD = 600_000
 
 _ENTRY = ["h", "content", "n", "s", "e"]
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once. Working arrays take about 40 times as much.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
