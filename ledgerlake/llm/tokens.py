@@ -19,7 +19,7 @@ from ledgerlake.llm.text import as_bytes, chunks
 #: The id that ends each document.
 END = 1
 #: Words whose ids a worker keeps from batch to batch.
-KEPT = 300_000
+KEPT = 450_000
 #: Bytes of text that are encoded at once.
 CHUNK_BYTES = 8_000_000
 
