@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.sources.shared import materialise
+
 
 def confusion(predictions: DataFrame) -> DataFrame:
     """(actual, predicted, n): at most one row per pair of labels."""
@@ -106,7 +108,9 @@ def percentiles(
     units = durations.where(F.col(column).isNotNull()).select(
         F.round(F.col(column).cast("double") * 1_000_000).cast("long").alias("_u")
     )
-    n = units.agg(F.count("*")).scalar()
+    # Values with their counts, written once: each round reads only these.
+    units = materialise(units.groupBy("_u").agg(F.count("*").alias("_c")), "durations")
+    n = units.agg(F.sum("_c")).scalar()
     wanted = F.array(
         *[
             F.struct(
@@ -121,7 +125,7 @@ def percentiles(
     cuts = spark.range(1).select(F.inline(wanted)).withColumn("_prefix", F.lit(0).cast("long"))
     for i in range(_ROUNDS):
         digit = F.shiftright("_u", _DIGIT * (_ROUNDS - 1 - i))
-        counted = units.select(digit.alias("_d"))
+        counted = units.select(digit.alias("_d"), "_c")
         if i:
             prefixes = cuts.select("_prefix").distinct()
             counted = counted.withColumn("_prefix", F.shiftright("_d", _DIGIT)).join(
@@ -129,7 +133,7 @@ def percentiles(
             )
         else:
             counted = counted.withColumn("_prefix", F.lit(0).cast("long"))
-        bins = counted.groupBy("_prefix", "_d").agg(F.count("*").alias("_n"))
+        bins = counted.groupBy("_prefix", "_d").agg(F.sum("_c").alias("_n"))
         lower = Window.partitionBy("_prefix").orderBy("_d").rowsBetween(
             Window.unboundedPreceding, -1
         )
