@@ -78,7 +78,7 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: Column, text: Column) -> Column:
     """Whether a match passes the check of its kind."""
-    small = lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3
+    small = lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3
     octets = F.forall(F.split(text, r"\."), lambda p: small(p) & (F.substring(p, -3, 3).cast("int") <= 255))
     n = F.length(_digits(text))
     return (

@@ -290,6 +290,14 @@ def test_personal_data_patterns_read_long_runs_once(spark):
     assert got == {i: brute.personal(t) for i, (t,) in enumerate(texts)}
 
 
+def test_octets_are_compared_whole(spark):
+    texts = ["built 2024.1.2.3 here", "v 1.2.3.1000 x", "at 1000.1.1.1", "from 0001.2.3.4 on", "0000.000.0255.1", "0256.1.1.1", "9" * 30 + ".1.1.1"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [f"{x.kind}:{x.start}:{x.end}" for x in r.found if x.base] for r in personal.find(frame).collect()}
+    assert got == {i: brute.personal(t) for i, t in enumerate(texts)}
+    assert [i for i, found in got.items() if found] == [3, 4]
+
+
 def test_reliabilities_trust_labelers_that_agree():
     counts = [("ip", 1, 1, 0, 1, 80), ("ip", -1, -1, 0, -1, 40), ("ip", 1, -1, 0, 1, 5), ("ip", -1, 1, 0, -1, 5)]
     likely = personal.reliabilities(counts)
