@@ -8,16 +8,19 @@ whatever meets there is compared in all 64 bits.
 
 * Three bits: two fingerprints that near agree in one of their two 32-bit halves
   up to one bit, so halves find every link.
-* More bits (as for near copies with a few words in a hundred changed) need
-  more and shorter segments, cut from further fingerprints of the same shingles;
-  these find links with a probability that grows with the number of segments.
-  Such links are candidates: with ``similarity``, the word shingles of both
-  texts are compared, and only texts that are alike enough stay linked.
+* More bits need more and shorter segments, cut from further fingerprints of the
+  same shingles; these find links with a probability that grows with the number
+  of segments.
 
-Equal fingerprints are one node throughout, so copies never form pairs. Where
-many fingerprints meet under one value, a task compares them in blocks and
-emits only links that join what was apart, the closest ones first, never all
-pairs. So each candidate that is checked is the closest way to reach a text.
+Equal fingerprints are one node, so copies never form pairs. Where many
+fingerprints meet under one value, a task compares them in blocks and emits only
+links that join what was apart, the closest ones first, never all pairs.
+
+With ``similarity``, texts are linked by the Jaccard similarity of their sets of
+word shingles, and fingerprints are only returned. Nodes are the sets, so that
+texts which share a fingerprint and no more are never taken for copies; where
+they meet is in ``minhash``. Each link is a pair whose sets were compared. Nodes
+that meet are compared with a few of those they meet.
 
 Null texts count as empty; texts without words have fingerprint zero and are
 linked like any other. Null ids are kept; a component is named by its smallest
@@ -31,12 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm import minhash
 from ledgerlake.llm.text import mixed, whole
 from ledgerlake.sources.shared import materialise
 
 BITS = 3
 SHINGLE = 3
 SEED = 42
+#: Turns in which nodes are compared with a few of those they meet.
+TURNS = 2
 _BLOCK = 1_000_000  # pairs compared at once
 _MANY = 2_000  # rows behind a home from which on it is a block of its own
 _HASHES = 1 << 16  # hashes whose bits are counted at once
@@ -185,39 +191,49 @@ def links(nodes: DataFrame, bits: int = BITS, segment: int = 32) -> DataFrame:
     return dealt.mapInArrow(_links(bits, steps), "a long, b long").distinct()
 
 
-def _shingle_sets(words):
-    """The distinct hashes of a text's word shingles."""
+def _signed(shingle, words):
+    def work(batches):
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_binary()).to_pylist()
+            sets = (minhash.shingles(t, words) for t in texts)
+            found = [(minhash.set_key(x), minhash.minima(x).astype("<u4").tobytes()) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:2],
+                    pa.array([fingerprint(t, shingle)[0] for t in texts], pa.int64()),
+                    pa.array([x for x, _ in found], pa.int64()),
+                    pa.array([x for _, x in found], pa.binary()),
+                ],
+                names=["_id", "text_key", "fingerprint", "node", "minima"],
+            )
+
+    return work
 
-    def of(text: bytes) -> list[int]:
-        cut = text.lower().split()
-        if not cut:
-            return []
-        ends = range(words, max(words, len(cut)) + 1)
-        return list({xxhash.xxh64_intdigest(b" ".join(cut[e - words : e]), SEED) for e in ends})
 
+def _shingle_sets(words):
     def work(batches):
         for batch in batches:
-            sets = [of(t.as_py()) for t in batch.column(1).cast(pa.large_binary())]
-            flat = np.fromiter((h for s in sets for h in s), np.uint64)
+            sets = [minhash.shingles(t.as_py(), words) for t in batch.column(1).cast(pa.large_binary())]
             places = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(places), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["fingerprint", "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"])
 
     return work
 
 
-def alike(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, words: int = 5) -> DataFrame:
-    """The candidates ``a``, ``b`` whose texts have the Jaccard similarity of
-    word shingles. ``nodes`` names a text of each fingerprint (``_first``,
-    ``_key``); only texts in candidates are read."""
-    ends = candidates.select(F.col("a").alias("fingerprint")).unionByName(candidates.select(F.col("b").alias("fingerprint")))
-    chosen = nodes.select("fingerprint", "_first", "_key").join(ends.distinct(), "fingerprint")
-    rows = docs.select(F.col(id_col).alias("_id"), whole(F.col(text_col)).alias("_text"))
-    rows = rows.withColumn("_own", F.xxhash64("_text"))
-    texts = rows.join(chosen, rows["_id"].eqNullSafe(chosen["_first"]) & (rows["_own"] == chosen["_key"]))
-    sets = texts.select("fingerprint", "_text").mapInArrow(_shingle_sets(words), "fingerprint long, shingles array<long>")
-    sets = materialise(sets.dropDuplicates(["fingerprint"]), "shingles")
-    side = lambda c, n: sets.select(F.col("fingerprint").alias(c), F.col("shingles").alias(n))
+def shingle_sets(chosen: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``node`` and ``shingles``, the set of each of the ``chosen`` nodes, from
+    the text that it names (``_id``, ``text_key``)."""
+    rows = docs.select(F.col(id_col).alias("_own"), whole(F.col(text_col)).alias("_text"))
+    rows = rows.withColumn("_key", F.xxhash64("_text"))
+    texts = rows.join(chosen, rows["_own"].eqNullSafe(chosen["_id"]) & (rows["_key"] == chosen["text_key"]))
+    sets = texts.select("node", "_text").mapInArrow(_shingle_sets(words), "node long, shingles array<long>")
+    return sets.dropDuplicates(["node"])
+
+
+def alike(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The candidates ``a``, ``b`` whose sets have the Jaccard similarity."""
+    side = lambda c, n: sets.select(F.col("node").alias(c), F.col("shingles").alias(n))
     both = candidates.join(side("a", "_x"), "a").join(side("b", "_y"), "b")
     both = both.withColumn("_same", F.size(F.array_intersect("_x", "_y")))
     whole_set = F.size("_x") + F.size("_y") - F.col("_same")
@@ -260,27 +276,55 @@ def near_duplicates(
 ) -> DataFrame:
     """Every row's ``id_col``, ``text_key`` (xxhash64 of its text),
     ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest
-    id among the texts that links reach. With ``similarity``, links are only
-    kept between texts whose sets of shingles of ``words`` are that much alike."""
+    id among the texts that links reach. With ``similarity``, links are between
+    texts whose sets of shingles of ``words`` are that much alike, and ``bits``,
+    ``segment`` and ``further`` aren't used."""
+    if similarity:
+        return _alike_duplicates(docs, id_col, text_col, shingle, similarity, words)
     if bits > 3 and not further:
         raise ValueError("halves of one fingerprint find links of three bits; give further ones for more")
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, further), "simhash")
-    first = F.min(F.struct(id_col, "text_key", "words")).alias("_n")
-    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("_first"), first)
-    nodes = nodes.select("fingerprint", "_first", F.col("_n.text_key").alias("_key"), F.col("_n.words").alias("words"), F.col(f"_n.{id_col}").alias("_id"))
-    found = links(nodes, bits, segment)
-    if similarity:
-        found = materialise(found, "simhash-candidates")
-        chosen = nodes.select("fingerprint", F.col("_id").alias("_first"), "_key")
-        found = alike(found, chosen, docs, id_col, text_col, similarity, words)
-    found = components(found, "simhash-links")
-    rooted = (
-        nodes.select("fingerprint", "_first")
-        .join(found, F.col("fingerprint") == F.col("node"), "left")
-        .select("fingerprint", "_first", F.coalesce("root", "fingerprint").alias("root"))
-    )
+    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("_first"), F.min_by("words", "text_key").alias("words"))
+    found = components(links(nodes, bits, segment), "simhash-links")
+    prints = prints.select(F.col(id_col).alias("_id"), "text_key", "fingerprint", F.col("fingerprint").alias("node"))
+    return _named(prints, nodes.select(F.col("fingerprint").alias("node"), "_first"), found, id_col)
+
+
+def _named(prints: DataFrame, nodes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``prints`` (``_id``, ``text_key``, ``fingerprint``, ``node``) with the
+    smallest id (``_first``) among the ``nodes`` of each root in ``found``."""
+    found = found.select(F.col("node").alias("_linked"), "root")
+    rooted = nodes.join(found, F.col("node") == F.col("_linked"), "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = materialise(rooted.join(named, "root").select("fingerprint", "component_id"), "simhash-components")
-    return prints.select(id_col, "text_key", "fingerprint").join(named, "fingerprint").select(
-        id_col, "text_key", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = materialise(rooted.join(named, "root").select("node", "component_id"), "simhash-components")
+    shown = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
+    return prints.join(named, "node").select(F.col("_id").alias(id_col), "text_key", shown, "component_id")
+
+
+def _alike_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, words: int) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("_id"), whole(F.col(text_col)).alias("_text"))
+    rows = rows.select("_id", F.xxhash64("_text").alias("text_key"), "_text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    prints = rows.mapInArrow(_signed(shingle, words), f"_id {kind}, text_key long, fingerprint long, node long, minima binary")
+    prints = materialise(prints, "minhash")
+    nodes = prints.groupBy("node").agg(F.min("_id").alias("_first"), F.min(F.struct("_id", "text_key", "minima")).alias("_n"))
+    nodes = materialise(nodes.select("node", "_first", "_n.*"), "minhash-nodes")
+    met = materialise(minhash.meetings(nodes), "minhash-meetings")
+    chosen = met.select("node").distinct().join(nodes.select("node", "_id", "text_key"), "node")
+    sets = materialise(shingle_sets(chosen, docs, id_col, text_col, words), "shingles")
+    found, tested, linked = None, None, None
+    for turn in range(TURNS):
+        if found is None:
+            placed = met.withColumn("root", F.col("node"))
+        else:
+            known = found.select(F.col("node").alias("_linked"), "root")
+            placed = met.join(known, F.col("node") == F.col("_linked"), "left").select("value", "node", F.coalesce("root", "node").alias("root"))
+        pairs = minhash.to_centres(placed, turn)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "minhash-candidates")
+        good = materialise(alike(pairs, sets, similarity), "minhash-links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        linked = good if linked is None else linked.unionByName(good)
+        found = components(linked, "minhash-components")
+    return _named(prints.drop("minima"), nodes.select("node", "_first"), found, id_col)

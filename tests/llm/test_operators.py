@@ -5,10 +5,11 @@ import random
 
 import brute
 import cases
+import corpus_pipeline
 import pyarrow as pa
 import pytest
 from ledgerlake.llm import (
-    decontaminate, fingerprints, lines, packing, personal, quality, queries, secrets, simhash, substrings, tokenfiles, tokens,
+    decontaminate, fingerprints, lines, minhash, packing, personal, quality, queries, secrets, simhash, substrings, tokenfiles, tokens,
 )
 from ledgerlake.sources.shared import new_folder
 from pyspark.sql import functions as F
@@ -114,6 +115,35 @@ def test_near_copies_are_found(spark):
     assert joined >= 38 and all(got[2 * i] == 2 * i for i in range(40))
 
 
+def near_groups(spark, texts):
+    """Component of each text, and brute force over all pairs."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR).collect()}
+    sets = [brute.shingles(t) for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if least[i] != least[j] and brute.jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    return got, dict(enumerate(least))
+
+
+def test_isolated_pairs_are_found_whatever_the_edit(spark):
+    """Pairs alike to 0.80-0.85 that differ in one stretch or in scattered words."""
+    rng = random.Random(21)
+    texts = []
+    for i in range(160):
+        text = cases.words(rng, 304).split()
+        new = cases.words(rng, 75).split()
+        edits = [text + new[:70], text[:-58], text[:120] + new[:28] + text[148:], [w + "zz" if k % 50 == 9 else w for k, w in enumerate(text)]]
+        texts += [" ".join(text), " ".join(edits[i % 4])]
+    likely = [brute.jaccard(*map(brute.shingles, texts[i : i + 2])) for i in range(0, len(texts), 2)]
+    assert all(0.8 <= x < 0.85 for x in likely)
+    got, expected = near_groups(spark, texts)
+    assert got == expected and all(got[i + 1] == i for i in range(0, len(texts), 2))
+
+
 def test_substrings(spark, folder):
     got = queries.op8_suffix_dedup(spark, folder)
     expected = brute.repeats([r[:2] for r in DOCS])
