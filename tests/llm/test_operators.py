@@ -144,6 +144,15 @@ def test_isolated_pairs_are_found_whatever_the_edit(spark):
     assert got == expected and all(got[i + 1] == i for i in range(0, len(texts), 2))
 
 
+def test_equal_fingerprints_are_no_proof(spark):
+    rng = random.Random(22)
+    texts = [cases.words(rng, 150) + " |" * 180 for _ in range(6)]
+    texts += [texts[0].upper(), texts[1].replace(" ", "  ", 3)]
+    assert len({brute.simhash(t) for t in texts}) == 1
+    got, expected = near_groups(spark, texts)
+    assert got == expected == {**{i: i for i in range(6)}, 6: 0, 7: 1}
+
+
 def test_substrings(spark, folder):
     got = queries.op8_suffix_dedup(spark, folder)
     expected = brute.repeats([r[:2] for r in DOCS])
