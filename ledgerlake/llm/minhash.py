@@ -21,6 +21,10 @@ BANDS = 25
 MINIMA = BAND * BANDS
 _BAND_BITS = 5  # of a value, which name its band
 _SHINGLES = 512  # hashed by all functions at once
+#: Members of a value that are compared in one task; more are dealt in blocks.
+BLOCK = 2000
+#: Smallest hashes of a set that go with it: all of most sets.
+SKETCH = 512
 
 _FACTORS = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 _TERMS = mixed(np.arange(MINIMA + 1, 2 * MINIMA + 1, dtype=np.uint64))
@@ -80,3 +84,91 @@ def to_centres(met: DataFrame, turn: int) -> DataFrame:
     centres = met.groupBy("value").agg(F.min(own).alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
     both = met.join(centres.select("value", "c"), "value").filter("root <> c.root")
     return both.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
+def _likeness(x: np.ndarray, y: np.ndarray, size: int) -> tuple[float, bool]:
+    """Jaccard similarity by the ``size`` smallest hashes of two sets, and whether
+    these are all hashes."""
+    ends = [z[-1] for z in (x, y) if len(z) >= size]
+    if ends:
+        x, y = (z[: np.searchsorted(z, min(ends), side="right")] for z in (x, y))
+    if not len(x) or not len(y):
+        return 0.0, not ends
+    same = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return same / (len(x) + len(y) - same), not ends
+
+
+def _lists(column) -> np.ndarray:
+    """Each row's array, unsigned."""
+    flat, places = column.flatten().to_numpy().view(np.uint64), np.cumsum([0, *column.value_lengths().to_pylist()])
+    out = np.empty(len(column), object)
+    out[:] = [flat[i:j] for i, j in zip(places, places[1:], strict=False)]
+    return out
+
+
+def _across(similarity: float, size: int):
+    """Pairs of different roots that are alike as far as minima and sketches
+    tell, in the first band that they have in common."""
+    spread = similarity * (1 - similarity)
+    least, close = similarity - 5 * (spread / MINIMA) ** 0.5, similarity - 5 * (spread / size) ** 0.5
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            now = [np.asarray(batch.column(i)) for i in range(6)] + [_matrix(batch.column(6)), _lists(batch.column(7))]
+            rows = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(rows[0]):
+                continue
+            new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
+            starts = [0, *new.tolist()]
+            for i, j in zip(starts, starts[1:], strict=False):
+                yield from found([x[i:j] for x in rows])
+            # the last group may go on in the next batch
+            held = [x[starts[-1] :].copy() for x in rows]
+        if held is not None:
+            yield from found(held)
+
+    def found(rows):
+        value, low, high, block, node, root, signs, sketches = rows
+        band, apart = int(value[0]) & ((1 << _BAND_BITS) - 1), low[0] != high[0]
+        # the members of the largest root stand last: they have none behind them
+        _, at, often = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.lexsort((at, often[at]))
+        block, node, signs, sketches = block[order], node[order], signs[order], sketches[order]
+        ends = np.flatnonzero(np.diff(at[order], append=-1)) + 1
+        behind = ends[np.searchsorted(ends, np.arange(len(node)), side="right")]
+        a, b = [], []
+        for i in np.flatnonzero(behind < len(node)).tolist():
+            same = signs[behind[i] :] == signs[i]
+            near = np.count_nonzero(same, axis=1) >= least * MINIMA
+            if apart:
+                near &= block[behind[i] :] != block[i]
+            near = np.flatnonzero(near)
+            first = same[near].reshape(-1, BANDS, BAND).all(axis=2).argmax(axis=1)
+            others = []
+            for j in (behind[i] + near[first == band]).tolist():
+                likely, sure = _likeness(sketches[i], sketches[j], size)
+                if likely >= (similarity - 1e-9 if sure else close):
+                    others.append(int(node[j]))
+            own = int(node[i])
+            a += [min(own, x) for x in others]
+            b += [max(own, x) for x in others]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return work
+
+
+def across(met: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``a`` < ``b`` of nodes of different roots that meet, but for
+    those whose minima (``nodes``) or smallest hashes (``sets``) agree five
+    standard errors less than ``similarity``."""
+    several = met.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
+    several = several.select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    signs = nodes.select("node", "minima").join(sets.select("node", F.slice("shingles", 1, SKETCH).alias("sketch")), "node")
+    rows = met.join(several, "value").join(signs, "node")
+    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    named = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "minima", "sketch"]
+    dealt = rows.select("value", *named).repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
+    return dealt.mapInArrow(_across(similarity, SKETCH), "a long, b long")

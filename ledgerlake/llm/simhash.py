@@ -20,7 +20,9 @@ With ``similarity``, texts are linked by the Jaccard similarity of their sets of
 word shingles, and fingerprints are only returned. Nodes are the sets, so that
 texts which share a fingerprint and no more are never taken for copies; where
 they meet is in ``minhash``. Each link is a pair whose sets were compared. Nodes
-that meet are compared with a few of those they meet.
+that meet are first compared with a few of those they meet, which joins most of
+a large family; then all pairs that meet and are still apart are compared, so a
+text stays alone only if none that it meets is alike.
 
 Null texts count as empty; texts without words have fingerprint zero and are
 linked like any other. Null ids are kept; a component is named by its smallest
@@ -41,7 +43,7 @@ from ledgerlake.sources.shared import materialise
 BITS = 3
 SHINGLE = 3
 SEED = 42
-#: Turns in which nodes are compared with a few of those they meet.
+#: Turns in which nodes are compared with a few of those they meet, before all that are still apart.
 TURNS = 2
 _BLOCK = 1_000_000  # pairs compared at once
 _MANY = 2_000  # rows behind a home from which on it is a block of its own
@@ -313,13 +315,13 @@ def _alike_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     chosen = met.select("node").distinct().join(nodes.select("node", "_id", "text_key"), "node")
     sets = materialise(shingle_sets(chosen, docs, id_col, text_col, words), "shingles")
     found, tested, linked = None, None, None
-    for turn in range(TURNS):
+    for turn in range(TURNS + 1):
         if found is None:
             placed = met.withColumn("root", F.col("node"))
         else:
             known = found.select(F.col("node").alias("_linked"), "root")
             placed = met.join(known, F.col("node") == F.col("_linked"), "left").select("value", "node", F.coalesce("root", "node").alias("root"))
-        pairs = minhash.to_centres(placed, turn)
+        pairs = minhash.to_centres(placed, turn) if turn < TURNS else minhash.across(placed, nodes, sets, similarity)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "minhash-candidates")

@@ -153,6 +153,24 @@ def test_equal_fingerprints_are_no_proof(spark):
     assert got == expected == {**{i: i for i in range(6)}, 6: 0, 7: 1}
 
 
+def test_members_of_a_template_are_compared_with_each_other(spark, monkeypatch):
+    """Texts that are closer to a template than to each other, but only alike to each other."""
+    rng = random.Random(23)
+    texts = []
+    for _ in range(6):
+        base = cases.words(rng, 200).split()
+        for _ in range(8):
+            member = base[: 200 - rng.randint(0, 60)] + cases.words(rng, rng.randint(0, 50)).split()
+            member[rng.randint(0, 60)] += "q"
+            texts += [" ".join(member), " ".join(member[: -rng.randint(5, 35)] + cases.words(rng, 2).split())]
+    got, expected = near_groups(spark, texts)
+    assert got == expected and len({*got.values()}) > 12
+    monkeypatch.setattr(simhash, "TURNS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SKETCH", 150)
+    assert near_groups(spark, texts)[0] == expected
+
+
 def test_substrings(spark, folder):
     got = queries.op8_suffix_dedup(spark, folder)
     expected = brute.repeats([r[:2] for r in DOCS])
