@@ -8,7 +8,7 @@ from ledgerlake.plans import daily
 from ledgerlake.sources.shared import new_folder
 from ledgerlake.workload.views import probability_arrays
 
-from test_operators import make_raw
+from spend_cases import make_raw
 
 
 def as_of():

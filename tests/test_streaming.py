@@ -9,7 +9,7 @@ from ledgerlake.operators import bronze, feedback, gold, silver
 from ledgerlake.sources.shared import new_folder
 from ledgerlake.streaming import jobs
 
-from test_operators import make_corrections, make_raw, make_silver
+from spend_cases import make_corrections, make_raw, make_silver
 
 
 def as_of():
