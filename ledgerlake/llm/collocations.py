@@ -50,7 +50,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
-_STRIPES = "lang string, prefix string, part int, next array<string>, n array<long>"
+#: ``counter``: next words, a tab and the count behind each that follows more than
+#: once, joined by spaces (neither sign is in a word); the empty word stands for all.
+_STRIPES = "lang string, prefix string, part int, counter string"
 
 
 def _hashes(strings: pa.Array) -> np.ndarray:
@@ -134,8 +136,8 @@ def _word_counts(batches):
 
 def _stripes(words: _Words, prefixes: pa.Array, lang, times, hot, of, following) -> pa.RecordBatch:
     """The stripes of some prefixes, of which ``times`` are the occurrences. ``of``
-    and ``following``: prefix and next term, wherever one follows. The counter of a
-    prefix's occurrences has no next word."""
+    and ``following``: prefix and next term, wherever one follows. All of a
+    prefix's occurrences count for the empty word."""
     terms = max(1, len(words.words))
     pairs, n = np.unique(of * terms + following, return_counts=True)
     of, following = pairs // terms, pairs % terms
@@ -148,16 +150,17 @@ def _stripes(words: _Words, prefixes: pa.Array, lang, times, hot, of, following)
     key, following, n = key[order], following[order], n[order]
     keys, first = np.unique(key, return_index=True)
     offsets = pa.array(np.append(first, len(key)), pa.int32())
-    nexts = words.words.cast(pa.string()).take(pa.array(following, mask=following < 0))
+    nexts = pc.fill_null(words.words.cast(pa.string()).take(pa.array(following, mask=following < 0)), "")
+    counted = pc.binary_join_element_wise(nexts, pa.array(n).cast(pa.string()), "\t")
+    entries = pc.if_else(pa.array(n > 1), counted, nexts)
     own = keys // (PARTS + 1)
     columns = [
         words.langs.take(pa.array(lang[own])).cast(pa.string()),
         prefixes.cast(pa.string()).take(pa.array(own)),
         pa.array(keys % (PARTS + 1), pa.int32()),
-        pa.ListArray.from_arrays(offsets, nexts),
-        pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64())),
+        pc.binary_join(pa.ListArray.from_arrays(offsets, entries), " "),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "part", "next", "n"])
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "part", "counter"])
 
 
 def _word_stripes(often: _Marked, hot: _Marked):
@@ -209,10 +212,11 @@ def _merged(stripes: DataFrame, least: int) -> DataFrame:
     the next words that occur ``least`` times."""
     key = ["lang", "prefix", "part"]
     dealt = stripes.repartition(*key)
-    each = dealt.select(*key, F.explode(F.arrays_zip("next", "n")).alias("e")).select(*key, "e.next", "e.n")
-    summed = each.groupBy(*key, "next").agg(F.sum("n").alias("n"))
-    extension = F.when(F.col("next").isNotNull() & (F.col("n") >= least), F.struct("next", "n"))
-    whole_again = summed.groupBy(*key).agg(F.max(F.when(F.col("next").isNull(), F.col("n"))).alias("total"), F.collect_list(extension).alias("counter"))
+    each = dealt.select(*key, F.explode(F.split("counter", " ", -1)).alias("e"))
+    n = F.when(F.contains("e", F.lit("\t")), F.substring_index("e", "\t", -1).cast("long")).otherwise(1)
+    summed = each.groupBy(*key, F.substring_index("e", "\t", 1).alias("next")).agg(F.sum(n).alias("n"))
+    extension = F.when((F.col("next") != "") & (F.col("n") >= least), F.struct("next", "n"))
+    whole_again = summed.groupBy(*key).agg(F.max(F.when(F.col("next") == "", F.col("n"))).alias("total"), F.collect_list(extension).alias("counter"))
     return materialise(whole_again.filter((F.col("total") >= least) | (F.size("counter") > 0)), "stripes")
 
 
