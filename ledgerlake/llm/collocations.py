@@ -24,7 +24,7 @@ next words, so that no prefix has to be in one task.
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.text import Spans, as_bytes, chunks, mixed, runs, whole
@@ -274,3 +274,19 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     kept = best.filter(F.col("a").isNotNull() & ~subsumed).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     return kept.join(sizes, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
+
+
+def strongest(phrases: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of each language by score and occurrences (both descending)
+    and phrase, with ``rank``.
+
+    Counts of logarithmic bands of the score, a thousand a language at most, say
+    from which band on the first ``k`` come; only phrases from there are ranked.
+    """
+    banded = materialise(phrases.withColumn("band", F.floor(F.log2(F.col("score") + 1) * 50)), "phrases")
+    counts = banded.groupBy("lang", "band").agg(F.count("*").alias("m"))
+    higher = F.sum("m").over(Window.partitionBy("lang").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1))
+    bands = counts.withColumn("higher", F.coalesce(higher, F.lit(0))).filter(F.col("higher") < k)
+    chosen = banded.join(bands.select("lang", "band"), ["lang", "band"], "left_semi").drop("band")
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    return chosen.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)

@@ -1,6 +1,6 @@
 """The registered queries of the operators, with their production parameters."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import (
@@ -155,10 +155,8 @@ PHRASES = 2000
 
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The strongest phrases of each language."""
-    found = collocations.mine(_table(spark, folder, "documents"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PHRASES)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    found = collocations.strongest(collocations.mine(_table(spark, folder, "documents")), PHRASES)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 QUERIES = {

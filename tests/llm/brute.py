@@ -134,3 +134,72 @@ def shingles(text, n=5):
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def encoded(values):
+    return "".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values)
+
+
+def merkle(leaves, fanout=2):
+    """Root of a list of hashes, and of each the (before, after) siblings."""
+    paths, at, nodes = [[] for _ in leaves], list(range(len(leaves))), list(leaves)
+    while len(nodes) > 1:
+        for leaf, i in enumerate(at):
+            first = i // fanout * fanout
+            paths[leaf].append(("".join(nodes[first:i]), "".join(nodes[i + 1 : first + fanout])))
+            at[leaf] = i // fanout
+        nodes = [sha("".join(nodes[i : i + fanout])) for i in range(0, len(nodes), fanout)]
+    return nodes[0], paths
+
+
+def fold(leaf, path):
+    for before, after in path:
+        leaf = sha(before + leaf + after)
+    return leaf
+
+
+def manifest(docs, fanout=2):
+    """Rows of doc_id, text, lang, source, n_chars: what op11 returns of them."""
+    groups = {}
+    for doc, text, lang, source, n in docs:
+        leaf = sha(encoded([doc, source, lang, n, text]))
+        other = leaf
+        if doc is not None and n is not None and zlib.crc32(str(doc).encode()) % 7 == 0:
+            other = sha(encoded([doc, source, lang, n + 1, text]))
+        groups.setdefault(lang, []).append((doc, leaf, other))
+    names = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for name in names:
+        groups[name].sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    trees = {name: merkle([r[1] for r in groups[name]], fanout) for name in names}
+    root, over = merkle([trees[name][0] for name in names], fanout) if names else (None, [])
+    out = []
+    for name, above in zip(names, over, strict=True):
+        for (doc, leaf, other), path in zip(groups[name], trees[name][1], strict=True):
+            folded = fold(other, path + above)
+            out.append((doc, leaf, trees[name][0], root, sha("".join(b + a for b, a in path + above)), folded, folded == root))
+    return out
+
+
+def collocations(docs, least=10, share=50):
+    """Rows of text, lang: the phrases that stay."""
+    f, sizes = {}, {}
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            sizes[lang] = sizes.get(lang, 0) + len(words)
+            for k in (1, 2, 3):
+                for i in range(len(words) - k + 1):
+                    key = (lang, tuple(words[i : i + k]))
+                    f[key] = f.get(key, 0) + 1
+    out = []
+    for (lang, words), a in f.items():
+        if len(words) == 1 or a < least:
+            continue
+        longer = [n for (m, w), n in f.items() if m == lang and n >= least and len(w) == 3 and len(words) == 2 and words in (w[:2], w[1:])]
+        if any(100 * n >= share * a for n in longer):
+            continue
+        cuts = [(10**6 * a * a // (f[lang, words[:k]] * f[lang, words[k:]]), k) for k in range(1, len(words))]
+        score, k = min(cuts)
+        out.append((lang, " ".join(words), a, f[lang, words[:k]], f[lang, words[k:]], sizes[lang], score))
+    return out
