@@ -1,12 +1,17 @@
 """Line deduplication by spread over sites.
 
 A line (without the spaces around it) that stands on many sites is boilerplate
-and is removed wherever it stands. Each line's hash has two HyperLogLog
-sketches, of its sites and of its surroundings (the lines before and behind it),
-which merge as partial aggregates; near the thresholds, exact distinct counts
-decide. Lines of copied documents also stand on many sites, but in the same
-surroundings: a line only counts as boilerplate if it has at least half as many
-surroundings as occurrences, so that copies are left to document deduplication.
+and is removed wherever it stands. Each line's hash has a HyperLogLog sketch of its
+sites, which merges as a partial aggregate; near the threshold, exact distinct
+counts decide.
+
+Lines of copied documents also stand on many sites, but copies are left to document
+deduplication: a document more than ``COPY`` hundredths of which (in bytes, blank
+lines apart) are lines on many sites is a copy, or nearly one, and what it holds
+doesn't count. So the sites are counted twice: in all documents, and then, of the
+lines that stand on many, in those that aren't copies. A footer of any length is
+found by the documents that have something of their own, and is then removed from
+copies as well.
 
 Blank lines aren't counted and never removed. A document whose lines would all
 go stays whole, so none becomes empty. A null text is empty; a null site is no
@@ -16,12 +21,13 @@ site. Rows that repeat are occurrences each. Everything is DataFrame functions.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.blocks import let
 from ledgerlake.llm.text import whole
 from ledgerlake.sources.shared import materialise
 
 #: Distinct sites from which on a line is boilerplate.
 SITES = 10
+#: Percent of a document that lines on many sites may make up before it counts as a copy.
+COPY = 80
 #: log2 of a sketch's size, and how far an estimate may be off: four standard errors.
 SKETCH = 12
 _OFF = 4 * 1.04 / 2 ** (SKETCH / 2)
@@ -35,45 +41,44 @@ def _key(line: Column) -> list[Column]:
 
 
 def _occurrences(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
-    """Hash, site and surroundings of every line that isn't blank."""
+    """Row, site, hash and bytes of every line that isn't blank."""
     trimmed = F.transform(F.split(whole(F.col(text_col)), "\n"), lambda x: F.trim(x))
+    each = F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.struct(*_key(x), F.octet_length(x).cast("long").alias("bytes")))
+    # numbered before the lines are taken apart
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(site_col).alias("site"), each.alias("lines"))
+    return rows.select("row", "site", F.explode("lines").alias("l")).select("row", "site", "l.*")
 
-    def each(ls: Column) -> Column:
-        around = lambda i: F.xxhash64(F.get(ls, i - 1), F.get(ls, i + 1))
-        return F.transform(ls, lambda x, i: F.when(x != "", F.struct(*_key(x), around(i).alias("around"))))
 
-    listed = docs.select(F.col(site_col).alias("site"), F.explode(F.array_compact(let(trimmed, each))).alias("l"))
-    return listed.select("site", "l.*")
+def _on_many_sites(lines: DataFrame, sites: int) -> DataFrame:
+    """Hashes of ``lines`` (hash, site) on at least ``sites`` sites."""
+    known = lines.filter(F.col("site").isNotNull())
+    sketched = known.groupBy(*_KEY).agg(F.hll_sketch_agg(F.xxhash64("site"), F.lit(SKETCH)).alias("s"), F.count("*").alias("n"))
+    # fewer occurrences than sites asked for: no need to estimate
+    counted = sketched.filter(F.col("n") >= sites).select(*_KEY, F.hll_sketch_estimate("s").alias("s"))
+    sure = F.col("s") >= sites * (1 + _OFF)
+    counted = materialise(counted.filter(F.col("s") >= sites * (1 - _OFF)).withColumn("sure", sure), "line-spread")
+    unsure = counted.filter(~F.col("sure")).select(*_KEY)
+    exact = known.join(unsure, _KEY, "left_semi").select(*_KEY, "site").distinct()
+    decided = exact.groupBy(*_KEY).agg(F.count("*").alias("s")).filter(F.col("s") >= sites)
+    return materialise(counted.filter("sure").select(*_KEY).unionByName(decided.select(*_KEY)), "lines-on-many-sites")
 
 
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
-    """Hashes of the lines on at least ``sites`` sites."""
+    """Hashes of the lines on at least ``sites`` sites, copies apart."""
     lines = _occurrences(docs, text_col, site_col)
-    site = F.xxhash64("site")
-    sketched = lines.groupBy(*_KEY).agg(
-        F.hll_sketch_agg(F.when(F.col("site").isNotNull(), site), F.lit(SKETCH)).alias("s"),
-        F.hll_sketch_agg("around", F.lit(SKETCH)).alias("a"),
-        F.count("*").alias("n"),
-    )
-    # fewer occurrences than sites asked for: no need to estimate
-    counted = sketched.filter(F.col("n") >= sites).select(
-        *_KEY, "n", F.hll_sketch_estimate("s").alias("s"), F.hll_sketch_estimate("a").alias("a")
-    )
-    low = (F.col("s") >= sites * (1 - _OFF)) & (F.col("a") * 2 >= F.col("n") * (1 - _OFF))
-    high = (F.col("s") >= sites * (1 + _OFF)) & (F.col("a") * 2 >= F.col("n") * (1 + _OFF))
-    counted = materialise(counted.filter(low).withColumn("sure", high), "line-spread")
-    unsure = counted.filter(~F.col("sure")).select(*_KEY)
-    exact = (
-        lines.join(unsure, _KEY, "left_semi")
-        .select(*_KEY, "site", "around")
-        .groupBy(*_KEY, "site", "around")
-        .agg(F.count("*").alias("n"))
+    many = _on_many_sites(lines, sites).withColumn("_many", F.lit(True))
+    # a row's number only has to hold within this one pass over the input
+    marked = lines.join(many, _KEY, "left")
+    spread = F.col("_many").isNotNull()
+    documents = marked.groupBy("row").agg(
+        F.first("site").alias("site"),
+        F.sum("bytes").alias("bytes"),
+        F.sum(F.when(spread, F.col("bytes"))).alias("spread"),
+        F.collect_set(F.when(spread, F.struct(*_KEY))).alias("keys"),
     )
-    exact = materialise(exact, "line-occurrences")
-    n_sites = exact.filter("site IS NOT NULL").select(*_KEY, "site").distinct().groupBy(*_KEY).agg(F.count("*").alias("s"))
-    n_around = exact.groupBy(*_KEY, "around").agg(F.sum("n").alias("n")).groupBy(*_KEY).agg(F.count("*").alias("a"), F.sum("n").alias("n"))
-    decided = n_sites.join(n_around, _KEY).filter((F.col("s") >= sites) & (F.col("a") * 2 >= F.col("n")))
-    return materialise(counted.filter("sure").select(*_KEY).unionByName(decided.select(*_KEY)), "boilerplate")
+    own = documents.filter(F.col("spread") * 100 <= F.col("bytes") * COPY)
+    counted = materialise(own.select("site", F.explode("keys").alias("k")).select("site", "k.*"), "lines-of-their-own")
+    return _on_many_sites(counted, sites)
 
 
 def strip(docs: DataFrame, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:

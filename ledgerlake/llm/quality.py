@@ -144,11 +144,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return _weights(z, n).astype(np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``score`` from 0 to 1 for every row, with ``id_col`` and the columns of
-    ``keep`` (but for one named ``score``)."""
+def score(
+    docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score"
+) -> DataFrame:
+    """``out``, from 0 to 1, for every row, with ``id_col`` and the columns of
+    ``keep`` (but for one named ``out``)."""
     bits = int(len(weights)).bit_length() - 1
-    taken = list(dict.fromkeys(c for c in (id_col, *keep) if c != "score"))
+    taken = list(dict.fromkeys(c for c in (id_col, *keep) if c != out))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in taken)
 
     def work(batches):
@@ -158,7 +160,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 for own, at, x in zip(rows, index, weight, strict=True):
                     z[begin:end] += np.bincount(own, weights[at] * x, end - begin)
             scores = 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(taken)], pa.array(scores)], names=[*taken, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(taken)], pa.array(scores)], names=[*taken, out])
 
     rows = docs.select(*[F.col(c) for c in taken], whole(F.col(text_col)).alias("_whole_text"))
-    return rows.mapInArrow(work, f"{fields}, score double")
+    return rows.mapInArrow(work, f"{fields}, `{out}` double")

@@ -177,28 +177,29 @@ QUERIES = {
 
 # The spread of a line with exact counts throughout.
 _LINES_STRIPPED = """
+texts AS (SELECT row_number() OVER () AS id, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (
-  SELECT doc_id, source, i, ls[i] AS line, trim(ls[i]) AS t,
-         i > 1 AS has_prev, i < len(ls) AS has_next,
-         CASE WHEN i > 1 THEN trim(ls[i - 1]) END AS prev, trim(ls[i + 1]) AS next
-  FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
-       unnest(generate_series(1, len(ls))) AS s(i)
+  SELECT id, doc_id, source, i, ls[i] AS line, trim(ls[i]) AS t FROM texts, unnest(generate_series(1, len(ls))) AS s(i)
+),
+many AS (SELECT t FROM lines WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
+own AS (
+  SELECT id FROM lines WHERE t <> '' GROUP BY id
+  HAVING 100 * coalesce(sum(strlen(t)) FILTER (WHERE t IN (SELECT t FROM many)), 0) <= 80 * sum(strlen(t))
 ),
 spread AS (
-  SELECT t FROM lines WHERE t <> ''
-  GROUP BY t
-  HAVING count(DISTINCT source) >= 10 AND 2 * count(DISTINCT {'p': prev, 'n': next}) >= count(*)
+  SELECT t FROM lines WHERE t IN (SELECT t FROM many) AND id IN (SELECT id FROM own)
+  GROUP BY t HAVING count(DISTINCT source) >= 10
 ),
 marked AS (SELECT l.*, (l.t IN (SELECT t FROM spread)) AS gone FROM lines l),
 docs AS (
-  SELECT doc_id, count(*) AS n_lines, coalesce(bool_or(NOT gone AND t <> ''), false) AS some
-  FROM marked GROUP BY doc_id
+  SELECT id, count(*) AS n_lines, coalesce(bool_or(NOT gone AND t <> ''), false) AS some
+  FROM marked GROUP BY id
 ),
 stripped AS (
-  SELECT m.doc_id, any_value(d.n_lines) AS n_lines,
+  SELECT any_value(m.doc_id) AS doc_id, any_value(d.n_lines) AS n_lines,
          count(*) FILTER (WHERE m.gone AND d.some) AS n_removed,
          string_agg(m.line, chr(10) ORDER BY m.i) FILTER (WHERE NOT (m.gone AND d.some)) AS text
-  FROM marked m JOIN docs d ON d.doc_id = m.doc_id GROUP BY m.doc_id
+  FROM marked m JOIN docs d ON d.id = m.id GROUP BY m.id
 )
 """
 

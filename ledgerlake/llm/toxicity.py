@@ -247,4 +247,4 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(taken)], pa.array(scores)], names=[*taken, out])
 
     rows = docs.select(*[F.col(c) for c in taken], whole(F.col(text_col)).alias("_whole_text"))
-    return rows.mapInArrow(work, f"{fields}, {out} double")
+    return rows.mapInArrow(work, f"{fields}, `{out}` double")

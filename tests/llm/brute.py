@@ -203,3 +203,21 @@ def collocations(docs, least=10, share=50):
         score, k = min(cuts)
         out.append((lang, " ".join(words), a, f[lang, words[:k]], f[lang, words[k:]], sizes[lang], score))
     return out
+
+
+def boilerplate(docs, sites=10, copy=80):
+    """Rows of text, source: the lines that go."""
+    listed = [([x.strip(" ") for x in (text or "").split("\n") if x.strip(" ")], site) for text, site in docs]
+
+    def spread(some):
+        found = {}
+        for lines, site in some:
+            for line in lines:
+                if site is not None:
+                    found.setdefault(line, set()).add(site)
+        return {line for line, s in found.items() if len(s) >= sites}
+
+    many = spread(listed)
+    size = lambda lines: sum(len(x.encode()) for x in lines)
+    own = [(lines, site) for lines, site in listed if 100 * size(x for x in lines if x in many) <= copy * size(lines)]
+    return spread((many & set(lines), site) for lines, site in own)

@@ -379,6 +379,36 @@ def test_lines(spark):
         assert r.n_removed == (1 if r.doc_id < 100 else 0)
 
 
+def test_footers_of_many_lines(spark):
+    """A footer of three lines goes, also where it stands in a hot family of
+    copies; what copies and near copies share stays."""
+    rng = random.Random(14)
+    footer = "\n".join(cases.words(rng, 6) for _ in range(3))
+    docs = [(i, f"{cases.words(rng, 30)}\n{footer}", f"s{i}") for i in range(40)]
+    copy = "\n".join(cases.words(rng, 12) for _ in range(9))
+    docs += [(100 + i, f"{copy}\n{footer}", f"s{i % 15}") for i in range(300)]
+    near = [cases.words(rng, 12) for _ in range(9)]
+    docs += [(500 + i, "\n".join([*near, cases.words(rng, 10)]), f"s{i % 15}") for i in range(60)]
+    gone = brute.boilerplate([d[1:] for d in docs])
+    assert gone == set(footer.split("\n"))
+    got = lines.strip(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5))
+    removed = {r.doc_id: r.n_removed for r in got.collect()}
+    assert removed == {d[0]: 3 if d[0] < 500 else 0 for d in docs}
+
+
+def test_line_rule_against_plain_counts(spark):
+    rng = random.Random(15)
+    pool = [cases.words(rng, rng.randint(1, 9)) for _ in range(30)]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else cases.words(rng, 5) for _ in range(rng.randint(0, 7))), rng.choice([None, *[f"s{j}" for j in range(16)]])) for i in range(150)]
+    gone = brute.boilerplate([d[1:] for d in docs])
+    assert 0 < len(gone) < 30
+    for r in lines.strip(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect():
+        left = dict(d[:2] for d in docs)[r.doc_id].split("\n")
+        if any(x not in gone and x for x in left):
+            left = [x for x in left if x not in gone]
+        assert r.text == "\n".join(left)
+
+
 def test_quality(spark):
     rng = random.Random(8)
     good = lambda: cases.words(rng, 60)

@@ -80,16 +80,7 @@ def test_quality_filter_drops_what_the_classifier_rejects(spark, tables, steps):
 
 def test_line_dedup(steps):
     before = steps[1].collect()
-    sites, around, n = defaultdict(set), defaultdict(set), defaultdict(int)
-    for r in before:
-        lines = [x.strip(" ") for x in (r.text or "").split("\n")]
-        for i, line in enumerate(lines):
-            if line:
-                n[line] += 1
-                around[line].add((lines[i - 1] if i else None, lines[i + 1] if i + 1 < len(lines) else None))
-                if r.source is not None:
-                    sites[line].add(r.source)
-    gone = {x for x in n if len(sites[x]) >= 10 and 2 * len(around[x]) >= n[x]}
+    gone = brute.boilerplate([(r.text, r.source) for r in before])
     assert gone
     expected = {}
     for r in before:
@@ -164,6 +155,22 @@ def test_stages_on_nulls_repeats_and_empty_tables(spark, tables):
                 assert n == 0
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_columns_named_like_our_own_are_kept(spark, tables, name, stage):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id < 60 OR doc_id > 200")
+    plain = stage(spark, docs, tables)
+    own = ["score", "quality_score", "n_lines", "n_removed", "text_key", "_id", "row", "bad_id", "component_id", "contaminated"]
+    clashing = docs
+    for c in own:
+        clashing = clashing.withColumn(c, F.concat(F.lit("own"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    got = stage(spark, clashing, tables)
+    key = ["doc_id", "piece", "length"] if name == "best_fit_packing" else docs.columns
+    assert sorted(map(repr, got.select(key).collect())) == sorted(map(repr, plain.select(key).collect()))
+    if name != "best_fit_packing":
+        assert got.columns == clashing.columns
+        assert all(r[c] == f"own{r.doc_id}" for r in got.collect() for c in own)
+
+
 def test_lines_agree_with_their_sql(spark, tables):
     import duckdb
 
