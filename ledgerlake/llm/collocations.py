@@ -39,7 +39,7 @@ HOT_BITS = 20
 HOT = 1 << 16
 PARTS = 256
 #: Bytes of text whose stripes are built at once.
-IN_HAND = 4_000_000
+IN_HAND = 2_500_000
 UNIT = 1_000_000
 
 _IS_BREAK = np.zeros(256, bool)
