@@ -151,10 +151,16 @@ def decide(scored: DataFrame, p: Column | None = None) -> DataFrame:
 
 
 def categorise(
-    txns: DataFrame, probabilities: DataFrame, feedback: DataFrame, key: str = "merchant"
+    txns: DataFrame,
+    probabilities: DataFrame,
+    feedback: DataFrame | None,
+    key: str = "merchant",
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Final category of every transaction.
 
+    The history is that of ``feedback``, or a ``profile`` made before.
+
     ``txns``: silver_id, user_id, merchant, receiver, amount, timestamp and
     optionally freq_30d; ``probabilities``: silver_id and the array ``p``, or
     the transactions with ``p`` added, which needs no join.
@@ -163,7 +169,7 @@ def categorise(
         scored = probabilities
     else:
         scored = txns.join(probabilities, "silver_id")
-    scored = with_history(scored, history_profile(feedback, key), key)
+    scored = with_history(scored, history_profile(feedback, key) if profile is None else profile, key)
     frequency = F.col("freq_30d" if "freq_30d" in txns.columns else "history_count")
     return decide(scored, final_probabilities(F.col("p"), frequency)).select(
         "silver_id", "user_id", "category", "confidence", "decision_source", "p"

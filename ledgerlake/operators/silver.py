@@ -35,9 +35,10 @@ def to_silver(bronze: DataFrame, silver: DataFrame | None, as_of: Column) -> Dat
 
 
 def scoring_input(
-    silver: DataFrame, bronze: DataFrame, text_source: str = "merchant"
+    silver: DataFrame, bronze: DataFrame, text_source: str = "merchant", every: bool = False
 ) -> DataFrame:
-    """What the classifier needs of every uncategorised silver row.
+    """What the classifier needs of every uncategorised silver row, or of
+    ``every`` row.
 
     Text is the merchant, or the receiver with ``text_source="receiver"``,
     each falling back to the other; the timestamp is the exact one of bronze
@@ -52,7 +53,7 @@ def scoring_input(
     receiver = F.col("_receiver")
     text = (receiver, merchant) if text_source == "receiver" else (merchant, receiver)
     return (
-        silver.where(~F.col("is_categorised"))
+        (silver if every else silver.where(~F.col("is_categorised")))
         .join(origin, "bronze_id", "left")
         .select(
             "silver_id",

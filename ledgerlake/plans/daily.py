@@ -4,21 +4,26 @@
 and costs what is new: it reads the days and months that a batch touches.
 """
 
-import posixpath
+import calendar
+import datetime
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
 from ledgerlake.functions.dates import month_of
 from ledgerlake.operators.bronze import to_bronze
-from ledgerlake.operators.gold import GOLD_KEYS, monthly_summary
+from ledgerlake.operators.feedback import apply_corrections, feedback_rows, split_corrections
+from ledgerlake.operators.gold import GOLD_KEYS, affected_groups, monthly_summary
 from ledgerlake.operators.history import frequency_30d, history_count, with_keys, KEYS
 from ledgerlake.operators.scoring import categorise
-from ledgerlake.operators.silver import scoring_input, to_silver, write_back
+from ledgerlake.operators.silver import project_silver, scoring_input, to_silver, write_back
+from ledgerlake.operators.trailing import slot_totals, trailing_from_store
+from ledgerlake.plans.memory import HistoryStore
+from ledgerlake.sources.journal import Journal, ddl, within
 from ledgerlake.sources.shared import materialise
-from ledgerlake.sources.sinks import read_or_empty, replace_partitions, write_append
+from ledgerlake.sources.sinks import latest_by_key
 
 
 @dataclass
@@ -95,52 +100,54 @@ def run(
 
 
 @dataclass
-class Store:
+class Store(Journal):
     """Layers in a folder that all executors can reach.
 
     Bronze lies by day of payment, decided silver by day and gold by month.
-    Rows without a category wait in a table of their own, one folder per run,
-    and are scored again by the next run.
+    Rows without a category wait in a table of their own, written by each run,
+    and are scored again by the next. Corrections lie by the day of their
+    payment and are applied when silver is read. A month of gold is written
+    whole by the run that touches it, and ``months`` says which run that was.
     """
 
-    spark: SparkSession
-    folder: str
+    def bronze(self, days: list | None = None, run: int | None = None) -> DataFrame:
+        rows = self.rows("bronze", ddl(S.BRONZE) + ", day date", run)
+        return within(rows, "day", days).drop("day", "run")
 
-    def path(self, name: str) -> str:
-        return posixpath.join(self.folder, name)
+    def decided(self, days: list | None = None, run: int | None = None) -> DataFrame:
+        rows = within(self.rows("silver", ddl(S.SILVER), run), "transaction_date", days).drop("run")
+        return apply_corrections(rows, self._corrected(days, run))
 
-    def bronze(self, days: list | None = None) -> DataFrame:
-        return _within(self._read("bronze", S.BRONZE, "day date"), "day", days).drop("day")
+    def _corrected(self, days: list | None = None, run: int | None = None) -> DataFrame:
+        """The newest correction of each transaction."""
+        schema = ddl(S.FEEDBACK) + ", transaction_date date"
+        rows = within(self.rows("corrections", schema, run), "transaction_date", days)
+        return latest_by_key(rows, ["silver_id", "user_id"], [F.col("corrected_at"), F.col("run")])
 
-    def decided(self, days: list | None = None) -> DataFrame:
-        return _within(self._read("silver", S.SILVER), "transaction_date", days)
+    def feedback(self) -> DataFrame:
+        """All corrections that ``correct`` accepted."""
+        return feedback_rows(self._corrected()).select(*S.FEEDBACK.names)
 
     def undecided(self) -> DataFrame:
-        waiting = self._read("undecided", S.SILVER, "run int")
-        return waiting.where(F.col("run") == self.runs()).drop("run")
+        last = self.runs()
+        return self.rows("undecided", ddl(S.SILVER)).where(F.col("run") == last).drop("run")
 
     def silver(self) -> DataFrame:
         return self.decided().unionByName(self.undecided())
 
     def gold(self, months: list | None = None) -> DataFrame:
-        return _within(self._read("gold", S.GOLD), "month", months)
+        """Each month as the last run that touched it left it."""
+        versions = within(self.rows("months", "month date"), "month", months)
+        newest = versions.groupBy("month").agg(F.max("run").alias("run"))
+        rows = within(self.rows("gold", ddl(S.GOLD)), "month", months)
+        # one row per calendar month
+        return rows.join(F.broadcast(newest), ["month", "run"], "left_semi").select(*S.GOLD.names)
 
-    def runs(self) -> int:
-        """Number of the last finished run; 0 before the first."""
-        return read_or_empty(self.spark, self.path("runs"), "run int").agg(F.max("run")).first()[0] or 0
-
-    def _read(self, name: str, schema, extra: str = "") -> DataFrame:
-        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
-        return read_or_empty(self.spark, self.path(name), ", ".join([*fields, *([extra] if extra else [])]))
-
-
-def _within(df: DataFrame, column: str, values: list | None) -> DataFrame:
-    """Rows of some partitions; the list prunes the read."""
-    if values is None:
-        return df
-    some = [v for v in values if v is not None]
-    chosen = F.col(column).isin(some) if some else F.lit(False)
-    return df.where(chosen | F.col(column).isNull() if None in values else chosen)
+    def slots(self, first, last, run: int | None = None) -> DataFrame:
+        """Stored totals of the hours of some days."""
+        schema = "user_key string, merchant_key string, _slot long, _s_freq_30d long, day date"
+        rows = self.rows("slots", schema, run)
+        return rows.where(F.col("day").between(F.lit(first), F.lit(last))).drop("day", "run")
 
 
 def _values(df: DataFrame, column: Column) -> list:
@@ -151,60 +158,139 @@ def _values(df: DataFrame, column: Column) -> list:
 def advance(
     store: Store,
     raw: DataFrame,
-    feedback: DataFrame,
+    feedback: DataFrame | HistoryStore,
     probabilities,
     as_of: Column,
     key: str = "merchant",
     text_source: str = "merchant",
+    include_predictions: bool = False,
+    documented_frequency: bool = False,
 ) -> None:
     """Bring stored layers up to date with ``raw``, which may hold rows of
     earlier runs.
 
     A payment's copies share their day, so only bronze of the batch's days is
     looked at. New and still undecided rows are scored; gold is recomputed for
-    the groups that got rows, from silver of their months. A run that broke off
-    is repeated whole: what it appended is known by its ids and left out.
+    the groups that got rows, from silver of their months. All tables change
+    together when the run is finished (``Journal``): a run that breaks off
+    leaves nothing behind that a reader or the next run could see.
+
+    ``feedback``: the corrections, or a ``HistoryStore``, of which only the keys
+    at hand are read. ``include_predictions``: accepted categories of earlier
+    runs count as history; a ``HistoryStore`` takes in those of this run at its
+    end. ``documented_frequency``: payments to the merchant in the last 30 days,
+    from stored totals per hour; a store must have it in all of its runs.
     """
-    run_number = store.runs() + 1
+    run = store.begin()
     day = F.to_date("timestamp")
-    known = store.bronze(_values(raw, day))
-    fresh = to_bronze(raw, known).withColumn("day", day)
-    write_append(fresh.select(*S.BRONZE.names, "day"), store.path("bronze"), ["day"])
-
-    batch_days = _values(raw, day)
-    batch = store.bronze(batch_days)
-    # silver rows are dated by their payment, or by the run where it has no date
-    dated = [*batch_days, *_values(store.spark.range(1), F.to_date(as_of))]
+    fresh = to_bronze(raw, store.bronze(_values(raw, day)))
+    fresh = materialise(fresh.select(*S.BRONZE.names, day.alias("day")), "fresh")
+    store.put(fresh, "bronze", run, ("day",))
+
+    new = project_silver(fresh.drop("day"), as_of)
     waiting = store.undecided()
-    new = to_silver(batch, store.decided(dated).unionByName(waiting), as_of)
     todo = materialise(new.unionByName(waiting), "todo")
-    todo_days = _values(todo, F.col("transaction_date"))
-    origin = store.bronze([*todo_days, None])
-    txns = with_frequency(scoring_input(todo, origin, text_source), feedback, key)
-    done = materialise(write_back(todo, categorise(txns, probabilities(txns), feedback, key)), "scored")
-
-    decided = done.where("is_categorised")
-    groups = materialise(
-        monthly_summary(decided).select(*GOLD_KEYS), "groups"
-    )
-    write_append(decided.select(*S.SILVER.names), store.path("silver"), ["transaction_date"])
-    still = done.where("not is_categorised").select(*S.SILVER.names)
-    still.write.mode("overwrite").parquet(posixpath.join(store.path("undecided"), f"run={run_number}"))
-
-    months = _values(groups, F.col("month"))
-    _refresh(store, groups, months)
-    store.spark.createDataFrame([(run_number,)], "run int").write.mode("append").parquet(store.path("runs"))
-
-
-def _refresh(store: Store, groups: DataFrame, months: list) -> None:
-    """Recompute gold groups from the stored silver of their months."""
-    if not months:
-        return
+    days = _values(todo, F.col("transaction_date"))
+    origin = store.bronze([*days, None], run)
+    txns = scoring_input(todo, origin, text_source)
+    if documented_frequency:
+        txns = materialise(_stored_frequency(store, run, txns, todo, new, days, key), "scoring")
+    stored = isinstance(feedback, HistoryStore)
+    history, profile = feedback, None
+    if stored:
+        profile = materialise(feedback.profile(with_keys(txns, key)), "profile")
+        if not documented_frequency:
+            counts = profile.select(*KEYS, F.col("history_count").alias("freq_30d"))
+            txns = with_keys(txns, key).join(counts, KEYS, "left").drop(*KEYS)
+            txns = txns.withColumn("freq_30d", F.coalesce("freq_30d", F.lit(0).cast("long")))
+    else:
+        if include_predictions:
+            earlier = with_keys(accepted_as_feedback(store.decided()), key)
+            touched = with_keys(txns, key).select(*KEYS).distinct()
+            earlier = earlier.join(touched, KEYS, "left_semi").select(*feedback.columns)
+            history = materialise(feedback.unionByName(earlier), "history")
+        if not documented_frequency:
+            txns = with_frequency(txns, history, key)
+    decisions = categorise(txns, probabilities(txns), None if stored else history, key, profile)
+    done = materialise(write_back(todo, decisions), "scored")
+
+    decided = done.where("is_categorised").select(*S.SILVER.names)
+    store.put(decided, "silver", run, ("transaction_date",))
+    store.put(done.where("not is_categorised").select(*S.SILVER.names), "undecided", run)
+    groups = materialise(monthly_summary(decided).select(*GOLD_KEYS), "groups")
+    _refresh(store, run, groups)
+    store.finish(run)
+    if stored and include_predictions:
+        feedback.advance(accepted_as_feedback(decided))
+
+
+def _stored_frequency(
+    store: Store, run: int, txns: DataFrame, todo: DataFrame, new: DataFrame, days: list, key: str
+) -> DataFrame:
+    """``txns`` with the payments to the merchant in the 30 days before each:
+    full hours from the stored totals of those days, the two hours at the edges
+    from the payments of the day itself and of the one 30 days earlier."""
+    one = {"freq_30d": F.lit(1).cast("long")}
+    added = new.select("silver_id")
+    counted = slot_totals(with_keys(txns.join(added, "silver_id", "left_semi"), key), KEYS, "timestamp", one)
+    hour = F.timestamp_seconds(F.col("_slot") * 3600).cast("timestamp").cast("date")
+    store.put(counted.withColumn("day", hour), "slots", run, ("day",))
+    if not days:
+        return with_keys(txns, key).drop(*KEYS).withColumn("freq_30d", F.lit(0).cast("long"))
+    span = datetime.timedelta(days=30)
+    around = sorted({d for day in days for d in (day, day - span)})
+    silver = store.decided(around).unionByName(todo)
+    known = with_keys(scoring_input(silver, store.bronze([*around, None], run), every=True), key)
+    totals = store.slots(min(days) - span, max(days), run)
+    return trailing_from_store(with_keys(txns, key), known, totals, KEYS, "timestamp", one).drop(*KEYS)
+
+
+def correct(store: Store, corrections: DataFrame, history: HistoryStore | None = None) -> DataFrame:
+    """Take user corrections into the stored layers; returns the rejected ones.
+
+    Silver shows them from then on, waiting rows that they name are decided, and
+    gold is recomputed for the groups that they leave or enter. Corrections with
+    a ``transaction_date`` only read silver of these days. ``history`` takes in
+    what was accepted.
+    """
+    run = store.begin()
+    corrections = materialise(corrections, "corrections")
+    days = None
+    if "transaction_date" in corrections.columns:
+        days = _values(corrections, F.col("transaction_date"))
+    waiting = materialise(store.undecided(), "waiting")
+    silver = store.decided(days).unionByName(waiting)
+    accepted, rejected = split_corrections(silver, corrections)
+    accepted = materialise(accepted, "accepted")
+    rejected = materialise(rejected, "rejected")
+    rows = feedback_rows(accepted).join(accepted.select("silver_id", "user_id", "transaction_date"), ["silver_id", "user_id"])
+    store.put(rows.select(*S.FEEDBACK.names, "transaction_date"), "corrections", run, ("transaction_date",))
+
+    named = accepted.select("silver_id", "user_id")
+    decided = waiting.join(named, ["silver_id", "user_id"], "left_semi")
+    store.put(apply_corrections(decided, accepted), "silver", run, ("transaction_date",))
+    still = waiting.join(named, ["silver_id", "user_id"], "left_anti")
+    store.put(still.select(*S.SILVER.names), "undecided", run)
+    _refresh(store, run, materialise(affected_groups(accepted), "groups"))
+    store.finish(run)
+    if history is not None:
+        history.advance(feedback_rows(accepted))
+    return rejected
+
+
+def _refresh(store: Store, run: int, groups: DataFrame) -> None:
+    """Write the months of some gold groups anew: these groups from the stored
+    silver of their months, the months' other groups as they are."""
+    months = [m for m in _values(groups, F.col("month")) if m is not None]
     month = month_of(F.col("transaction_date"))
-    first, last = min(months), max(months)
-    span = store.decided().where(
-        (F.col("transaction_date") >= first) & (F.col("transaction_date") <= F.last_day(F.lit(last)))
-    )
-    again = monthly_summary(span.where(month.isin(months))).join(groups, GOLD_KEYS, "left_semi")
+    days = [d for m in months for d in _days_of(m)]
+    span = store.decided(days, run).where(month.isin(months) if months else F.lit(False))
+    again = monthly_summary(span).join(groups, GOLD_KEYS, "left_semi")
     kept = store.gold(months).join(groups, GOLD_KEYS, "left_anti")
-    replace_partitions(kept.unionByName(again.select(*kept.columns)), store.path("gold"), "month", months)
+    store.put(kept.unionByName(again.select(*kept.columns)), "gold", run, ("month",))
+    touched = store.spark.createDataFrame([(m,) for m in months], "month date")
+    store.put(touched.coalesce(1), "months", run)
+
+
+def _days_of(month: datetime.date) -> list:
+    return [month.replace(day=d) for d in range(1, calendar.monthrange(month.year, month.month)[1] + 1)]
