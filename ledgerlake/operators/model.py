@@ -265,9 +265,8 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def predict_proba(txns: DataFrame, model: TextModel, key: str = "silver_id") -> DataFrame:
-    """``txns`` with ``p``: per-label sigmoid scores scaled to sum one, in
-    label order. ``key`` names the column that numbers the rows.
+def sigmoids(txns: DataFrame, model: TextModel, key: str = "silver_id") -> DataFrame:
+    """``txns`` with ``_p``: the sigmoid of each label's score, in label order.
 
     Terms are scored per distinct text against the broadcast coefficients
     (bounded by the vocabulary), summed before they are shuffled back, and
@@ -300,10 +299,16 @@ def predict_proba(txns: DataFrame, model: TextModel, key: str = "silver_id") ->
             product = F.zip_with(F.col(model.embedding).cast("array<double>"), weights_i, lambda x, w: x * w)
             score = score + F.aggregate(product, F.lit(0.0), lambda t, x: t + x)
         scores.append(_sigmoid(score))
-    sigmoids = joined.select(*kept, F.array(*scores).alias("_p"))
+    return joined.select(*kept, F.array(*scores).alias("_p"))
+
+
+def predict_proba(txns: DataFrame, model: TextModel, key: str = "silver_id") -> DataFrame:
+    """``txns`` with ``p``: per-label sigmoid scores scaled to sum one, in
+    label order. ``key`` names the column that numbers the rows."""
+    n = len(model.labels)
     total = F.aggregate("_p", F.lit(0.0), lambda s, x: s + x)
-    return sigmoids.withColumn("_total", total).select(
-        *kept,
+    return sigmoids(txns, model, key).withColumn("_total", total).select(
+        *[c for c in txns.columns if c != "p"],
         F.when(F.col("_total") > 0, F.transform("_p", lambda x: x / F.col("_total")))
         .otherwise(F.array(*[F.lit(1.0 / n)] * n))
         .alias("p"),

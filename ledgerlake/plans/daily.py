@@ -21,6 +21,7 @@ from ledgerlake.operators.scoring import categorise
 from ledgerlake.operators.silver import project_silver, scoring_input, to_silver, write_back
 from ledgerlake.operators.trailing import slot_totals, trailing_from_store
 from ledgerlake.plans.memory import HistoryStore
+from ledgerlake.plans.online import OnlineModel, correction_examples
 from ledgerlake.sources.journal import Journal, ddl, within
 from ledgerlake.sources.shared import materialise
 from ledgerlake.sources.sinks import latest_by_key
@@ -245,13 +246,19 @@ def _stored_frequency(
     return trailing_from_store(with_keys(txns, key), known, totals, KEYS, "timestamp", one).drop(*KEYS)
 
 
-def correct(store: Store, corrections: DataFrame, history: HistoryStore | None = None) -> DataFrame:
+def correct(
+    store: Store,
+    corrections: DataFrame,
+    history: HistoryStore | None = None,
+    model: OnlineModel | None = None,
+    threshold: int = S.REFIT_TRIGGER,
+) -> DataFrame:
     """Take user corrections into the stored layers; returns the rejected ones.
 
     Silver shows them from then on, waiting rows that they name are decided, and
     gold is recomputed for the groups that they leave or enter. Corrections with
     a ``transaction_date`` only read silver of these days. ``history`` takes in
-    what was accepted.
+    what was accepted; ``model`` takes a step on it, if it is ``threshold`` rows.
     """
     run = store.begin()
     corrections = materialise(corrections, "corrections")
@@ -275,6 +282,8 @@ def correct(store: Store, corrections: DataFrame, history: HistoryStore | None =
     store.finish(run)
     if history is not None:
         history.advance(feedback_rows(accepted))
+    if model is not None and accepted.limit(threshold).count() >= threshold:
+        model.advance(correction_examples(feedback_rows(accepted)))
     return rejected
 
 

@@ -384,6 +384,60 @@ _TEXT_WEIGHTS = r"""
                w / sqrt(sum(w * w) OVER (PARTITION BY text, analyser)) AS weight
         FROM (SELECT text, analyser, term, (1 + ln(tf)) * idf AS w
               FROM tf JOIN idf USING (analyser, term))"""
+
+
+def _online_sql(steps: int) -> str:
+    """Steps on the batches ``example_id % steps`` from the made model, and the
+    probabilities of all examples after the last one."""
+    names = ["constant", "log_amount", "hour_sin", "hour_cos", "weekday"]
+    values = ["1.0", "ln(1 + CAST(amount AS DOUBLE))", "sin(2 * pi() * hour(ts) / 24)",
+              "cos(2 * pi() * hour(ts) / 24)", "(isodow(ts) - 1) / 6"]
+    made = [[V.MADE_INTERCEPTS[i], *V.MADE_TAIL[i][:4]] for i in range(len(S.LABELS))]
+    rows = ", ".join(
+        f"('{c}', '{name}', {made[i][k]!r})" for i, c in enumerate(S.LABELS) for k, name in enumerate(names)
+    )
+    drawn = (
+        "CAST('0x' || substr(sha256(concat_ws('|', analyser, term, label)), 1, 12) AS BIGINT)"
+        f" / {float(16**12)} - 0.5"
+    )
+    def scores(i: int, where: str = "") -> str:
+        return f"""
+        s{i} AS (SELECT text, label, sum(weight * w) AS s FROM weights JOIN t{i} USING (analyser, term) GROUP BY ALL),
+        p{i} AS (
+          SELECT e.example_id, e.text, m.label, e.category,
+                 1 / (1 + exp(-(sum(e.x * m.w) + coalesce(any_value(s.s), 0)))) AS p
+          FROM examples e JOIN m{i} m USING (name) LEFT JOIN s{i} s ON s.text = e.text AND s.label = m.label {where}
+          GROUP BY e.example_id, e.text, m.label, e.category)"""
+
+    parts = [f"""
+        WITH weights AS ({_TEXT_WEIGHTS}),
+        examples AS (
+          SELECT event_id AS example_id, prepared AS text, category,
+                 unnest({names}) AS name, unnest([{', '.join(values)}]) AS x
+          FROM pay JOIN prepared USING (receiver)
+          JOIN (SELECT example_id AS event_id, category FROM labelled) USING (event_id)),
+        labels AS (SELECT unnest({_LABELS}) AS label),
+        t0 AS (SELECT analyser, term, label, {drawn} AS w, 0.01 AS g
+               FROM (SELECT DISTINCT analyser, term FROM weights), labels),
+        m0 AS (SELECT *, 0.01 AS g FROM (VALUES {rows}) AS l(label, name, w))"""]
+    for i in range(steps):
+        parts.append(scores(i, f"WHERE e.example_id % {steps} = {i}"))
+        parts.append(f"""
+        r{i} AS (SELECT example_id, text, label, p - CAST(label = category AS INT) AS r,
+                        (SELECT count(DISTINCT example_id) FROM p{i}) AS n FROM p{i}),
+        d{i} AS (SELECT analyser, term, label, sum(weight * r) / any_value(n) AS d
+                 FROM weights JOIN (SELECT text, label, sum(r) AS r, any_value(n) AS n FROM r{i} GROUP BY ALL) USING (text)
+                 GROUP BY ALL),
+        f{i} AS (SELECT name, label, sum(x * r) / any_value(n) AS d FROM r{i} JOIN examples USING (example_id) GROUP BY ALL),
+        t{i + 1} AS (SELECT analyser, term, label, w - coalesce(0.5 * d / sqrt(g + d * d), 0) AS w, g + coalesce(d * d, 0) AS g
+                     FROM t{i} LEFT JOIN d{i} USING (analyser, term, label)),
+        m{i + 1} AS (SELECT label, name, w - 0.5 * d / sqrt(g + d * d) AS w, g + d * d AS g
+                     FROM m{i} JOIN f{i} USING (label, name))""")
+    parts.append(scores(steps))
+    return ",".join(parts) + f"""
+        SELECT example_id, label AS category, round(p / sum(p) OVER (PARTITION BY example_id), 6) AS p FROM p{steps}"""
+
+
 _LONG = "SELECT txn_id, category, round(p, 6) AS p FROM {table}"
 
 _SQL = {
@@ -500,6 +554,16 @@ _SQL = {
     "silver_writeback": _WRITTEN,
     "daily_run": _WRITTEN,
     "daily_gold": _GOLD.format(table="stored"),
+    "daily_frequency": """
+        SELECT silver_id, count(*) OVER (PARTITION BY user_id, merchant ORDER BY ts
+                 RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS freq_30d
+        FROM silver""",
+    "corrections_stored": "SELECT silver_id, user_id, category, is_categorised, user_corrected FROM corrected",
+    "corrections_stored_gold": _GOLD.format(table="corrected"),
+    "history_stored": f"""
+        SELECT {_KEYS}, override, history_count, round(weight_total, 6) AS weight_total,
+               round(amount_cv, 4) AS amount_cv FROM profile""",
+    "history_stored_weights": f"SELECT {_KEYS}, category, round(weight, 6) AS weight FROM weighted",
     "gold_monthly": _GOLD.format(table="stored"),
     "gold_monthly_long": """
         SELECT user_id, month, category, CAST(total_amount AS DOUBLE) AS total_amount, txn_count
@@ -680,6 +744,7 @@ _SQL = {
                  + power((isodow(ts) - 1) / 6, 2), 6) AS squares
         FROM pay JOIN prepared USING (receiver) JOIN tokens USING (prepared)""",
     "text_weights": f"SELECT text, analyser, term, round(weight, 6) AS weight FROM ({_TEXT_WEIGHTS})",
+    "online_refit": _online_sql(V.ONLINE_STEPS),
     "score_model": f"""
         WITH weights AS ({_TEXT_WEIGHTS}),
         labels AS (SELECT * FROM (VALUES {', '.join(

@@ -22,7 +22,7 @@ from ledgerlake.operators import (
     silver,
     textfeatures,
 )
-from ledgerlake.plans import daily
+from ledgerlake.plans import daily, memory, online
 from ledgerlake.sources import alerts, sinks, statements
 from ledgerlake.sources.shared import materialise, new_folder
 from ledgerlake.streaming import jobs
@@ -506,6 +506,72 @@ def daily_gold(spark: Spark, d: str) -> DataFrame:
     return money(_two_runs(spark, d).gold(), "total_amount")
 
 
+def daily_frequency(spark: Spark, d: str) -> DataFrame:
+    """Payments to the merchant in 30 days, as two runs over stored layers took
+    them from stored totals when they scored the rows; the last word counts."""
+    folder = new_folder(spark, "scored")
+
+    def noted(txns: DataFrame) -> DataFrame:
+        txns.select("silver_id", "freq_30d").write.mode("append").parquet(folder)
+        return V.probabilities(txns)
+
+    store = daily.Store(spark, new_folder(spark, "layers"))
+    known = materialise(V.feedback(spark, d), "feedback")
+    raw = V.txn_raw(spark, d)
+    early = F.col("timestamp") < F.lit(V.PREVIOUS_RUN).cast("timestamp_ntz")
+    for part in (raw.where(early), raw):
+        daily.advance(store, part, known, noted, V.as_of(), documented_frequency=True)
+    # a row that was scored twice has seen more payments, never fewer
+    return spark.read.parquet(folder).groupBy("silver_id").agg(F.max("freq_30d").alias("freq_30d"))
+
+
+def _corrected_store(spark: Spark, d: str) -> daily.Store:
+    store = _two_runs(spark, d)
+    daily.correct(store, V.corrections(spark, d))
+    return store
+
+
+def corrections_stored(spark: Spark, d: str) -> DataFrame:
+    """Silver of stored layers that took in corrections."""
+    return _corrected_store(spark, d).silver().select(
+        "silver_id", "user_id", "category", "is_categorised", "user_corrected"
+    )
+
+
+def corrections_stored_gold(spark: Spark, d: str) -> DataFrame:
+    """Gold of stored layers that took in corrections."""
+    return money(_corrected_store(spark, d).gold(), "total_amount")
+
+
+def _stored_history(spark: Spark, d: str) -> memory.HistoryStore:
+    """All feedback, in batches: entries in order, some of them wrong at first
+    and corrected again, then late ones."""
+    rows = materialise(V.feedback(spark, d), "feedback")
+    early = F.col("corrected_at") < F.lit(V.PREVIOUS_RUN).cast("timestamp_ntz")
+    late, wrong = F.col("silver_id") % 14 == 0, F.col("silver_id") % 22 == 0
+    first = rows.where(early & ~late)
+    mistaken = first.where(wrong).withColumn("merchant", F.lit("Elsewhere"))
+    mistaken = mistaken.withColumn("corrected_category", F.lit("Other"))
+    store = memory.HistoryStore(spark, new_folder(spark, "history"))
+    store.advance(first.where(~wrong).unionByName(mistaken))
+    store.advance(rows.where(~early & ~late).unionByName(first.where(wrong)))
+    store.advance(rows.where(late))
+    return store
+
+
+def history_stored(spark: Spark, d: str) -> DataFrame:
+    """The history profile, composed batch by batch."""
+    return _stored_history(spark, d).profile().select(
+        "user_key", "merchant_key", "override", "history_count", num("weight_total"), num("amount_cv", 4)
+    )
+
+
+def history_stored_weights(spark: Spark, d: str) -> DataFrame:
+    """The stored history's weight of each category."""
+    rows = scoring.explode_probabilities(_stored_history(spark, d).profile(), "user_key", "merchant_key", p="weights")
+    return rows.where("p > 0").select("user_key", "merchant_key", "category", num("p").alias("weight"))
+
+
 def topk_probas(spark: Spark, d: str) -> DataFrame:
     rows = scoring.top_k(V.scored_long(spark, d), "txn_id")
     return rows.select("txn_id", "rank", "category", num("p"))
@@ -706,15 +772,31 @@ def predict_proba(spark: Spark, d: str) -> DataFrame:
     )
 
 
-def score_model(spark: Spark, d: str) -> DataFrame:
-    """Probabilities by a model whose coefficients are drawn from hashes of the terms."""
-    examples = V.labelled(spark, d)
+def _made_model(examples: DataFrame) -> model.TextModel:
+    """A model whose coefficients are drawn from hashes of the terms."""
     vocab = materialise(model.fit_vocabulary(model.distinct_texts(examples)), "vocabulary")
     drawn = [labelled.draw("analyser", "term", F.lit(c)) - 0.5 for c in S.LABELS]
-    made = model.TextModel(
+    return model.TextModel(
         vocab, materialise(vocab.select("idx", F.array(*drawn).alias("w")), "coefficients"),
         V.MADE_TAIL, V.MADE_INTERCEPTS, S.LABELS,
     )
+
+
+def online_refit(spark: Spark, d: str) -> DataFrame:
+    """Probabilities by a stored model after three steps on batches of examples."""
+    examples = V.labelled(spark, d)
+    stored = online.OnlineModel(spark, new_folder(spark, "online"))
+    stored.create(_made_model(examples))
+    for part in range(V.ONLINE_STEPS):
+        stored.advance(examples.where(F.col("example_id") % V.ONLINE_STEPS == part))
+    scored = model.predict_proba(examples, stored.model(), key="example_id")
+    return scoring.explode_probabilities(scored, "example_id").select("example_id", "category", num("p"))
+
+
+def score_model(spark: Spark, d: str) -> DataFrame:
+    """Probabilities by a model whose coefficients are drawn from hashes of the terms."""
+    examples = V.labelled(spark, d)
+    made = _made_model(examples)
     scored = model.predict_proba(examples, made, key="example_id")
     return scoring.explode_probabilities(scored, "example_id").select("example_id", "category", num("p"))
 
@@ -886,6 +968,11 @@ QUERIES = {
     "categorise": categorise,
     "daily_run": daily_run,
     "daily_gold": daily_gold,
+    "daily_frequency": daily_frequency,
+    "corrections_stored": corrections_stored,
+    "corrections_stored_gold": corrections_stored_gold,
+    "history_stored": history_stored,
+    "history_stored_weights": history_stored_weights,
     "categorise_model": categorise_model,
     "categorise_cold": categorise_cold,
     "topk_probas": topk_probas,
@@ -913,6 +1000,7 @@ QUERIES = {
     "train_model": train_model,
     "predict_proba": predict_proba,
     "score_model": score_model,
+    "online_refit": online_refit,
     "refit_input": refit_input,
     "refit": refit,
     "model_status": model_status,

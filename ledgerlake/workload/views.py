@@ -69,6 +69,7 @@ SENDERS = [
 MADE_TAIL = [[0.1 * ((i + j) % 5 - 2) for j in range(5)] for i in range(13)]
 MADE_INTERCEPTS = [0.05 * i - 0.3 for i in range(13)]
 AS_OF = "2024-01-31 12:00:00"
+ONLINE_STEPS = 3
 PREVIOUS_RUN = "2024-01-16 00:00:00"
 
 
