@@ -21,8 +21,9 @@ from ledgerlake.operators.scoring import categorise
 from ledgerlake.operators.silver import project_silver, scoring_input, to_silver, write_back
 from ledgerlake.operators.trailing import slot_totals, trailing_from_store
 from ledgerlake.plans.memory import HistoryStore
+from ledgerlake.plans.monthly import MonthlyGold
 from ledgerlake.plans.online import OnlineModel, correction_examples
-from ledgerlake.sources.journal import Journal, ddl, within
+from ledgerlake.sources.journal import ddl, within
 from ledgerlake.sources.shared import materialise
 from ledgerlake.sources.sinks import latest_by_key
 
@@ -101,14 +102,13 @@ def run(
 
 
 @dataclass
-class Store(Journal):
+class Store(MonthlyGold):
     """Layers in a folder that all executors can reach.
 
     Bronze lies by day of payment, decided silver by day and gold by month.
     Rows without a category wait in a table of their own, written by each run,
     and are scored again by the next. Corrections lie by the day of their
-    payment and are applied when silver is read. A month of gold is written
-    whole by the run that touches it, and ``months`` says which run that was.
+    payment and are applied when silver is read.
     """
 
     def bronze(self, days: list | None = None, run: int | None = None) -> DataFrame:
@@ -136,14 +136,6 @@ class Store(Journal):
     def silver(self) -> DataFrame:
         return self.decided().unionByName(self.undecided())
 
-    def gold(self, months: list | None = None) -> DataFrame:
-        """Each month as the last run that touched it left it."""
-        versions = within(self.rows("months", "month date"), "month", months)
-        newest = versions.groupBy("month").agg(F.max("run").alias("run"))
-        rows = within(self.rows("gold", ddl(S.GOLD)), "month", months)
-        # one row per calendar month
-        return rows.join(F.broadcast(newest), ["month", "run"], "left_semi").select(*S.GOLD.names)
-
     def slots(self, first, last, run: int | None = None) -> DataFrame:
         """Stored totals of the hours of some days."""
         schema = "user_key string, merchant_key string, _slot long, _s_freq_30d long, day date"
@@ -295,10 +287,7 @@ def _refresh(store: Store, run: int, groups: DataFrame) -> None:
     days = [d for m in months for d in _days_of(m)]
     span = store.decided(days, run).where(month.isin(months) if months else F.lit(False))
     again = monthly_summary(span).join(groups, GOLD_KEYS, "left_semi")
-    kept = store.gold(months).join(groups, GOLD_KEYS, "left_anti")
-    store.put(kept.unionByName(again.select(*kept.columns)), "gold", run, ("month",))
-    touched = store.spark.createDataFrame([(m,) for m in months], "month date")
-    store.put(touched.coalesce(1), "months", run)
+    store.put_gold(groups, again, months, run)
 
 
 def _days_of(month: datetime.date) -> list:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ledgerlake import schema as S
 from ledgerlake.functions.blocks import let
 from ledgerlake.functions.text import strip
+from ledgerlake.schema import PAYLOAD
+from ledgerlake.sources.shared import materialise
 
 # The patterns of an alert. ``(?d)``: a point stops only at a
 # line feed, since message bodies contain carriage returns. White space is
@@ -30,6 +32,59 @@ def _decoded(data: Column) -> Column:
     return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
 
 
+def flatten_payloads(landed: DataFrame, raw: str = "raw") -> DataFrame:
+    """Messages as the mailbox gives them, with the parts of each as a flat list.
+
+    ``raw``: the payload as JSON text, parts nested to any depth. It becomes
+    ``payload`` (``schema.PAYLOAD``): headers, type and body of the message, and
+    its parts depth first, a part before those inside it. Text that isn't JSON
+    gives a null payload. Each turn takes the parts of the turn before apart, so
+    there are as many turns as levels, and a turn holds only what has parts.
+    """
+    others = [c for c in landed.columns if c != raw]
+    rows = landed.select(
+        F.monotonically_increasing_id().alias("_row"),
+        F.struct(*others).alias("_rest"),
+        F.try_parse_json(raw).alias("_v"),
+    )
+    rows = materialise(rows, "payloads")
+    data, kind = F.try_variant_get("_v", "$.body.data", "string"), F.try_variant_get("_v", "$.mimeType", "string")
+    place = "array<int>"
+    level = rows.select("_row", F.expr(f"cast(array() as {place})").alias("_path"), "_v")
+    found = []
+    while True:
+        parts = level.where(F.expr("try_variant_get(_v, '$.parts', 'array<variant>') IS NOT NULL"))
+        inside = parts.select(
+            "_row", "_path", F.posexplode(F.try_variant_get("_v", "$.parts", "array<variant>")).alias("_i", "_part")
+        )
+        level = inside.select(
+            "_row", F.concat("_path", F.array("_i")).alias("_path"), F.col("_part").alias("_v")
+        )
+        level = materialise(level, "parts")
+        if level.isEmpty():
+            break
+        found.append(level.select("_row", "_path", kind.alias("mimeType"), data.alias("data")))
+    nothing = rows.select("_row", F.expr(f"cast(null as {place})").alias("_path"), kind.alias("mimeType"), data.alias("data"))
+    listed = nothing.limit(0)
+    for each in found:
+        listed = listed.unionByName(each)
+    # a message has a handful of parts
+    gathered = listed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_path", "mimeType", "data"))).alias("_parts"))
+    flat = F.transform("_parts", lambda p: F.struct(
+        F.array_join(p["_path"].cast("array<string>"), ".").alias("path"), p["mimeType"].alias("mimeType"), p["data"].alias("data")))
+    has_parts = F.try_variant_get("_v", "$.parts", "array<variant>").isNotNull()
+    headers = F.try_variant_get("_v", "$.headers", "array<struct<name:string,value:string>>")
+    no_parts = F.expr("cast(array() as array<struct<path:string,mimeType:string,data:string>>)")
+    payload = F.struct(
+        headers.alias("headers"),
+        kind.alias("mimeType"),
+        F.struct(data.alias("data")).alias("body"),
+        F.when(has_parts, F.coalesce(flat, no_parts)).alias("parts"),
+    ).cast(PAYLOAD)
+    joined = rows.join(gathered, "_row", "left")
+    return joined.select("_rest.*", F.when(F.col("_v").isNotNull(), payload).alias("payload"))
+
+
 def decode_body(payload: Column) -> Column:
     """Text of the first text part, depth first, else of the message itself."""
     texts = F.filter(

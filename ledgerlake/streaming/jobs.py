@@ -17,6 +17,8 @@ from ledgerlake.operators.bronze import to_bronze, with_fingerprint
 from ledgerlake.operators.feedback import apply_corrections, feedback_rows, split_corrections
 from ledgerlake.operators.gold import affected_groups, monthly_summary, refresh_gold
 from ledgerlake.operators.silver import project_silver
+from ledgerlake.plans.monthly import StreamedGold
+from ledgerlake.sources.journal import within
 from ledgerlake.sources.shared import materialise
 from ledgerlake.sources.sinks import latest_by_key, read_or_empty, upsert
 
@@ -57,15 +59,17 @@ def _start(
     return writer.start()
 
 
-def _write_batch(df: DataFrame, path: str, batch: int) -> None:
+def _write_batch(df: DataFrame, path: str, batch: int, by: tuple[str, ...] = ()) -> None:
     """Replace the rows of one batch number."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    if by:
+        df = df.hint("rebalance", *by)
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch}")
 
 
-def _read_before(spark: SparkSession, path: str, schema, batch: int) -> DataFrame:
-    """Rows written by earlier batches; pruned to their folders."""
-    stored = read_or_empty(spark, path, f"{schema_ddl(schema)}, batch int")
-    return stored.where(F.col("batch") < batch).drop("batch")
+def bronze_before(spark: SparkSession, path: str, batch: int, days: list) -> DataFrame:
+    """Bronze of some days that earlier batches wrote; pruned to their folders."""
+    stored = read_or_empty(spark, path, f"{schema_ddl(S.BRONZE)}, batch int, day date")
+    return within(stored.where(F.col("batch") < batch), "day", days).drop("batch", "day")
 
 
 def schema_ddl(schema) -> str:
@@ -77,18 +81,18 @@ def start_bronze(
 ) -> StreamingQuery:
     """Raw stream to bronze, each payment once for all time.
 
-    Copies of a payment share their day, so of what earlier batches stored only
-    the days of this batch are compared with.
+    Copies of a payment share their day, and a batch's rows lie in folders by
+    day, so of what earlier batches stored only the folders of this batch's days
+    are read.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         arrived = materialise(batch, "arrived")
-        day = F.to_date("timestamp")
-        days = arrived.select(F.coalesce(day.cast("string"), F.lit("")).alias("d")).distinct()
-        known = _read_before(spark, path, S.BRONZE, number)
-        known = known.where(F.coalesce(day.cast("string"), F.lit("")).isin([r.d for r in days.collect()]))
-        _write_batch(to_bronze(arrived, known).select(*S.BRONZE.names), path, number)
+        days = [r[0] for r in arrived.select(F.to_date("timestamp")).distinct().collect()]
+        fresh = to_bronze(arrived, bronze_before(spark, path, number, days))
+        by_day = fresh.select(*S.BRONZE.names, F.to_date("timestamp").alias("day"))
+        _write_batch(by_day, path, number, ("day",))
 
     return _start(raw, checkpoint, step, continuous, "bronze")
 
@@ -139,7 +143,8 @@ def compact(spark: SparkSession, path: str, schema, out: str) -> None:
 
 
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(f"{schema_ddl(schema)}, batch int").parquet(path).drop("batch")
+    rows = spark.read.schema(f"{schema_ddl(schema)}, batch int").parquet(path)
+    return rows.select(*[f.name for f in schema.fields])
 
 
 def start_gold(
@@ -164,6 +169,35 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def start_gold_totals(
+    silver: DataFrame, store: StreamedGold, checkpoint: str, continuous: bool = False
+) -> StreamingQuery:
+    """Categorised silver stream to monthly totals that are kept as state.
+
+    The totals of each user, month and category lie in a state store on disk
+    (RocksDB), so a batch reads and writes the groups that it has and nothing is
+    summed again. What a batch changes is taken into ``store`` once, also if the
+    batch is run again. State is one row a group and never expires.
+    """
+    spark = silver.sparkSession
+    before = spark.conf.get(PROVIDER)
+
+    def step(batch: DataFrame, number: int) -> None:
+        store.upsert(batch.select(*S.GOLD.names), number)
+
+    spark.conf.set(PROVIDER, ROCKSDB)  # the query takes it over as it starts
+    try:
+        writer = monthly_summary(silver).writeStream.outputMode("update").queryName("gold-totals")
+        writer = writer.option("checkpointLocation", checkpoint).foreachBatch(step)
+        return (writer if continuous else writer.trigger(availableNow=True)).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def start_corrections(
     corrections: DataFrame,
     silver: Callable[[], DataFrame],

@@ -451,6 +451,7 @@ _SQL = {
     "statement_normalise": "SELECT * FROM statement",
     "alert_extract": "SELECT * FROM mail",
     "alert_body": "SELECT message_id, body FROM messages",
+    "alert_body_nested": "SELECT message_id, body FROM messages",
     "incremental_fetch": f"""
         WITH advanced AS (
           SELECT user_id, max(t) AS last_fetched
@@ -892,6 +893,7 @@ _SQL = {
     "stream_dedupe": _BRONZE,
     "stream_silver": _WRITTEN,
     "stream_gold": _GOLD.format(table="stored"),
+    "stream_gold_totals": _GOLD.format(table="stored"),
     "stream_corrections": _GOLD.format(table="corrected"),
 }
 _SQL["classification_report"] = _SQL["classification_report"].replace("{predicted}", _PREDICTED)

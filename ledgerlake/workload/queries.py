@@ -22,7 +22,7 @@ from ledgerlake.operators import (
     silver,
     textfeatures,
 )
-from ledgerlake.plans import daily, memory, online
+from ledgerlake.plans import daily, memory, monthly, online
 from ledgerlake.sources import alerts, sinks, statements
 from ledgerlake.sources.shared import materialise, new_folder
 from ledgerlake.streaming import jobs
@@ -79,6 +79,12 @@ def alert_body(spark: Spark, d: str) -> DataFrame:
     return msgs.select("message_id", alerts.decode_body(F.col("payload")).alias("body"))
 
 
+def alert_body_nested(spark: Spark, d: str) -> DataFrame:
+    """Bodies of messages as the mailbox gives them, parts within parts."""
+    msgs = alerts.flatten_payloads(V.with_json(V.messages(spark, d)))
+    return msgs.select("message_id", alerts.decode_body(F.col("payload")).alias("body"))
+
+
 def incremental_fetch(spark: Spark, d: str) -> DataFrame:
     """What came since the marks as an earlier run advanced them."""
     landed = V.txn_raw(spark, d).where(F.col("timestamp") < F.lit(V.PREVIOUS_RUN).cast("timestamp_ntz"))
@@ -834,7 +840,7 @@ def _stream_bronze(spark: Spark, d: str) -> str:
 def _stream_silver(spark: Spark, d: str) -> str:
     path = new_folder(spark, "silver")
     stored = _stream_bronze(spark, d)
-    rows = jobs.stream_files(spark, f"{stored}/*", S.BRONZE)
+    rows = jobs.stream_files(spark, f"{stored}/*/*", S.BRONZE)
 
     def categorised(batch: DataFrame, source: DataFrame) -> DataFrame:
         known = V.feedback(batch.sparkSession, d)
@@ -871,6 +877,14 @@ def stream_gold(spark: Spark, d: str) -> DataFrame:
     return money(jobs.read_gold(spark, path), "total_amount")
 
 
+def stream_gold_totals(spark: Spark, d: str) -> DataFrame:
+    """Gold by totals that the stream keeps as state."""
+    rows = jobs.stream_files(spark, f"{_stream_silver(spark, d)}/*", S.SILVER)
+    store = monthly.StreamedGold(spark, new_folder(spark, "gold"))
+    jobs.start_gold_totals(rows, store, new_folder(spark, "offsets")).awaitTermination()
+    return money(store.gold(), "total_amount")
+
+
 def stream_corrections(spark: Spark, d: str) -> DataFrame:
     path = new_folder(spark, "feedback")
     before = materialise(V.silver_categorised(spark, d), "silver")
@@ -910,6 +924,7 @@ QUERIES = {
     "message_ingest": message_ingest,
     "alert_extract": alert_extract,
     "alert_body": alert_body,
+    "alert_body_nested": alert_body_nested,
     "incremental_fetch": incremental_fetch,
     "high_water_mark": high_water_mark,
     "raw_union": raw_union,
@@ -1007,5 +1022,6 @@ QUERIES = {
     "stream_dedupe": stream_dedupe,
     "stream_silver": stream_silver,
     "stream_gold": stream_gold,
+    "stream_gold_totals": stream_gold_totals,
     "stream_corrections": stream_corrections,
 }

@@ -283,6 +283,31 @@ def with_payload(msgs: DataFrame) -> DataFrame:
     return msgs.select("message_id", "user_id", payload.cast(S.PAYLOAD).alias("payload"))
 
 
+def with_json(msgs: DataFrame) -> DataFrame:
+    """Messages as the mailbox gives them: JSON, the body on one of seven levels,
+    between pictures, empty texts, empty lists of parts and texts that come later."""
+    data = F.regexp_replace(F.translate(F.base64(F.encode("body", "UTF-8")), "+/", "-_"), "\\s", "")
+
+    def part(kind: str, inside: Column | str, *parts: Column) -> Column:
+        listed = F.concat(F.lit(', "parts": ['), F.concat_ws(", ", *parts), F.lit("]")) if parts else F.lit("")
+        text = F.lit(inside) if isinstance(inside, str) else inside
+        return F.concat(F.lit(f'{{"mimeType": "{kind}", "body": {{"data": "'), text, F.lit('"}'), listed, F.lit("}"))
+
+    image, empty, later = part("image/png", "AAAA"), part("text/plain", ""), part("text/html", "c2Vjb25k")
+    hollow = F.lit('{"mimeType": "multipart/mixed", "body": {}, "parts": []}')
+    nested = part("text/plain", data)
+    shapes = []
+    for depth in range(6):
+        nested = part("multipart/mixed", "AAAA", image, empty, hollow, nested, later) if depth % 2 else part("multipart/related", "AAAA", nested, later)
+        shapes.append(nested)
+    bare = F.concat(F.lit('{"mimeType": "text/plain", "body": {"data": "'), data, F.lit('"}}'))
+    level = F.length("body") % 7
+    raw = bare
+    for i, shape in enumerate(shapes):
+        raw = F.when(level == i + 1, shape).otherwise(raw)
+    return msgs.select("message_id", "user_id", raw.alias("raw"))
+
+
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last fetch per user and source; users without a signup have no mark."""
     signups = payments(spark, sf_dir).where("event_type = 'signup'")

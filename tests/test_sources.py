@@ -1,5 +1,7 @@
 import base64
 import datetime as dt
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,3 +235,53 @@ def test_an_older_update_does_not_win(spark):
 def test_union_of_sources_fills_missing_columns(spark):
     a, b = spark.sql("select 1 as x, 'm' as message_id"), spark.sql("select 2 as x")
     assert sorted(map(tuple, alerts.union_sources(a, b).collect())) == [(1, "m"), (2, None)]
+
+
+def plain_body(message):
+    """First text part with data, depth first; a message without parts is its own."""
+    if "parts" not in message:
+        return message.get("body", {}).get("data")
+    for inner in message["parts"]:
+        if inner.get("mimeType") in ("text/plain", "text/html") and inner.get("body", {}).get("data"):
+            return inner["body"]["data"]
+        below = plain_body(inner) if "parts" in inner else None
+        if below:
+            return below
+    return None
+
+
+def random_message(r, depth=0):
+    kind = r.choice(["text/plain", "text/html", "image/png", "multipart/mixed"])
+    message = {"mimeType": kind, "body": r.choice([{}, {"data": ""}, {"data": "".join(r.choices("ABCDabcd", k=8))}])}
+    if r.random() < (0.9 if depth == 0 else 0.45) and depth < 7:
+        message["parts"] = [random_message(r, depth + 1) for _ in range(r.choice([0, 1, 2, 2, 3]))]
+    return message
+
+
+def test_nested_payloads(spark):
+    """Trees of any shape, rows that repeat, and what isn't a message."""
+    r = random.Random(11)
+    messages = [random_message(r) for _ in range(150)]
+    messages[0]["headers"] = [{"name": "From", "value": "a@sbi.in"}]
+    deep = {"mimeType": "text/plain", "body": {"data": "ZGVlcA=="}}
+    for _ in range(30):
+        deep = {"mimeType": "multipart/mixed", "body": {}, "parts": [{"mimeType": "image/png", "body": {}}, deep]}
+    messages.append(deep)
+    texts = [json.dumps(m) for m in messages]
+    rows = [(str(i), "x", t) for i, t in enumerate(texts)] + [("0", "x", texts[0])]
+    rows += [("bad", "x", "{not json"), ("null", "x", None), ("list", "x", "[1]"), ("word", "x", '"parts"')]
+    landed = spark.createDataFrame(rows, "message_id string, _path string, raw string").repartition(3)
+    flat = alerts.flatten_payloads(landed)
+    assert flat.columns == ["message_id", "_path", "payload"] and flat.schema["payload"].dataType == S.PAYLOAD
+    got = flat.select("message_id", "payload", alerts.decode_body(F.col("payload")).alias("body")).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        if row.message_id in ("bad", "null"):
+            assert row.payload is None and row.body is None
+        elif row.message_id.isdigit():
+            wanted = plain_body(messages[int(row.message_id)])
+            decoded = None if wanted is None else base64.urlsafe_b64decode(wanted).decode(errors="replace").replace("\ufffd", "")
+            assert row.body == decoded, messages[int(row.message_id)]
+    first = flat.where("message_id = '0'").select(alerts.header(F.col("payload"), "from").alias("h")).first()
+    assert first.h == "a@sbi.in"
+    assert alerts.flatten_payloads(landed.limit(0)).count() == 0

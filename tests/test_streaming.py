@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
 from ledgerlake.operators import bronze, feedback, gold, silver
-from ledgerlake.sources.shared import new_folder
+from ledgerlake.sources.shared import materialise, new_folder
+from ledgerlake.plans import monthly
 from ledgerlake.streaming import jobs
 
 from spend_cases import make_corrections, make_raw, make_silver
@@ -124,3 +125,39 @@ def test_corrections_stream_and_refit_trigger(spark, tmp_path):
     packed = new_folder(spark, "feedback")
     jobs.compact(spark, out, S.FEEDBACK, packed)
     assert rows(jobs.read_feedback(spark, packed), "silver_id") == rows(stored, "silver_id")
+
+
+def test_only_the_days_of_a_batch_are_read(spark, tmp_path):
+    raw = make_raw(spark, 90)
+    out, mark = new_folder(spark, "bronze"), new_folder(spark, "offsets")
+    land(raw, tmp_path, "a")
+    jobs.start_bronze(jobs.stream_files(spark, str(tmp_path), S.TRANSACTIONS), out, mark).awaitTermination()
+    days = [r[0] for r in raw.select(F.to_date("timestamp")).distinct().limit(2).collect()]
+    known = jobs.bronze_before(spark, out, 1, days)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert known.count() == bronze.to_bronze(raw).where(F.to_date("timestamp").isin(days)).count() > 0
+    assert jobs.bronze_before(spark, out, 0, days).count() == 0
+
+
+def test_gold_totals_over_restarts(spark, tmp_path):
+    """Totals stay in the state over two starts; a batch that comes again, or
+    broke off, counts once."""
+    rows_ = make_silver(spark, 160)
+    store = monthly.StreamedGold(spark, new_folder(spark, "gold"))
+    mark = new_folder(spark, "offsets")
+    for name, part in (("a", "silver_id < 50"), ("b", "silver_id >= 50 and silver_id < 60"), ("c", "silver_id >= 60")):
+        land(rows_.where(part), tmp_path, name)
+        stream = jobs.stream_files(spark, str(tmp_path), S.SILVER)
+        jobs.start_gold_totals(stream, store, mark).awaitTermination()
+        so_far = rows_.where("silver_id < 50") if name == "a" else rows_.where("silver_id < 60") if name == "b" else rows_
+        assert rows(store.gold(), *S.GOLD.names) == rows(gold.monthly_summary(so_far), *S.GOLD.names)
+    wrong = gold.monthly_summary(rows_).withColumn("txn_count", F.lit(999).cast("long"))
+    store.upsert(wrong, 1)  # taken in before
+    run = store.begin()
+    store.put(wrong, "gold", run, ("month",))  # breaks off here
+    assert rows(store.gold(), *S.GOLD.names) == rows(gold.monthly_summary(rows_), *S.GOLD.names)
+    one = materialise(wrong.limit(1), "one")
+    store.upsert(one, 77)
+    changed = gold.monthly_summary(rows_).join(one.select(*gold.GOLD_KEYS), gold.GOLD_KEYS, "left_anti").unionByName(one)
+    assert rows(store.gold(), *S.GOLD.names) == rows(changed, *S.GOLD.names)
