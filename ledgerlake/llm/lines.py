@@ -41,12 +41,14 @@ def _key(line: Column) -> list[Column]:
 
 
 def _occurrences(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
-    """Row, site, hash and bytes of every line that isn't blank."""
+    """Hash, bytes, site and row of every line that isn't blank, and the bytes of
+    all such lines of the row."""
     trimmed = F.transform(F.split(whole(F.col(text_col)), "\n"), lambda x: F.trim(x))
     each = F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.struct(*_key(x), F.octet_length(x).cast("long").alias("bytes")))
     # numbered before the lines are taken apart
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(site_col).alias("site"), each.alias("lines"))
-    return rows.select("row", "site", F.explode("lines").alias("l")).select("row", "site", "l.*")
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda t, x: t + x["bytes"])
+    return rows.select("row", "site", total.alias("total"), F.explode("lines").alias("l")).select("row", "site", "total", "l.*")
 
 
 def _on_many_sites(lines: DataFrame, sites: int) -> DataFrame:
@@ -66,19 +68,11 @@ def _on_many_sites(lines: DataFrame, sites: int) -> DataFrame:
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
     """Hashes of the lines on at least ``sites`` sites, copies apart."""
     lines = _occurrences(docs, text_col, site_col)
-    many = _on_many_sites(lines, sites).withColumn("_many", F.lit(True))
-    # a row's number only has to hold within this one pass over the input
-    marked = lines.join(many, _KEY, "left")
-    spread = F.col("_many").isNotNull()
-    documents = marked.groupBy("row").agg(
-        F.first("site").alias("site"),
-        F.sum("bytes").alias("bytes"),
-        F.sum(F.when(spread, F.col("bytes"))).alias("spread"),
-        F.collect_set(F.when(spread, F.struct(*_KEY))).alias("keys"),
-    )
-    own = documents.filter(F.col("spread") * 100 <= F.col("bytes") * COPY)
-    counted = materialise(own.select("site", F.explode("keys").alias("k")).select("site", "k.*"), "lines-of-their-own")
-    return _on_many_sites(counted, sites)
+    # a row's number holds from here on, as it is written once
+    spread = materialise(lines.join(_on_many_sites(lines, sites), _KEY), "lines-on-many-sites")
+    documents = spread.groupBy("row").agg(F.sum("bytes").alias("spread"), F.first("total").alias("total"))
+    own = documents.filter(F.col("spread") * 100 <= F.col("total") * COPY).select("row")
+    return _on_many_sites(spread.join(own, "row", "left_semi"), sites)
 
 
 def strip(docs: DataFrame, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
