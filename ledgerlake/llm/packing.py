@@ -1,15 +1,15 @@
 """Best-fit packing of token sequences.
 
 Documents longer than a sequence are cut; each piece is placed whole in the
-smallest gap that takes it, the longest pieces first. Work goes in supersteps
-from the longest length to the shortest. Pieces are range-sorted by length and
-ranked in Spark; since lengths and gaps are whole numbers up to the sequence
-length, both lists are runs: so many pieces of a length, so many sequences with
-a gap. In a superstep each run of pieces sweeps to its successor among the gaps;
-where pieces compete for a run of gaps the lower ranks get it and the others
-sweep on; then the gaps are updated. Only runs pass through the driver, whose
-number depends on the sequence length, not on the documents. What a run was
-given is turned into a place for each piece, by its rank, where the piece lies.
+smallest gap that takes it, the longest pieces first. Pieces are range-sorted by
+length and ranked in Spark; since lengths and gaps are whole numbers up to the
+sequence length, both lists are runs: so many pieces of a length, so many sequences
+with a gap. The matching itself is one serial sweep on the driver over these runs,
+from the longest length to the shortest: a run of pieces takes the smallest gaps
+that hold it, and the gaps that are left go back into the list. Only runs pass
+through the driver, whose number depends on the sequence length, not on the
+documents. What a run was given is turned into a place for each piece, by its rank,
+where the piece lies.
 
 This gives what best-fit decreasing gives piece by piece. Null texts are empty
 and have the end id alone. Rows that repeat are packed as often as they come.
