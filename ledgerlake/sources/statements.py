@@ -1,4 +1,4 @@
-"""Bank statements: delimited files with discovered columns."""
+"""Bank statements: delimited files and spreadsheets with discovered columns."""
 
 from functools import reduce
 
@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import STATEMENT_DATE_FORMATS, clean_amount, parse_date, strip
+from ledgerlake.sources import spreadsheets
 
 
 def read_statements(spark: SparkSession, path: str) -> list[DataFrame]:
-    """Statement files under ``path`` as text columns, one table per layout.
+    """Delimited statement files under ``path`` as text columns, one table per
+    layout; spreadsheets are left out.
 
     Files are grouped by their header line, so each is read by its own names
     whatever the order of its columns. Folders such as ``user_id=7`` say whose
@@ -19,6 +21,7 @@ def read_statements(spark: SparkSession, path: str) -> list[DataFrame]:
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"),
     )
+    lines = lines.where(~F.lower("file").rlike(r"\.xls[xm]$"))
     headers = lines.groupBy("file").agg(F.min_by("value", F.struct("at", "i")).alias("header"))
     layouts: dict[str, list[str]] = {}
     for row in headers.collect():
@@ -67,11 +70,24 @@ def statement_rejects(
 
 
 def normalise_files(spark: SparkSession, path: str, user: str = "user_id") -> DataFrame:
-    """Debits of all statement files under ``path``, of whatever layouts."""
+    """Debits of all statement files under ``path``, of whatever layouts:
+    delimited files and spreadsheets."""
     tables = [normalise_statement(df, user) for df in read_statements(spark, path)]
+    sheets = spreadsheets.read_files(spark, path)
+    if not tables or sheets.select("path").limit(1).count():
+        tables.append(normalise_spreadsheets(sheets, user))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def normalise_spreadsheets(
+    files: DataFrame, user: str = "user_id", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Debits of spreadsheet files (``path``, ``content``), of whatever layouts;
+    columns named in ``keep`` that end in ``_id`` are passed through."""
+    lines, _ = spreadsheets.read_spreadsheets(files, user, keep)
+    return normalise_statement(lines.drop("file", "line"), user)
+
+
 def _read(df: DataFrame, user: str, formats: list[str]) -> DataFrame:
     kept = [c for c in df.columns if c == user or c.endswith("_id")]
     found = discover_columns([c for c in df.columns if c not in kept])

@@ -493,6 +493,7 @@ _SQL = {
     "parse_date": """
         SELECT o_orderkey AS line_id, CASE WHEN o_orderkey % 11 <> 0
                THEN CAST(o_orderdate + INTERVAL 10 YEARS AS TIMESTAMP) END AS parsed FROM orders""",
+    "statement_sheets": "SELECT * FROM statement",
     "statement_files": """
         SELECT line_id, CAST(CAST(user_id AS INT) % 10 AS VARCHAR) AS user_id, amount, receiver,
                "timestamp" FROM statement""",

@@ -60,6 +60,12 @@ def statement_files(spark: Spark, d: str) -> DataFrame:
     )
 
 
+def statement_sheets(spark: Spark, d: str) -> DataFrame:
+    """The statement lines as spreadsheets in three styles, read back."""
+    rows = statements.normalise_spreadsheets(V.workbooks(spark, d), keep=("line_id",))
+    return money(rows.withColumn("line_id", F.col("line_id").cast("long")), "amount")
+
+
 def statement_rejects(spark: Spark, d: str) -> DataFrame:
     return statements.statement_rejects(V.statements(spark, d)).select("line_id", "reason")
 
@@ -920,6 +926,7 @@ QUERIES = {
     "spend_by_merchant": spend_by_merchant,
     "statement_normalise": statement_normalise,
     "statement_files": statement_files,
+    "statement_sheets": statement_sheets,
     "statement_rejects": statement_rejects,
     "message_ingest": message_ingest,
     "alert_extract": alert_extract,

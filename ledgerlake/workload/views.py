@@ -4,6 +4,10 @@ Receivers are chosen by a number found in each event, so every shape of
 receiver text and every collision between merchant rules occurs.
 """
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,6 +226,95 @@ def write_statement_files(spark: SparkSession, sf_dir: str, path: str) -> None:
     writer(other).csv(path)
 
 
+SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _zipped(batches):
+    """Members of a workbook as one file."""
+    for batch in batches:
+        out = []
+        for members in batch.column(1).to_pylist():
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+                for name, xml in members:
+                    archive.writestr(name, xml)
+            out.append(data.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+
+
+def workbooks(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
+    """Statement lines as spreadsheet files of about ``size`` lines, in three
+    styles: shared texts and days from 1900, inline texts, days from 1904 in a
+    format of their own."""
+    lines = statements(spark, sf_dir)
+    n = -(-lines.count() // size)
+    book = F.pmod(F.xxhash64("line_id"), F.lit(max(n, 1))).cast("long")
+    amount, day = F.col("`Withdrawal Amt.`"), F.try_to_timestamp("` Txn Date `", F.lit("dd/MM/yyyy")).cast("date")
+    rows = lines.select(
+        book.alias("book"), F.col("line_id").alias("id"), "user_id", F.col("Narration").alias("n"),
+        amount.alias("w"), F.col("` Txn Date `").alias("d"), day.alias("day"),
+    )
+    files = rows.groupBy("book").agg(
+        F.sort_array(F.collect_list(F.struct("id", "user_id", "n", "w", "d", "day"))).alias("lines"),
+        F.sort_array(F.collect_set("n")).alias("texts"),
+    ).withColumn("style", F.col("book") % 3)
+
+    def escaped(text):
+        return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def inline(at, text):
+        return F.concat(F.lit(f'<c r="{at}'), F.col("r"), F.lit('" t="inlineStr"><is><t>'), escaped(text), F.lit("</t></is></c>"))
+
+    def number(at, value, style=0):
+        return F.concat(F.lit(f'<c r="{at}'), F.col("r"), F.lit(f'" s="{style}"><v>'), value.cast("string"), F.lit("</v></c>"))
+
+    each = files.select("book", "style", "texts", F.posexplode("lines").alias("i", "x")).withColumn("r", F.col("i") + 3)
+    serial = F.datediff("x.day", F.when(F.col("style") == 2, F.lit("1904-01-01")).otherwise(F.lit("1899-12-30")).cast("date"))
+    shared = F.concat(
+        F.lit('<c t="s" r="D'), F.col("r"), F.lit('"><v>'), (F.array_position("texts", F.col("x.n")) - 1).cast("string"), F.lit("</v></c>")
+    )
+    plain = F.replace("x.w", F.lit(","), F.lit(""))
+    cells = [
+        number("A", F.col("x.id")),
+        inline("B", F.col("x.user_id")),
+        F.when((F.col("style") == 1) | F.col("x.day").isNull(), inline("C", F.col("x.d"))).otherwise(number("C", serial, 1)),
+        F.when(F.col("style") == 0, shared).otherwise(inline("D", F.col("x.n"))),
+        F.when(F.col("style") == 1, inline("F", F.col("x.w"))).otherwise(number("F", plain)),
+    ]
+    row = F.concat(F.lit('<row r="'), F.col("r"), F.lit('">'), *[F.coalesce(c, F.lit("")) for c in cells], F.lit("</row>"))
+    named = ["line_id", "user_id", " Txn Date ", "Narration", "Balance", "Withdrawal Amt."]
+    top = "".join(f'<c r="{at}2" t="inlineStr"><is><t xml:space="preserve">{name}</t></is></c>' for at, name in zip("ABCDEF", named, strict=True))
+    sheet = F.concat(
+        F.lit(f'<worksheet xmlns="{SHEET}"><sheetData><row r="2">{top}</row>'),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", row.alias("xml")))), lambda x: x["xml"]), ""),
+        F.lit("</sheetData></worksheet>"),
+    )
+    texts = F.array_join(
+        F.transform("texts", lambda t: F.concat(F.lit("<si><r><t>"), escaped(F.substring(t, 1, 3)), F.lit("</t></r><r><t>"), escaped(t.substr(F.lit(4), F.length(t))), F.lit("</t></r></si>"))), ""
+    )
+    marked = F.when(F.col("style") == 2, '<workbookPr date1904="1"/>').otherwise("<workbookPr/>")
+    code = F.when(F.col("style") == 2, "170").otherwise("14")
+    members = {
+        "xl/workbook.xml": F.concat(
+            F.lit(f'<workbook xmlns="{SHEET}" xmlns:r="{RELATIONS}">'), marked,
+            F.lit('<sheets><sheet name="a" sheetId="1" r:id="rId1"/></sheets></workbook>')),
+        "xl/_rels/workbook.xml.rels": F.lit(
+            f'<Relationships xmlns="x"><Relationship Id="rId1" Type="{RELATIONS}/worksheet" Target="worksheets/sheet7.xml"/></Relationships>'),
+        "xl/styles.xml": F.concat(
+            F.lit(f'<styleSheet xmlns="{SHEET}"><numFmts count="1"><numFmt numFmtId="170" formatCode="dd/mm/yyyy;@"/></numFmts>'
+                  '<cellXfs><xf numFmtId="0"/><xf numFmtId="'), code, F.lit('"/></cellXfs></styleSheet>')),
+        "xl/sharedStrings.xml": F.concat(F.lit(f'<sst xmlns="{SHEET}">'), texts, F.lit("</sst>")),
+        "xl/worksheets/sheet7.xml": F.col("sheet"),
+    }
+    whole = each.groupBy("book", "style", "texts").agg(sheet.alias("sheet"))
+    listed = F.array(*[F.struct(F.lit(name).alias("name"), xml.alias("xml")) for name, xml in members.items()])
+    made = whole.select(F.concat(F.lit("book-"), F.col("book"), F.lit(".xlsx")).alias("path"), listed.alias("members"))
+    return made.select("path", F.transform("members", lambda m: F.array(m["name"], m["xml"])).alias("m")).mapInArrow(
+        _zipped, "path string, content binary"
+    )
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments as alert messages in several wordings."""
     n = F.col("event_id")
