@@ -1,7 +1,7 @@
 """Bank statements as spreadsheets (xlsx).
 
 A task unzips a file into the XML of its first sheet's rows, its shared texts
-and its formats, one element a row. From there on it is Spark's work: the XML is
+and its formats, some hundred elements a row. From there on it is Spark's work: the XML is
 read by its own function, shared texts are joined in by file and number, serial
 numbers become dates, and columns are found by the file's own header, so files of
 any layout are one table and nothing of a file passes the driver.
@@ -10,6 +10,7 @@ any layout are one table and nothing of a file passes the driver.
 import io
 import posixpath
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -20,8 +21,8 @@ from ledgerlake.functions.text import strip
 from ledgerlake.sources.shared import materialise
 
 PATTERN = "*.xls[xm]"
-#: Elements that leave a task together.
-BATCH = 2000
+#: Rows or shared texts whose XML is read at once, and what leaves a task together.
+TOGETHER, BATCH = 200, 50
 
 # Built-in number formats that show a date or a time.
 DATE_FORMATS = [*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)]
@@ -30,11 +31,11 @@ FORMAT_TEXT = r'"[^"]*"|\\.|\[[^\]]*\]|_.'
 FORMAT_DATE = "(?i)[ymdhs]"
 
 _PARTS = "file string, part string, at long, xml string"
-_ROW = (
-    "c array<struct<_r: string, _s: int, _t: string, v: string, "
-    "`is`: struct<t: string, r: array<struct<t: string>>>>>"
+_ROWS = (
+    "row array<struct<_r: long, c: array<struct<_r: string, _s: int, _t: string, v: string, "
+    "`is`: struct<t: string, r: array<struct<t: string>>>>>>>"
 )
-_TEXT = "t string, r array<struct<t: string>>"
+_TEXTS = "si array<struct<t: string, r: array<struct<t: string>>>>"
 _XML = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
 
 
@@ -43,8 +44,8 @@ def _local(name: str) -> str:
 
 
 def _elements(stream, names: set[str]):
-    """Name, attributes and XML, without namespaces, of the elements of some
-    names, as the part is read; what was given is let go."""
+    """The elements of some names, without namespaces, as the part is read; what
+    was given is let go."""
     above = []
     for event, element in ElementTree.iterparse(stream, ("start", "end")):
         if event == "start":
@@ -57,11 +58,32 @@ def _elements(stream, names: set[str]):
             e.tag = _local(e.tag)
             e.attrib = {k: v for k, v in e.attrib.items() if "}" not in k}
         element.tail = None
-        yield element.tag, element.attrib, ElementTree.tostring(element, encoding="unicode")
+        yield element
         if above:
             above[-1].clear()
 
 
+def _together(elements):
+    """Elements by the hundreds: how many there were before, and their XML."""
+    held, before = [], 0
+    for element in elements:
+        held.append(ElementTree.tostring(element, encoding="unicode"))
+        if len(held) == TOGETHER:
+            yield before, f"<all>{''.join(held)}</all>"
+            held, before = [], before + len(held)
+    if held:
+        yield before, f"<all>{''.join(held)}</all>"
+
+
+def _numbered(rows):
+    """Rows of a sheet, each with its number."""
+    at = 0
+    for row in rows:
+        at = int(row.get("r", at + 1))
+        row.set("r", str(at))
+        yield row
+
+
 def _target(base: str, target: str) -> str:
     """Name of the member that a part in ``base`` refers to."""
     return target[1:] if target.startswith("/") else posixpath.normpath(posixpath.join(base, target))
@@ -77,7 +99,7 @@ def _first_sheet(archive: zipfile.ZipFile) -> tuple[str, int]:
             elif _local(e.tag) == "workbookPr" and e.attrib.get("date1904") in ("1", "true"):
                 year = 1904
     with archive.open("xl/_rels/workbook.xml.rels") as part:
-        targets = {a["Id"]: a["Target"] for _, a, _ in _elements(part, {"Relationship"})}
+        targets = {e.get("Id"): e.get("Target") for e in _elements(part, {"Relationship"})}
     return _target("xl", targets[sheets[0]]), year
 
 
@@ -91,18 +113,16 @@ def _of_file(content: bytes):
             yield "book", year, None
             if "xl/styles.xml" in members:
                 with archive.open("xl/styles.xml") as part:
-                    for name, _, xml in _elements(part, {"numFmts", "cellXfs"}):
-                        yield name, 0, xml
+                    for e in _elements(part, {"numFmts", "cellXfs"}):
+                        yield e.tag, 0, ElementTree.tostring(e, encoding="unicode")
             if "xl/sharedStrings.xml" in members:
                 with archive.open("xl/sharedStrings.xml") as part:
-                    for at, (_, _, xml) in enumerate(_elements(part, {"si"})):
+                    for at, xml in _together(_elements(part, {"si"})):
                         yield "text", at, xml
-            at = 0
             with archive.open(sheet) as part:
-                for _, attributes, xml in _elements(part, {"row"}):
-                    at = int(attributes.get("r", at + 1))
+                for at, xml in _together(_numbered(_elements(part, {"row"}))):
                     yield "row", at, xml
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, StopIteration, ValueError, EOFError, NotImplementedError, RuntimeError) as error:
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, StopIteration, ValueError, EOFError, NotImplementedError, RuntimeError, zlib.error) as error:
         yield "broken", 0, type(error).__name__
 
 
@@ -127,7 +147,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def unzip(files: DataFrame) -> DataFrame:
     """Elements of the files (``path``, ``content``): ``file``, ``part`` (row,
-    text, numFmts, cellXfs, book, broken), ``at``, ``xml``."""
+    text, numFmts, cellXfs, book, broken), ``at`` (elements before), ``xml``."""
     parts = files.select("path", "content").mapInArrow(_unzipped, _PARTS)
     return materialise(parts, "sheet-parts")
 
@@ -181,8 +201,10 @@ def _number_text(number: Column) -> Column:
 def cell_texts(parts: DataFrame) -> DataFrame:
     """``file``, ``at`` (row), ``cells``: column and text of every cell that is
     not blank, by column. Dates are written as yyyy-MM-dd HH:mm:ss, errors are blank."""
-    rows = parts.where("part = 'row'").select("file", "at", F.posexplode(F.from_xml("xml", _ROW, _XML)["c"]).alias("i", "c"))
-    texts = parts.where("part = 'text'").select("file", F.col("at").alias("number"), _plain(F.from_xml("xml", _TEXT, _XML)).alias("shared"))
+    rows = parts.where("part = 'row'").select("file", F.explode(F.from_xml("xml", _ROWS, _XML)["row"]).alias("x"))
+    rows = rows.select("file", F.col("x._r").alias("at"), F.posexplode("x.c").alias("i", "c"))
+    texts = parts.where("part = 'text'").select("file", "at", F.posexplode(F.from_xml("xml", _TEXTS, _XML)["si"]).alias("i", "x"))
+    texts = texts.select("file", (F.col("at") + F.col("i")).alias("number"), _plain(F.col("x")).alias("shared"))
     kind = F.coalesce(F.col("c._t"), F.lit("n"))
     cells = rows.withColumn("number", F.when(kind == "s", F.col("c.v").try_cast("long")))
     cells = cells.join(texts, ["file", "number"], "left").join(_formats(parts), "file", "left")
