@@ -159,16 +159,32 @@ def _across(similarity: float, size: int):
     return work
 
 
+def dealt(met: DataFrame) -> DataFrame:
+    """Members of values with several roots, dealt into pairs of blocks (``value``,
+    ``low``, ``high``) so that any two of different roots are in one of them.
+
+    Members of a value's largest root have no pairs among them: they only go to the
+    blocks of the others. So a family of millions that meets a few others is
+    moved a few times, not once for each of its own blocks."""
+    counts = met.groupBy("value", "root").agg(F.count("*").alias("n"))
+    several = counts.groupBy("value").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+    several = several.filter("roots > 1").withColumn("few", F.col("n") <= BLOCK).select(
+        "value",
+        F.col("most.root").alias("most"),
+        F.when(F.col("few"), 1).otherwise(F.ceil((F.col("n") - F.col("most.n")) / BLOCK)).cast("int").alias("blocks"),
+        F.when(F.col("few"), 0).otherwise(F.ceil(F.col("most.n") / BLOCK)).cast("int").alias("behind"),
+    )
+    rows = met.join(several, "value").withColumn("late", (F.col("root") == F.col("most")) & (F.col("behind") > 0))
+    rows = rows.withColumn("block", F.expr("cast(if(late, blocks + pmod(xxhash64(node), greatest(behind, 1)), pmod(xxhash64(node), blocks)) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, if(late, blocks, blocks + behind) - 1)")))
+    return rows.select("value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root")
+
+
 def across(met: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """All pairs ``a`` < ``b`` of nodes of different roots that meet, but for
     those whose minima (``nodes``) or smallest hashes (``sets``) agree five
     standard errors less than ``similarity``."""
-    several = met.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
-    several = several.select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     signs = nodes.select("node", "minima").join(sets.select("node", F.slice("shingles", 1, SKETCH).alias("sketch")), "node")
-    rows = met.join(several, "value").join(signs, "node")
-    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    named = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "minima", "sketch"]
-    dealt = rows.select("value", *named).repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
-    return dealt.mapInArrow(_across(similarity, SKETCH), "a long, b long")
+    rows = dealt(met).join(signs, "node").select("value", "low", "high", "block", "node", "root", "minima", "sketch")
+    rows = rows.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
+    return rows.mapInArrow(_across(similarity, SKETCH), "a long, b long")
