@@ -29,8 +29,8 @@ from ledgerlake.sources.shared import materialise
 WINDOW = 13
 #: (shortest span found, words in a hashed gram); runs have span - gram + 1 grams.
 LEVELS = ((13, 5), (7, 4), (4, 2), (2, 1), (1, 1))
-#: Benchmark hashes that are sent to every executor (8 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of benchmark hashes or windows that are sent to every executor; beyond it the join shuffles.
+BROADCAST_BYTES = 16_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -185,9 +185,9 @@ def _extended(sizes):
     return work
 
 
-def _joined(left, right, on, how, rows):
-    """``right`` has ``rows`` rows: sent to every executor only if that is few."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+def _joined(left, right, on, how, size):
+    """``right`` has ``size`` bytes: sent to every executor only if that is little."""
+    return left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, on, how)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -203,7 +203,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     windows = texts.mapInArrow(_item_windows, f"item {item_kind}, window string, size int").distinct()
     windows = materialise(windows, "benchmark-windows")
     prints = materialise(texts.select("text").mapInArrow(_item_prints, "hash long, level int").distinct(), "benchmark-prints")
-    n_prints, n_windows = prints.count(), windows.count()
+    # 16 bytes a row, and a window's text
+    prints_size = 16 * prints.count()
+    windows_size = windows.agg(F.coalesce(F.sum(F.octet_length("window") + 16), F.lit(0))).first()[0]
     # at most one row for each number of words up to the window
     sizes: dict[int, list[int]] = {}
     for (size,) in windows.select("size").distinct().collect():
@@ -213,7 +215,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         _prints(sorted(sizes), headers=True), f"_id {kind}, _key long, hash long, level int, place int"
     )
     known = prints.select("hash", "level", F.lit(True).alias("known"))
-    found = _joined(found, known, ["hash", "level"], "left", n_prints).filter("known OR place < 0")
+    found = _joined(found, known, ["hash", "level"], "left", prints_size).filter("known OR place < 0")
     found = materialise(found.select("_id", "_key", "level", "place"), "prints")
     heads = found.filter("place < 0").select("_id", "_key", F.col("level").cast("long").alias("n_words"))
     hits = found.filter("place >= 0").groupBy("_id", "_key").agg(F.collect_set(F.struct("level", "place")).alias("hits"))
@@ -221,7 +223,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     same = rows["_id"].eqNullSafe(hits["_id"]) & (rows["_key"] == hits["_key"])
     near = rows.join(hits, same).select(rows["_id"], rows["_key"], "_text", "hits")
     around = near.mapInArrow(_extended(sizes), f"_id {kind}, _key long, place int, size int, window string")
-    occurring = _joined(around, windows.select("window").distinct(), "window", "left_semi", n_windows)
+    occurring = _joined(around, windows.select("window").distinct(), "window", "left_semi", windows_size)
     return heads, materialise(occurring, "benchmark-hits"), windows.select("item", "window").distinct()
 
 

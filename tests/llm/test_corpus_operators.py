@@ -6,6 +6,7 @@ import random
 import brute
 import cases
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import pytest
 from ledgerlake.llm import (
@@ -45,7 +46,7 @@ def test_contamination(spark, folder):
 
 
 def test_contamination_by_shuffle_join(spark, folder, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     test_contamination(spark, folder)
 
 
@@ -171,6 +172,30 @@ def test_members_of_a_template_are_compared_with_each_other(spark, monkeypatch):
     assert near_groups(spark, texts)[0] == expected
 
 
+@pytest.mark.parametrize("roots", [{1: 40, 2: 1}, {1: 9, 2: 9, 3: 3}, {1: 2, 2: 2}, {1: 7}, {n: 1 for n in range(11)}])
+def test_any_two_roots_meet_in_one_block(spark, monkeypatch, roots):
+    """One value whose members are of some roots: a large family isn't copied for a straggler."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    members = [(64, 100 * root + i, root) for root, n in roots.items() for i in range(n)] + [(8, 1, 1), (9, 1, 1), (9, 200, 2)]
+    met = spark.createDataFrame(members, "value long, node long, root long")
+    tasks = {}
+    for r in minhash.dealt(met).filter("value = 64").collect():
+        tasks.setdefault((r.low, r.high), []).append(r)
+    pairs = [
+        (min(a.node, b.node), max(a.node, b.node))
+        for (low, high), rows in tasks.items() for i, a in enumerate(rows) for b in rows[:i]
+        if a.root != b.root and (low == high or a.block != b.block)
+    ]
+    of = [m for m in members if m[0] == 64]
+    assert sorted(pairs) == sorted((a[1], b[1]) for a in of for b in of if a[1] < b[1] and a[2] != b[2])
+    if len(roots) == 2 and roots[1] == 40:
+        assert sum(map(len, tasks.values())) == 40 + 1 + 10
+    nodes = [(n, np.arange(minhash.MINIMA, dtype="<u4").tobytes()) for n in sorted({m[1] for m in members})]
+    sets = spark.createDataFrame([(n, [1, 2, 3]) for n, _ in nodes], "node long, shingles array<long>")
+    found = minhash.across(met.filter("value = 64"), spark.createDataFrame(nodes, "node long, minima binary"), sets, 0.8)
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(pairs)
+
+
 def test_substrings(spark, folder):
     got = queries.op8_suffix_dedup(spark, folder)
     expected = brute.repeats([r[:2] for r in DOCS])
