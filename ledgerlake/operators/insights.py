@@ -137,7 +137,7 @@ def page(
 
     The rank limit is pushed below the shuffle: a task keeps at most
     ``number * size`` rows per user, however many the user has. Deep pages
-    are better read with ``page_after``.
+    are better read with ``deep_page`` or ``page_after``.
     """
     ranked = Window.partitionBy("user_id").orderBy(*_order(sort, descending))
     wanted = (
@@ -151,6 +151,55 @@ def page(
     return wanted.join(pages, "user_id")
 
 
+def _range_of(sort: str) -> Column:
+    """Ranges in which rows are counted, in the order of their values."""
+    return F.floor("amount") if sort == "amount" else F.col(sort)
+
+
+def range_counts(rows: DataFrame, sort: str = "transaction_date") -> DataFrame:
+    """Rows per user and range of the sort column: one for each day, whole
+    amount, merchant or category. Small beside the rows, and sums over batches."""
+    return rows.groupBy("user_id", _range_of(sort).alias("range")).agg(F.count("*").alias("n"))
+
+
+def deep_page(
+    rows: DataFrame,
+    number: int,
+    sort: str = "transaction_date",
+    descending: bool = True,
+    size: int = PAGE_SIZE,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """The same rows as ``page``, at any depth for the cost of the ranges that
+    the page lies in.
+
+    The counts of a user's ranges say in which of them the page begins and ends.
+    Only rows of these are brought together and sorted; of rows stored by day only
+    these days are read. ``counts``: stored ``range_counts`` of the same rows.
+    """
+    _order(sort, descending)
+    counts = range_counts(rows, sort) if counts is None else counts
+    key = F.col("range").desc_nulls_last() if descending else F.col("range").asc_nulls_last()
+    user = Window.partitionBy("user_id")
+    first, last = (number - 1) * size, number * size
+    ranges = (
+        counts.withColumn("until", F.sum("n").over(user.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("total_pages", F.ceil(F.sum("n").over(user) / size).cast("long"))
+        .withColumn("before", F.col("until") - F.col("n"))
+        .where((F.col("before") < last) & (F.col("until") > first))
+    )
+    offset = F.min("before").over(user)
+    wanted = ranges.select(F.col("user_id").alias("_user"), "range", offset.alias("_before"), "total_pages")
+    same = (F.col("user_id") == F.col("_user")) & _range_of(sort).eqNullSafe(F.col("range"))
+    near = rows.join(wanted, same).drop("_user", "range")
+    ranked = user.orderBy(*_order(sort, descending))
+    place = F.col("_before") + F.row_number().over(ranked)
+    return (
+        near.withColumn("position", place.cast("int")).drop("_before")
+        .where((F.col("position") > first) & (F.col("position") <= last))
+    )
+
+
 def page_after(
     rows: DataFrame,
     user_id: str,

@@ -607,6 +607,18 @@ _SQL = {
         SELECT 'both', silver_id, category, CAST(stored.amount AS DOUBLE)
         FROM stored JOIN silver USING (silver_id)
         WHERE category = 'Health' AND (contains(lower(merchant), 'e') OR contains('health', 'e'))""",
+    "txn_page_deep": """
+        SELECT sorted_by, user_id, position, silver_id, total_pages
+        FROM (SELECT 'date' AS sorted_by, user_id, silver_id,
+                row_number() OVER (PARTITION BY user_id ORDER BY transaction_date DESC, silver_id) AS position,
+                CAST(ceil(count(*) OVER (PARTITION BY user_id) / 20) AS BIGINT) AS total_pages
+              FROM silver
+              UNION ALL
+              SELECT 'amount', user_id, silver_id,
+                row_number() OVER (PARTITION BY user_id ORDER BY amount, silver_id),
+                CAST(ceil(count(*) OVER (PARTITION BY user_id) / 20) AS BIGINT)
+              FROM silver)
+        WHERE position BETWEEN 41 AND 60""",
     "txn_page": """
         SELECT user_id, position, silver_id, transaction_date, total_pages
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id

@@ -340,6 +340,14 @@ def txn_page(spark: Spark, d: str) -> DataFrame:
     return rows.select("user_id", "position", "silver_id", "transaction_date", "total_pages")
 
 
+def txn_page_deep(spark: Spark, d: str) -> DataFrame:
+    """Third pages, newest first and smallest amount first."""
+    rows = materialise(V.silver(spark, d), "silver")
+    newest = insights.deep_page(rows, 3).withColumn("sorted_by", F.lit("date"))
+    smallest = insights.deep_page(rows, 3, "amount", False).withColumn("sorted_by", F.lit("amount"))
+    return newest.unionByName(smallest).select("sorted_by", "user_id", "position", "silver_id", "total_pages")
+
+
 def txn_sorted(spark: Spark, d: str) -> DataFrame:
     rows = insights.sorted_transactions(V.silver(spark, d), "amount", descending=False)
     return money(rows.select("silver_id", "user_id", "merchant", "amount"), "amount")
@@ -967,6 +975,7 @@ QUERIES = {
     "txn_search": txn_search,
     "txn_by_category": txn_by_category,
     "txn_page": txn_page,
+    "txn_page_deep": txn_page_deep,
     "txn_sorted": txn_sorted,
     "filtered_totals": filtered_totals,
     "history_distribution": history_distribution,
