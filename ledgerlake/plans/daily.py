@@ -17,12 +17,14 @@ from ledgerlake.operators.bronze import to_bronze
 from ledgerlake.operators.feedback import apply_corrections, feedback_rows, split_corrections
 from ledgerlake.operators.gold import GOLD_KEYS, affected_groups, monthly_summary
 from ledgerlake.operators.history import frequency_30d, history_count, with_keys, KEYS
+from ledgerlake.operators.insights import search
 from ledgerlake.operators.scoring import categorise
 from ledgerlake.operators.silver import project_silver, scoring_input, to_silver, write_back
 from ledgerlake.operators.trailing import slot_totals, trailing_from_store
 from ledgerlake.plans.memory import HistoryStore
 from ledgerlake.plans.monthly import MonthlyGold
 from ledgerlake.plans.online import OnlineModel, correction_examples
+from ledgerlake.plans.searching import UNDATED, SearchIndex, block_month
 from ledgerlake.sources.journal import ddl, within
 from ledgerlake.sources.shared import materialise
 from ledgerlake.sources.sinks import latest_by_key
@@ -102,15 +104,18 @@ def run(
 
 
 @dataclass
-class Store(MonthlyGold):
+class Store(MonthlyGold, SearchIndex):
     """Layers in a folder that all executors can reach.
 
     Bronze lies by day of payment, decided silver by day and gold by month.
     Rows without a category wait in a table of their own, written by each run,
     and are scored again by the next. Corrections lie by the day of their
-    payment and are applied when silver is read.
+    payment and are applied when silver is read. ``searchable``: decided silver is
+    indexed by its texts for ``search``; a store must have it in all of its runs.
     """
 
+    searchable: bool = False
+
     def bronze(self, days: list | None = None, run: int | None = None) -> DataFrame:
         rows = self.rows("bronze", ddl(S.BRONZE) + ", day date", run)
         return within(rows, "day", days).drop("day", "run")
@@ -136,6 +141,28 @@ class Store(MonthlyGold):
     def silver(self) -> DataFrame:
         return self.decided().unionByName(self.undecided())
 
+    def search(
+        self, text: str | None = None, category: str = "All", users: list[str] | None = None
+    ) -> DataFrame:
+        """The rows of silver that ``insights.search`` finds, all or those of some users.
+
+        The index says in which months which users have the text, and only the
+        days of these months are read. Rows that wait for a category are few and
+        are looked at one by one.
+        """
+        if not self.searchable:
+            raise ValueError("the store has no text index")
+        waiting = within(self.undecided(), "user_id", users)
+        if not (text and text.strip()):
+            return search(within(self.decided(), "user_id", users).unionByName(waiting), text, category)
+        blocks = materialise(self.blocks(text, users), "blocks")
+        months = _values(blocks, F.col("month"))
+        days = [d for m in months for d in ([None] if m == UNDATED else _days_of(m))]
+        near = within(self.decided(days), "user_id", users).withColumn("month", block_month())
+        same = [near[c].eqNullSafe(blocks[c]) for c in ("user_id", "month")]
+        near = near.join(blocks, same, "left_semi").drop("month")
+        return search(near.select(*S.SILVER.names).unionByName(waiting), text, category)
+
     def slots(self, first, last, run: int | None = None) -> DataFrame:
         """Stored totals of the hours of some days."""
         schema = "user_key string, merchant_key string, _slot long, _s_freq_30d long, day date"
@@ -212,6 +239,8 @@ def advance(
     store.put(done.where("not is_categorised").select(*S.SILVER.names), "undecided", run)
     groups = materialise(monthly_summary(decided).select(*GOLD_KEYS), "groups")
     _refresh(store, run, groups)
+    if store.searchable:
+        store.put_texts(decided, run)
     store.finish(run)
     if stored and include_predictions:
         feedback.advance(accepted_as_feedback(decided))
@@ -267,10 +296,18 @@ def correct(
 
     named = accepted.select("silver_id", "user_id")
     decided = waiting.join(named, ["silver_id", "user_id"], "left_semi")
-    store.put(apply_corrections(decided, accepted), "silver", run, ("transaction_date",))
+    decided = apply_corrections(decided, accepted)
+    store.put(decided, "silver", run, ("transaction_date",))
     still = waiting.join(named, ["silver_id", "user_id"], "left_anti")
     store.put(still.select(*S.SILVER.names), "undecided", run)
     _refresh(store, run, materialise(affected_groups(accepted), "groups"))
+    if store.searchable:
+        names = ["user_id", "transaction_date", "merchant", "category", "amount"]
+        recategorised = accepted.select(
+            "user_id", "transaction_date", F.lit(None).cast("string").alias("merchant"),
+            F.col("corrected_category").alias("category"), F.lit(None).cast(S.MONEY).alias("amount"),
+        )
+        store.put_texts(decided.select(*names).unionByName(recategorised), run)
     store.finish(run)
     if history is not None:
         history.advance(feedback_rows(accepted))

@@ -600,6 +600,18 @@ _SQL = {
         UNION ALL
         SELECT 'amount', silver_id, merchant, CAST(amount AS DOUBLE) FROM silver
         WHERE contains(regexp_replace(CAST(amount AS VARCHAR), '\.?0+$', ''), '3.5')""",
+    "txn_search_stored": r"""
+        WITH shown AS (
+          SELECT c.silver_id, c.user_id, s.merchant, c.category, CAST(c.amount AS DOUBLE) AS amount,
+                 lower(s.merchant) AS name, coalesce(lower(c.category), '') AS class,
+                 regexp_replace(CAST(c.amount AS VARCHAR), '\.?0+$', '') AS typed
+          FROM corrected c JOIN silver s USING (silver_id))
+        SELECT hit, silver_id, user_id, merchant, category, amount
+        FROM shown, (VALUES ('word', 'swiggy', NULL), ('amount', '13.5', NULL),
+                            ('category', 'grocer', NULL), ('short', 'wi', NULL),
+                            ('both', 'a', 'Food')) AS searches(hit, wanted, only_in)
+        WHERE (contains(name, wanted) OR contains(class, wanted) OR contains(typed, wanted))
+          AND (only_in IS NULL OR category = only_in)""",
     "txn_by_category": """
         SELECT 'category' AS hit, silver_id, category, CAST(amount AS DOUBLE) AS amount
         FROM stored WHERE category = 'Food'

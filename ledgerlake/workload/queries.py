@@ -1,6 +1,7 @@
 """One query per operator, each over the whole of the given tables."""
 
 import datetime
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -503,9 +504,9 @@ def categorise_cold(spark: Spark, d: str) -> DataFrame:
     return rows.select("silver_id", "category", num("confidence"), "decision_source")
 
 
-def _two_runs(spark: Spark, d: str) -> daily.Store:
+def _two_runs(spark: Spark, d: str, searchable: bool = False) -> daily.Store:
     """Stored layers after a run at mid-month and one over all."""
-    store = daily.Store(spark, new_folder(spark, "layers"))
+    store = daily.Store(spark, new_folder(spark, "layers"), searchable)
     known = materialise(V.feedback(spark, d), "feedback")
     raw = V.txn_raw(spark, d)
     cut = F.lit(V.PREVIOUS_RUN).cast("timestamp_ntz")
@@ -545,8 +546,8 @@ def daily_frequency(spark: Spark, d: str) -> DataFrame:
     return spark.read.parquet(folder).groupBy("silver_id").agg(F.max("freq_30d").alias("freq_30d"))
 
 
-def _corrected_store(spark: Spark, d: str) -> daily.Store:
-    store = _two_runs(spark, d)
+def _corrected_store(spark: Spark, d: str, searchable: bool = False) -> daily.Store:
+    store = _two_runs(spark, d, searchable)
     daily.correct(store, V.corrections(spark, d))
     return store
 
@@ -558,6 +559,21 @@ def corrections_stored(spark: Spark, d: str) -> DataFrame:
     )
 
 
+def txn_search_stored(spark: Spark, d: str) -> DataFrame:
+    """What the text index of stored, corrected layers finds: a merchant, an amount,
+    a category, a text shorter than a gram, a category's rows with a text."""
+    store = _corrected_store(spark, d, searchable=True)
+    searches = {
+        "word": store.search("SwiGGy"), "amount": store.search("13.5"), "category": store.search("grocer"),
+        "short": store.search("Wi"), "both": store.search("a", "Food"),
+    }
+    found = [
+        rows.select(F.lit(hit).alias("hit"), "silver_id", "user_id", "merchant", "category", "amount")
+        for hit, rows in searches.items()
+    ]
+    return money(functools.reduce(DataFrame.unionByName, found), "amount")
+
+
 def corrections_stored_gold(spark: Spark, d: str) -> DataFrame:
     """Gold of stored layers that took in corrections."""
     return money(_corrected_store(spark, d).gold(), "total_amount")
@@ -973,6 +989,7 @@ QUERIES = {
     "months_newest_first": months_newest_first,
     "category_facets": category_facets,
     "txn_search": txn_search,
+    "txn_search_stored": txn_search_stored,
     "txn_by_category": txn_by_category,
     "txn_page": txn_page,
     "txn_page_deep": txn_page_deep,
