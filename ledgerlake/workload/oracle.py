@@ -631,6 +631,11 @@ _SQL = {
                 CAST(ceil(count(*) OVER (PARTITION BY user_id) / 20) AS BIGINT)
               FROM silver)
         WHERE position BETWEEN 41 AND 60""",
+    "txn_page_after": """
+        SELECT silver_id, user_id, transaction_date, CAST(amount AS DOUBLE) AS amount FROM silver
+        WHERE user_id = '2' AND (transaction_date < DATE '2024-01-20'
+                                 OR (transaction_date = DATE '2024-01-20' AND silver_id > 0))
+        ORDER BY transaction_date DESC, silver_id LIMIT 20""",
     "txn_page": """
         SELECT user_id, position, silver_id, transaction_date, total_pages
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id
@@ -916,6 +921,8 @@ _SQL = {
                      count(*) FILTER (k = 1) AS samples FROM pay GROUP BY 1, 2)
         GROUP BY model""",
     "stream_dedupe": _BRONZE,
+    "stream_dedupe_watermark": """
+        SELECT user_id, CAST(amount AS DOUBLE) AS amount, ts AS "timestamp", fingerprint FROM bronze""",
     "stream_silver": _WRITTEN,
     "stream_gold": _GOLD.format(table="stored"),
     "stream_gold_totals": _GOLD.format(table="stored"),

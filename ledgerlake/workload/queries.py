@@ -349,6 +349,12 @@ def txn_page_deep(spark: Spark, d: str) -> DataFrame:
     return newest.unionByName(smallest).select("sorted_by", "user_id", "position", "silver_id", "total_pages")
 
 
+def txn_page_after(spark: Spark, d: str) -> DataFrame:
+    """The page of one user that follows a known row."""
+    rows = insights.page_after(V.silver(spark, d), "2", datetime.date(2024, 1, 20), 0)
+    return money(rows.select("silver_id", "user_id", "transaction_date", "amount"), "amount")
+
+
 def txn_sorted(spark: Spark, d: str) -> DataFrame:
     rows = insights.sorted_transactions(V.silver(spark, d), "amount", descending=False)
     return money(rows.select("silver_id", "user_id", "merchant", "amount"), "amount")
@@ -892,6 +898,18 @@ def stream_dedupe(spark: Spark, d: str) -> DataFrame:
     )
 
 
+def stream_dedupe_watermark(spark: Spark, d: str) -> DataFrame:
+    """Payments once, by state that expires instead of a stored table; which copy
+    of a payment stays is open, so only its fingerprint is shown."""
+    path = new_folder(spark, "deduped")
+    once = jobs.dedupe_within_watermark(V.raw_from_payments(_payment_stream(spark, d)))
+    writer = once.writeStream.format("parquet").option("path", path)
+    writer = writer.option("checkpointLocation", new_folder(spark, "offsets"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(once.schema).parquet(path)
+    return money(rows.select("user_id", "amount", "timestamp", "fingerprint"), "amount")
+
+
 def stream_silver(spark: Spark, d: str) -> DataFrame:
     rows = jobs.read_silver(spark, _stream_silver(spark, d))
     return rows.select(
@@ -993,6 +1011,7 @@ QUERIES = {
     "txn_by_category": txn_by_category,
     "txn_page": txn_page,
     "txn_page_deep": txn_page_deep,
+    "txn_page_after": txn_page_after,
     "txn_sorted": txn_sorted,
     "filtered_totals": filtered_totals,
     "history_distribution": history_distribution,
@@ -1053,6 +1072,7 @@ QUERIES = {
     "refit": refit,
     "model_status": model_status,
     "stream_dedupe": stream_dedupe,
+    "stream_dedupe_watermark": stream_dedupe_watermark,
     "stream_silver": stream_silver,
     "stream_gold": stream_gold,
     "stream_gold_totals": stream_gold_totals,
