@@ -1,15 +1,14 @@
-"""The text-and-metadata classifier on ``pyspark.ml``.
+"""The text-and-metadata classifier.
 
 A linear model over sparse character, word and metadata features (and an
 embedding column, where the input has one). Because it is linear, the text's
 share of each score is computed once per distinct text and the metadata's
-share per row.
+share per row, in training (``linear``) and in scoring alike.
 """
 
 import datetime
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from ledgerlake import schema as S
 from ledgerlake.functions.blocks import string_array
 from ledgerlake.functions.features import METADATA_FEATURES, metadata_features
 from ledgerlake.functions.text import preprocess_text
+from ledgerlake.operators import linear
 from ledgerlake.operators import textfeatures as X
 from ledgerlake.operators.labelled import class_weights
 from ledgerlake.sources.shared import materialise, new_folder
@@ -81,11 +81,23 @@ class TextModel:
         )
 
 
+def prepared_texts(rows: DataFrame, text: str = "raw_text") -> DataFrame:
+    """(raw, text, copies): each distinct raw text once, as the classifier sees
+    it, with its number of rows. Preparing costs more than all that
+    follows, so it is done once and stored."""
+    raw = rows.groupBy(F.col(text).alias("raw")).agg(F.count("*").alias("copies"))
+    return materialise(raw.select("raw", preprocess_text(F.col("raw")).alias("text"), "copies"), "prepared")
+
+
+def with_text(rows: DataFrame, prepared: DataFrame, out: str = "text") -> DataFrame:
+    """``rows`` with their prepared text."""
+    known = prepared.select(F.col("raw").alias("_raw"), F.col("text").alias(out))
+    return rows.join(known, F.col("raw_text").eqNullSafe(F.col("_raw"))).drop("_raw")
+
+
 def distinct_texts(examples: DataFrame, text: str = "raw_text") -> DataFrame:
     """Prepared texts with the number of rows each stands for."""
-    return examples.groupBy(preprocess_text(F.col(text)).alias("text")).agg(
-        F.count("*").alias("copies")
-    )
+    return prepared_texts(examples, text).groupBy("text").agg(F.sum("copies").alias("copies"))
 
 
 def _counts(texts: DataFrame) -> DataFrame:
@@ -135,6 +147,21 @@ def text_weights(texts: DataFrame, vocab: DataFrame) -> DataFrame:
     return weighted.select("text", "idx", (F.col("_w") / norm).alias("weight"))
 
 
+def _gathered(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(text, terms): the weights of each text with a known term, at most one
+    entry per vocabulary term."""
+    return text_weights(texts, vocab).groupBy("text").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("terms")
+    )
+
+
+def _tail(embedding: str | None) -> Column:
+    tail = F.array(
+        *metadata_features(F.col("amount"), F.col("timestamp"), F.col("freq_30d"))
+    )
+    return F.concat(tail, F.col(embedding).cast("array<double>")) if embedding else tail
+
+
 def _as_vectors(df: DataFrame, column: str) -> DataFrame:
     """Write ``df`` and read its structs of type, size, indices and values as
     the sparse vectors that they are stored as."""
@@ -156,21 +183,12 @@ def feature_matrix(
     """Examples with their sparse feature vector, written to the shared folder.
 
     Terms are gathered per distinct text, at most one entry per vocabulary
-    term. The prepared text is stored first, so that no filter on it repeats
-    its making.
+    term.
     """
-    examples = materialise(
-        examples.withColumn("text", preprocess_text(F.col("raw_text"))), "prepared"
-    )
-    weights = text_weights(examples.select("text").distinct(), vocab)
-    gathered = weights.groupBy("text").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("_terms")
-    )
-    tail = F.array(
-        *metadata_features(F.col("amount"), F.col("timestamp"), F.col("freq_30d"))
-    )
-    if embedding:
-        tail = F.concat(tail, F.col(embedding).cast("array<double>"))
+    prepared = prepared_texts(examples)
+    examples = with_text(examples, prepared)
+    gathered = _gathered(prepared.select("text").distinct(), vocab).withColumnRenamed("terms", "_terms")
+    tail = _tail(embedding)
     tail_size = len(METADATA_FEATURES) + embedding_size
     terms = F.coalesce(F.col("_terms"), F.array().cast("array<struct<idx:int,weight:double>>"))
     joined = (
@@ -197,7 +215,6 @@ def train(
     max_iter: int = 25,
     reg: float = 1e-4,
     weight: str | None = None,
-    parallelism: int = 4,
     embedding: str | None = None,
     embedding_size: int = 0,
     sizes: dict[str, int] | None = None,
@@ -211,39 +228,33 @@ def train(
     ``fit_vocabulary``. A label without an example never gets a probability.
     """
     spark = examples.sparkSession
-    vocab = materialise(
-        fit_vocabulary(distinct_texts(examples), sizes, min_documents), "vocabulary"
-    )
+    prepared = prepared_texts(examples)
+    texts = prepared.groupBy("text").agg(F.sum("copies").alias("copies"))
+    vocab = materialise(fit_vocabulary(texts, sizes, min_documents), "vocabulary")
     size = vocab.count()
     index = F.array_position(string_array(labels), F.col("category")) - 1
     balanced = class_weights(examples).select("category", F.col("weight").alias("_balance"))
     own = F.col(weight) if weight else F.lit(1.0)
     rows = (
-        feature_matrix(
-            examples.where(F.col("category").isin(labels)), vocab, size, embedding, embedding_size
-        )
+        with_text(examples.where(F.col("category").isin(labels)), prepared)
         .join(F.broadcast(balanced), "category")
         .select(
-            "features",
-            index.cast("double").alias("label"),
+            "text",
+            index.cast("int").alias("label"),
             (F.col("_balance") * own).alias("weight"),
+            _tail(embedding).alias("tail"),
         )
     )
     rows = materialise(rows, "training")
-    # Labels behind the last one with an example have no classifier.
-    nothing = ([0.0] * (size + len(METADATA_FEATURES) + embedding_size), float("-inf"))
-    fitted = OneVsRest(
-        classifier=LogisticRegression(maxIter=max_iter, regParam=reg, weightCol="weight"),
-        weightCol="weight",
-        parallelism=parallelism,
-    ).fit(rows)
-    vectors = [(m.coefficients.toArray().tolist(), m.intercept) for m in fitted.models]
-    vectors += [nothing] * (len(labels) - len(vectors))
+    terms = materialise(_gathered(rows.select("text").distinct(), vocab), "training-texts")
+    numbers = len(METADATA_FEATURES) + embedding_size
+    blocks = materialise(linear.blocks(rows, terms, numbers), "training-blocks")
+    weights, intercepts = linear.fit(blocks, size, numbers, len(labels), max_iter, reg)
     # At most 60,000 terms times 13 labels.
-    table = [(j, [v[0][j] for v in vectors]) for j in range(size)]
+    table = list(enumerate(weights[:, :size].T.tolist()))
     coefficients = spark.createDataFrame(table, "idx int, w array<double>")
     return TextModel(
-        vocab, coefficients, [v[0][size:] for v in vectors], [v[1] for v in vectors], labels, embedding
+        vocab, coefficients, weights[:, size:].tolist(), intercepts.tolist(), labels, embedding
     )
 
 
@@ -265,27 +276,30 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def sigmoids(txns: DataFrame, model: TextModel, key: str = "silver_id") -> DataFrame:
-    """``txns`` with ``_p``: the sigmoid of each label's score, in label order.
+def sigmoids(txns: DataFrame, model: TextModel, key: str = "silver_id", text: str | None = None) -> DataFrame:
+    """``txns`` with ``_p``: the sigmoid of each label's score, in label order,
+    and the prepared text, if ``text`` names a column for it.
 
     Terms are scored per distinct text against the broadcast coefficients
     (bounded by the vocabulary), summed before they are shuffled back, and
-    met by each transaction in one join on the text.
+    met by each transaction in one join on the raw text.
     """
     n = len(model.labels)
     if key not in txns.columns:
         raise ValueError(f"no column {key}")
-    rows = txns.withColumn("_text", preprocess_text(F.col("raw_text")))
-    texts = rows.select(F.col("_text").alias("text")).distinct()
-    weights = text_weights(texts, model.vocabulary)
+    prepared = prepared_texts(txns)
+    weights = text_weights(prepared.select("text").distinct(), model.vocabulary)
     scored = weights.join(F.broadcast(model.coefficients), "idx").groupBy("text").agg(
         *[F.sum(F.col("weight") * F.col("w")[i]).alias(f"_s{i}") for i in range(n)]
     )
+    scored = prepared.select(F.col("raw").alias("_raw"), "text").join(scored, "text", "left").withColumnRenamed("text", "_text")
     frequency = F.col("freq_30d") if "freq_30d" in txns.columns else F.lit(0)
     meta = metadata_features(F.col("amount"), F.col("timestamp"), frequency)
     kept = [c for c in txns.columns if c != "p"]
-    joined = rows.join(scored.withColumnRenamed("text", "_text"), "_text", "left").select(
+    own = [F.col("_text").alias(text)] if text else []
+    joined = txns.join(scored, F.col("raw_text").eqNullSafe(F.col("_raw"))).select(
         *kept,
+        *own,
         *[m.alias(f"_m_{name}") for m, name in zip(meta, METADATA_FEATURES)],
         *[F.coalesce(f"_s{i}", F.lit(0.0)).alias(f"_s{i}") for i in range(n)],
     )
@@ -299,7 +313,7 @@ def sigmoids(txns: DataFrame, model: TextModel, key: str = "silver_id") -> DataF
             product = F.zip_with(F.col(model.embedding).cast("array<double>"), weights_i, lambda x, w: x * w)
             score = score + F.aggregate(product, F.lit(0.0), lambda t, x: t + x)
         scores.append(_sigmoid(score))
-    return joined.select(*kept, F.array(*scores).alias("_p"))
+    return joined.select(*kept, *([text] if text else []), F.array(*scores).alias("_p"))
 
 
 def predict_proba(txns: DataFrame, model: TextModel, key: str = "silver_id") -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ledgerlake import schema as S
 from ledgerlake.functions.blocks import string_array
 from ledgerlake.functions.features import METADATA_FEATURES, metadata_features
-from ledgerlake.functions.text import preprocess_text
 from ledgerlake.operators.model import REFIT_WEIGHT, TextModel, sigmoids, text_weights
 from ledgerlake.sources.journal import Journal
 from ledgerlake.sources.shared import materialise
@@ -72,11 +71,11 @@ def step(state: DataFrame, examples: DataFrame, vocabulary: DataFrame, labels: l
     n = len(labels)
     weight = F.col("weight") if "weight" in examples.columns else F.lit(1.0)
     rows = examples.withColumn("_weight", weight.cast("double")).withColumn("_n", F.lit(0))
-    scored = sigmoids(rows, model_of(state, vocabulary, labels), "_n")
+    scored = sigmoids(rows, model_of(state, vocabulary, labels), "_n", "_text")
     hits = F.transform(string_array(labels), lambda label: (label == F.col("category")).cast("double"))
     off = F.zip_with("_p", hits, lambda p, y: (p - F.coalesce(y, F.lit(0.0))) * F.col("_weight"))
     meta = [m.alias(f"_x{i}") for i, m in enumerate(metadata_features(F.col("amount"), F.col("timestamp"), F.col("freq_30d")))]
-    scored = scored.select(preprocess_text(F.col("raw_text")).alias("text"), "_weight", off.alias("_off"), *meta)
+    scored = scored.select(F.col("_text").alias("text"), "_weight", off.alias("_off"), *meta)
     scored = materialise(scored, "residuals")
 
     total = F.sum("_weight")
