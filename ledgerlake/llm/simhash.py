@@ -17,9 +17,10 @@ fingerprints meet under one value, a task compares them in blocks and emits only
 links that join what was apart, the closest ones first, never all pairs.
 
 With ``similarity``, texts are linked by the Jaccard similarity of their sets of
-word shingles, and fingerprints are only returned. Nodes are the sets, so that
-texts which share a fingerprint and no more are never taken for copies; where
-they meet is in ``minhash``. Each link is a pair whose sets were compared. Nodes
+word shingles. Nodes are the sets, so that texts which share a fingerprint and no
+more are never taken for copies. Fingerprints linked as above at three bits, and
+those shared, give the first pairs; as fingerprints alone miss pairs that are alike,
+nodes also meet by ``minhash``. Each link is a pair whose sets were compared. Nodes
 that meet are first compared with a few of those they meet, which joins most of
 a large family; then all pairs that meet and are still apart are compared, so a
 text stays alone only if none that it meets is alike.
@@ -279,8 +280,8 @@ def near_duplicates(
     """Every row's ``id_col``, ``text_key`` (xxhash64 of its text),
     ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest
     id among the texts that links reach. With ``similarity``, links are between
-    texts whose sets of shingles of ``words`` are that much alike, and ``bits``,
-    ``segment`` and ``further`` aren't used."""
+    texts whose sets of shingles of ``words`` are that much alike; fingerprints then
+    meet at three bits, and ``bits``, ``segment`` and ``further`` aren't used."""
     if similarity:
         return _alike_duplicates(docs, id_col, text_col, shingle, similarity, words)
     if bits > 3 and not further:
@@ -303,16 +304,32 @@ def _named(prints: DataFrame, nodes: DataFrame, found: DataFrame, id_col: str) -
     return prints.join(named, "node").select(F.col("_id").alias(id_col), "text_key", shown, "component_id")
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of ``nodes`` (``node``, ``fingerprint``): one for each
+    link between fingerprints, and those that share one with the first of them."""
+    homes = nodes.groupBy("fingerprint").agg(F.min("node").alias("home"))
+    homes = materialise(homes.select("fingerprint", F.array("fingerprint").alias("words"), "home"), "simhash-homes")
+    near = links(homes)
+    for side in ("a", "b"):
+        home = homes.select(F.col("fingerprint").alias(side), F.col("home").alias(f"_{side}"))
+        near = near.join(home, side)
+    shared = nodes.join(homes, "fingerprint").filter("node <> home").select(F.col("home").alias("_a"), F.col("node").alias("_b"))
+    pairs = near.select("_a", "_b").unionByName(shared)
+    return pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+
+
 def _alike_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, words: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("_id"), whole(F.col(text_col)).alias("_text"))
     rows = rows.select("_id", F.xxhash64("_text").alias("text_key"), "_text")
     kind = docs.schema[id_col].dataType.simpleString()
     prints = rows.mapInArrow(_signed(shingle, words), f"_id {kind}, text_key long, fingerprint long, node long, minima binary")
     prints = materialise(prints, "minhash")
-    nodes = prints.groupBy("node").agg(F.min("_id").alias("_first"), F.min(F.struct("_id", "text_key", "minima")).alias("_n"))
+    nodes = prints.groupBy("node").agg(F.min("_id").alias("_first"), F.min(F.struct("_id", "text_key", "minima", "fingerprint")).alias("_n"))
     nodes = materialise(nodes.select("node", "_first", "_n.*"), "minhash-nodes")
     met = materialise(minhash.meetings(nodes), "minhash-meetings")
-    chosen = met.select("node").distinct().join(nodes.select("node", "_id", "text_key"), "node")
+    near = materialise(_by_fingerprint(nodes.select("node", "fingerprint")), "simhash-links")
+    paired = met.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node")))
+    chosen = paired.distinct().join(nodes.select("node", "_id", "text_key"), "node")
     sets = materialise(shingle_sets(chosen, docs, id_col, text_col, words), "shingles")
     found, tested, linked = None, None, None
     for turn in range(TURNS + 1):
@@ -322,6 +339,8 @@ def _alike_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
             known = found.select(F.col("node").alias("_linked"), "root")
             placed = met.join(known, F.col("node") == F.col("_linked"), "left").select("value", "node", F.coalesce("root", "node").alias("root"))
         pairs = minhash.to_centres(placed, turn) if turn < TURNS else minhash.across(placed, nodes, sets, similarity)
+        if not turn:
+            pairs = near.unionByName(pairs).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "minhash-candidates")

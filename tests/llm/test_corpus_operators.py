@@ -154,6 +154,24 @@ def test_equal_fingerprints_are_no_proof(spark):
     assert got == expected == {**{i: i for i in range(6)}, 6: 0, 7: 1}
 
 
+def test_fingerprints_give_pairs_by_themselves(spark, monkeypatch):
+    """The pairs that multi-index hashing finds are compared, also where no minima meet."""
+    rng = random.Random(24)
+    texts = []
+    while len(texts) < 12:
+        text = cases.words(rng, 300)
+        pair = [text, text + " tail"]
+        a, b = (simhash.fingerprint(t.encode())[0] for t in pair)
+        if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3:
+            texts += pair
+    same = cases.words(rng, 40) + " |" * 180  # one fingerprint, sets that are alike or not
+    texts += [same, same + " |", same + " x", cases.words(rng, 150) + " |" * 180]
+    assert len({brute.simhash(t) for t in texts[12:]}) == 1
+    monkeypatch.setattr(minhash, "meetings", lambda nodes: nodes.select(F.col("node").alias("value"), "node").filter("false"))
+    got, expected = near_groups(spark, texts)
+    assert got == expected and all(got[i + 1] == i for i in range(0, 12, 2)) and got[14] == 12
+
+
 def test_members_of_a_template_are_compared_with_each_other(spark, monkeypatch):
     """Texts that are closer to a template than to each other, but only alike to each other."""
     rng = random.Random(23)
