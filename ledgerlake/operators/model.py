@@ -81,23 +81,11 @@ class TextModel:
         )
 
 
-def prepared_texts(rows: DataFrame, text: str = "raw_text") -> DataFrame:
-    """(raw, text, copies): each distinct raw text once, as the classifier sees
-    it, with its number of rows. Preparing costs more than all that
-    follows, so it is done once and stored."""
-    raw = rows.groupBy(F.col(text).alias("raw")).agg(F.count("*").alias("copies"))
-    return materialise(raw.select("raw", preprocess_text(F.col("raw")).alias("text"), "copies"), "prepared")
-
-
-def with_text(rows: DataFrame, prepared: DataFrame, out: str = "text") -> DataFrame:
-    """``rows`` with their prepared text."""
-    known = prepared.select(F.col("raw").alias("_raw"), F.col("text").alias(out))
-    return rows.join(known, F.col("raw_text").eqNullSafe(F.col("_raw"))).drop("_raw")
-
-
 def distinct_texts(examples: DataFrame, text: str = "raw_text") -> DataFrame:
     """Prepared texts with the number of rows each stands for."""
-    return prepared_texts(examples, text).groupBy("text").agg(F.sum("copies").alias("copies"))
+    return examples.groupBy(preprocess_text(F.col(text)).alias("text")).agg(
+        F.count("*").alias("copies")
+    )
 
 
 def _counts(texts: DataFrame) -> DataFrame:
@@ -183,11 +171,13 @@ def feature_matrix(
     """Examples with their sparse feature vector, written to the shared folder.
 
     Terms are gathered per distinct text, at most one entry per vocabulary
-    term.
+    term. The prepared text is stored first, so that no filter on it repeats
+    its making.
     """
-    prepared = prepared_texts(examples)
-    examples = with_text(examples, prepared)
-    gathered = _gathered(prepared.select("text").distinct(), vocab).withColumnRenamed("terms", "_terms")
+    examples = materialise(
+        examples.withColumn("text", preprocess_text(F.col("raw_text"))), "prepared"
+    )
+    gathered = _gathered(examples.select("text").distinct(), vocab).withColumnRenamed("terms", "_terms")
     tail = _tail(embedding)
     tail_size = len(METADATA_FEATURES) + embedding_size
     terms = F.coalesce(F.col("_terms"), F.array().cast("array<struct<idx:int,weight:double>>"))
@@ -228,18 +218,18 @@ def train(
     ``fit_vocabulary``. A label without an example never gets a probability.
     """
     spark = examples.sparkSession
-    prepared = prepared_texts(examples)
-    texts = prepared.groupBy("text").agg(F.sum("copies").alias("copies"))
-    vocab = materialise(fit_vocabulary(texts, sizes, min_documents), "vocabulary")
+    vocab = materialise(
+        fit_vocabulary(distinct_texts(examples), sizes, min_documents), "vocabulary"
+    )
     size = vocab.count()
     index = F.array_position(string_array(labels), F.col("category")) - 1
     balanced = class_weights(examples).select("category", F.col("weight").alias("_balance"))
     own = F.col(weight) if weight else F.lit(1.0)
     rows = (
-        with_text(examples.where(F.col("category").isin(labels)), prepared)
+        examples.where(F.col("category").isin(labels))
         .join(F.broadcast(balanced), "category")
         .select(
-            "text",
+            preprocess_text(F.col("raw_text")).alias("text"),
             index.cast("int").alias("label"),
             (F.col("_balance") * own).alias("weight"),
             _tail(embedding).alias("tail"),
@@ -276,30 +266,27 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def sigmoids(txns: DataFrame, model: TextModel, key: str = "silver_id", text: str | None = None) -> DataFrame:
-    """``txns`` with ``_p``: the sigmoid of each label's score, in label order,
-    and the prepared text, if ``text`` names a column for it.
+def sigmoids(txns: DataFrame, model: TextModel, key: str = "silver_id") -> DataFrame:
+    """``txns`` with ``_p``: the sigmoid of each label's score, in label order.
 
     Terms are scored per distinct text against the broadcast coefficients
     (bounded by the vocabulary), summed before they are shuffled back, and
-    met by each transaction in one join on the raw text.
+    met by each transaction in one join on the text.
     """
     n = len(model.labels)
     if key not in txns.columns:
         raise ValueError(f"no column {key}")
-    prepared = prepared_texts(txns)
-    weights = text_weights(prepared.select("text").distinct(), model.vocabulary)
+    rows = txns.withColumn("_text", preprocess_text(F.col("raw_text")))
+    texts = rows.select(F.col("_text").alias("text")).distinct()
+    weights = text_weights(texts, model.vocabulary)
     scored = weights.join(F.broadcast(model.coefficients), "idx").groupBy("text").agg(
         *[F.sum(F.col("weight") * F.col("w")[i]).alias(f"_s{i}") for i in range(n)]
     )
-    scored = prepared.select(F.col("raw").alias("_raw"), "text").join(scored, "text", "left").withColumnRenamed("text", "_text")
     frequency = F.col("freq_30d") if "freq_30d" in txns.columns else F.lit(0)
     meta = metadata_features(F.col("amount"), F.col("timestamp"), frequency)
     kept = [c for c in txns.columns if c != "p"]
-    own = [F.col("_text").alias(text)] if text else []
-    joined = txns.join(scored, F.col("raw_text").eqNullSafe(F.col("_raw"))).select(
+    joined = rows.join(scored.withColumnRenamed("text", "_text"), "_text", "left").select(
         *kept,
-        *own,
         *[m.alias(f"_m_{name}") for m, name in zip(meta, METADATA_FEATURES)],
         *[F.coalesce(f"_s{i}", F.lit(0.0)).alias(f"_s{i}") for i in range(n)],
     )
@@ -313,7 +300,7 @@ def sigmoids(txns: DataFrame, model: TextModel, key: str = "silver_id", text: st
             product = F.zip_with(F.col(model.embedding).cast("array<double>"), weights_i, lambda x, w: x * w)
             score = score + F.aggregate(product, F.lit(0.0), lambda t, x: t + x)
         scores.append(_sigmoid(score))
-    return joined.select(*kept, *([text] if text else []), F.array(*scores).alias("_p"))
+    return joined.select(*kept, F.array(*scores).alias("_p"))
 
 
 def predict_proba(txns: DataFrame, model: TextModel, key: str = "silver_id") -> DataFrame:

@@ -1,8 +1,8 @@
 """Word and character n-grams, vocabulary and TF-IDF weights.
 
-Texts are partitioned by document before they are taken apart, so counting
-terms within a document and scaling its weights need no further shuffle; the
-text moves once instead of its many n-grams.
+Terms are counted inside the row of their document, by sorting the row's array,
+so counting needs no table of all pairs of document and term. Only documents
+whose key repeats are added up afterwards.
 """
 
 import unicodedata
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake import schema as S
+from ledgerlake.functions.blocks import let
 from ledgerlake.sources.shared import materialise
 
 ANALYSERS = {"char": S.CHAR_VOCABULARY_MAX, "word": S.WORD_VOCABULARY_MAX}
@@ -74,19 +75,54 @@ def by_document(docs: DataFrame, key: str) -> DataFrame:
     return docs.repartition(key)
 
 
+def run_lengths(values: Column) -> Column:
+    """Distinct values of an array, ascending, as structs with their number
+    (``term``, ``tf``)."""
+
+    def counted(ordered: Column) -> Column:
+        size = F.size(ordered)
+        first = F.filter(
+            F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
+            lambda i: (i <= size) & ((i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2))),
+        )
+        return let(
+            first,
+            lambda starts: F.transform(
+                starts,
+                lambda i, k: F.struct(
+                    F.get(ordered, i - 1).alias("term"),
+                    (F.coalesce(F.get(starts, k + 1), size + 1) - i).cast("long").alias("tf"),
+                ),
+            ),
+        )
+
+    return let(F.sort_array(values), counted)
+
+
+def _row_counts(docs: DataFrame, key: str, text: str, analyser: str) -> DataFrame:
+    """(key, term, tf) of every row by itself."""
+    if analyser == "word":
+        return docs.select(key, F.inline(run_lengths(word_ngrams(F.col(text)))))
+    words = docs.select(key, F.inline(run_lengths(words_of(F.col(text)))))
+    grams = words.select(key, F.col("tf").alias("_n"), F.explode(char_ngrams(F.col("term"))).alias("term"))
+    return grams.groupBy(key, "term").agg(F.sum("_n").alias("tf"))
+
+
 def term_counts(docs: DataFrame, key: str, text: str, analyser: str) -> DataFrame:
-    """(key, term, tf). ``docs`` should come from ``by_document``.
+    """(key, term, tf). Character n-grams are cut from the distinct words of a
+    document, each counted as often as its word occurs; ``docs`` should come from
+    ``by_document`` for them, so that they needn't be shuffled.
 
-    Character n-grams are cut from the distinct words of a document, each
-    counted as often as its word occurs.
+    Rows whose key no other row has are counted by themselves; the counts of
+    others are added up.
     """
-    if analyser == "word":
-        terms = docs.select(key, F.explode(word_ngrams(F.col(text))).alias("term"))
-        return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    words = docs.select(key, F.explode(words_of(F.col(text))).alias("_word"))
-    counted = words.groupBy(key, "_word").agg(F.count("*").alias("_n"))
-    grams = counted.select(key, "_n", F.explode(char_ngrams(F.col("_word"))).alias("term"))
-    return grams.groupBy(key, "term").agg(F.sum("_n").alias("tf"))
+    if analyser != "word":
+        return _row_counts(docs, key, text, analyser)
+    several = docs.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")).where("_rows > 1")
+    again = docs[key].eqNullSafe(several["_key"])
+    single = _row_counts(docs.join(several, again, "left_anti"), key, text, analyser)
+    added = _row_counts(docs.join(several, again, "left_semi"), key, text, analyser)
+    return single.unionByName(added.groupBy(key, "term").agg(F.sum("tf").alias("tf")))
 
 
 def term_statistics(counts: DataFrame, copies: Column | None = None) -> DataFrame:
