@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerlake import schema as S
 from ledgerlake.functions.text import text_variants
 from ledgerlake.operators.history import newest_feedback
+from ledgerlake.sources.shared import spread
 
 # Payments in 30 days that are plausible per category.
 FREQUENCY_RANGES = {
@@ -59,7 +60,7 @@ def generate_examples(cases: DataFrame, samples: int = 40, seed: int = 42) -> Da
     )
     case, i, s = F.col("case_id"), F.col("sample"), F.lit(seed)
     grown = (
-        cases.withColumn("_variants", text_variants(F.col("receiver")))
+        spread(cases).withColumn("_variants", text_variants(F.col("receiver")))
         .withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
         .withColumn("_frequency", packed)
     )

@@ -308,6 +308,13 @@ def test_generated_examples_do_not_depend_on_partitions(spark):
     assert one.where("category = 'Subscription' and (freq_30d < 1 or freq_30d > 4)").count() == 0
 
 
+def test_few_cases_are_grown_in_many_tasks(spark):
+    cases = anchors.seed_cases(spark).limit(64).coalesce(1)
+    grown = labelled.generate_examples(cases, samples=4)
+    by_task = grown.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) >= 8 and max(r["count"] for r in by_task) <= 64
+
+
 def test_ngrams(spark):
     df = spark.createDataFrame([("a", "kfc India"), ("b", "Été x kfc kfc"), ("c", "")],
                                "k string, t string")
