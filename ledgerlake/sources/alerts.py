@@ -7,7 +7,7 @@ from ledgerlake import schema as S
 from ledgerlake.functions.blocks import let
 from ledgerlake.functions.text import strip
 from ledgerlake.schema import PAYLOAD
-from ledgerlake.sources.shared import materialise
+from ledgerlake.sources.shared import materialise, spread
 
 # The patterns of an alert. ``(?d)``: a point stops only at a
 # line feed, since message bodies contain carriage returns. White space is
@@ -39,10 +39,11 @@ def flatten_payloads(landed: DataFrame, raw: str = "raw") -> DataFrame:
     ``payload`` (``schema.PAYLOAD``): headers, type and body of the message, and
     its parts depth first, a part before those inside it. Text that isn't JSON
     gives a null payload. Each turn takes the parts of the turn before apart, so
-    there are as many turns as levels, and a turn holds only what has parts.
+    there are as many turns as levels, and a turn holds only what has parts. Messages
+    that landed in one file are dealt over all tasks first.
     """
     others = [c for c in landed.columns if c != raw]
-    rows = landed.select(
+    rows = spread(landed).select(
         F.monotonically_increasing_id().alias("_row"),
         F.struct(*others).alias("_rest"),
         F.try_parse_json(raw).alias("_v"),

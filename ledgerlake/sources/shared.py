@@ -27,11 +27,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tasks for each core, so that slow ones are evened out.
+WAVES = 3
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly over as many tasks as the session's shuffles have, for steps
-    that work long on every row. The adaptive planner joins partitions by their bytes,
-    and a reader cuts files no finer than their row groups, so a few megabytes would
-    otherwise be one task's work; a number that is asked for stays as it is."""
-    spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(tasks)
+    """Rows dealt evenly over some tasks for every core, for steps that work long on
+    each row. The adaptive planner joins partitions by their bytes, and a reader cuts
+    files no finer than their row groups, so a few megabytes would otherwise be one
+    task's work; a number that is asked for stays as it is."""
+    return df.repartition(WAVES * df.sparkSession.sparkContext.defaultParallelism)

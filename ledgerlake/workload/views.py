@@ -19,7 +19,7 @@ from ledgerlake.operators.feedback import split_corrections
 from ledgerlake.operators.scoring import categorise
 from ledgerlake.operators.silver import project_silver, scoring_input, write_back
 from ledgerlake.plans.daily import with_frequency
-from ledgerlake.sources.shared import materialise
+from ledgerlake.sources.shared import materialise, spread
 
 # Invented receivers, one for each shape of text and each collision of rules.
 RECEIVERS = [
@@ -141,7 +141,7 @@ def raw_from_payments(payments: DataFrame) -> DataFrame:
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_payments(table(spark, sf_dir, "events"))
+    return event_payments(spread(table(spark, sf_dir, "events")))
 
 
 def txn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

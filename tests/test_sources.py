@@ -2,6 +2,7 @@ import base64
 import datetime as dt
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -285,3 +286,14 @@ def test_nested_payloads(spark):
     first = flat.where("message_id = '0'").select(alerts.header(F.col("payload"), "from").alias("h")).first()
     assert first.h == "a@sbi.in"
     assert alerts.flatten_payloads(landed.limit(0)).count() == 0
+
+
+def test_payloads_that_landed_in_one_file_are_read_by_many_tasks(spark):
+    parts = '{"parts": [{"mimeType": "text/plain", "body": {"data": "aGk="}}]}'
+    landed = spark.range(0, 400, 1, 1).select(F.col("id").alias("message_id"), F.lit(parts).alias("raw"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("payloads-*"))
+    bodies = alerts.flatten_payloads(landed).select(alerts.decode_body(F.col("payload")).alias("body"))
+    assert bodies.where("body = 'hi'").count() == 400
+    (stored,) = set(folder.glob("payloads-*")) - before
+    assert len(list(stored.glob("*.parquet"))) >= 8
