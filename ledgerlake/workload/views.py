@@ -263,31 +263,34 @@ def workbooks(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
     def escaped(text):
         return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
-    def inline(at, text):
-        return F.concat(F.lit(f'<c r="{at}'), F.col("r"), F.lit('" t="inlineStr"><is><t>'), escaped(text), F.lit("</t></is></c>"))
+    def row(x: Column, i: Column) -> Column:
+        at = (i + 3).cast("string")
 
-    def number(at, value, style=0):
-        return F.concat(F.lit(f'<c r="{at}'), F.col("r"), F.lit(f'" s="{style}"><v>'), value.cast("string"), F.lit("</v></c>"))
+        def inline(column, text):
+            return F.concat(F.lit(f'<c r="{column}'), at, F.lit('" t="inlineStr"><is><t>'), escaped(text), F.lit("</t></is></c>"))
+
+        def number(column, value, style=0):
+            return F.concat(F.lit(f'<c r="{column}'), at, F.lit(f'" s="{style}"><v>'), value.cast("string"), F.lit("</v></c>"))
+
+        serial = F.datediff(x["day"], F.when(F.col("style") == 2, F.lit("1904-01-01")).otherwise(F.lit("1899-12-30")).cast("date"))
+        shared = F.concat(
+            F.lit('<c t="s" r="D'), at, F.lit('"><v>'), (F.array_position("texts", x["n"]) - 1).cast("string"), F.lit("</v></c>")
+        )
+        plain = F.replace(x["w"], F.lit(","), F.lit(""))
+        cells = [
+            number("A", x["id"]),
+            inline("B", x["user_id"]),
+            F.when((F.col("style") == 1) | x["day"].isNull(), inline("C", x["d"])).otherwise(number("C", serial, 1)),
+            F.when(F.col("style") == 0, shared).otherwise(inline("D", x["n"])),
+            F.when(F.col("style") == 1, inline("F", x["w"])).otherwise(number("F", plain)),
+        ]
+        return F.concat(F.lit('<row r="'), at, F.lit('">'), *[F.coalesce(c, F.lit("")) for c in cells], F.lit("</row>"))
 
-    each = files.select("book", "style", "texts", F.posexplode("lines").alias("i", "x")).withColumn("r", F.col("i") + 3)
-    serial = F.datediff("x.day", F.when(F.col("style") == 2, F.lit("1904-01-01")).otherwise(F.lit("1899-12-30")).cast("date"))
-    shared = F.concat(
-        F.lit('<c t="s" r="D'), F.col("r"), F.lit('"><v>'), (F.array_position("texts", F.col("x.n")) - 1).cast("string"), F.lit("</v></c>")
-    )
-    plain = F.replace("x.w", F.lit(","), F.lit(""))
-    cells = [
-        number("A", F.col("x.id")),
-        inline("B", F.col("x.user_id")),
-        F.when((F.col("style") == 1) | F.col("x.day").isNull(), inline("C", F.col("x.d"))).otherwise(number("C", serial, 1)),
-        F.when(F.col("style") == 0, shared).otherwise(inline("D", F.col("x.n"))),
-        F.when(F.col("style") == 1, inline("F", F.col("x.w"))).otherwise(number("F", plain)),
-    ]
-    row = F.concat(F.lit('<row r="'), F.col("r"), F.lit('">'), *[F.coalesce(c, F.lit("")) for c in cells], F.lit("</row>"))
     named = ["line_id", "user_id", " Txn Date ", "Narration", "Balance", "Withdrawal Amt."]
     top = "".join(f'<c r="{at}2" t="inlineStr"><is><t xml:space="preserve">{name}</t></is></c>' for at, name in zip("ABCDEF", named, strict=True))
     sheet = F.concat(
         F.lit(f'<worksheet xmlns="{SHEET}"><sheetData><row r="2">{top}</row>'),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", row.alias("xml")))), lambda x: x["xml"]), ""),
+        F.array_join(F.transform("lines", row), ""),
         F.lit("</sheetData></worksheet>"),
     )
     texts = F.array_join(
@@ -305,11 +308,10 @@ def workbooks(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
             F.lit(f'<styleSheet xmlns="{SHEET}"><numFmts count="1"><numFmt numFmtId="170" formatCode="dd/mm/yyyy;@"/></numFmts>'
                   '<cellXfs><xf numFmtId="0"/><xf numFmtId="'), code, F.lit('"/></cellXfs></styleSheet>')),
         "xl/sharedStrings.xml": F.concat(F.lit(f'<sst xmlns="{SHEET}">'), texts, F.lit("</sst>")),
-        "xl/worksheets/sheet7.xml": F.col("sheet"),
+        "xl/worksheets/sheet7.xml": sheet,
     }
-    whole = each.groupBy("book", "style", "texts").agg(sheet.alias("sheet"))
     listed = F.array(*[F.struct(F.lit(name).alias("name"), xml.alias("xml")) for name, xml in members.items()])
-    made = whole.select(F.concat(F.lit("book-"), F.col("book"), F.lit(".xlsx")).alias("path"), listed.alias("members"))
+    made = files.select(F.concat(F.lit("book-"), F.col("book"), F.lit(".xlsx")).alias("path"), listed.alias("members"))
     return made.select("path", F.transform("members", lambda m: F.array(m["name"], m["xml"])).alias("m")).mapInArrow(
         _zipped, "path string, content binary"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import oracle_check
 from ledgerlake.sources import spreadsheets, statements
+from ledgerlake.workload import views as V
 from ledgerlake.workload.oracle import ORACLE
 from ledgerlake.workload.queries import QUERIES
 
@@ -154,3 +155,14 @@ def test_only_sheets_in_a_folder(spark, tmp_path):
 def test_query(spark, name):
     tables = "/root/testdata/sf0.001"
     assert oracle_check.differences(QUERIES[name](spark, tables), oracle_check.connect(tables), ORACLE[name]) == []
+
+
+def test_workbooks_are_written_where_their_lines_were_gathered(spark, tmp_path):
+    """Lines are not taken apart again, each with all texts of its file, and gathered a second time."""
+    rows = [(i, i % 3, "O", 10.0 + i, dt.datetime(1995, 1, 1 + i % 28), "1") for i in range(1, 40)]
+    names = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "orders.parquet"))
+    made = V.workbooks(spark, str(tmp_path), size=20)
+    assert made.count() == 2
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("collect_list") == 1
