@@ -11,6 +11,7 @@ from ledgerlake import schema as S
 from ledgerlake.operators import feedback, gold, history
 from ledgerlake.plans import daily, memory
 from ledgerlake.sources.shared import new_folder
+from ledgerlake.workload import views as V
 from ledgerlake.workload.views import probability_arrays
 
 from spend_cases import START, make_feedback, make_raw
@@ -236,3 +237,12 @@ def test_stored_history_decides_as_the_view_does(spark):
     assert rows(stores[0].silver(), *names) == rows(stores[1].silver(), *names)
     decided = stores[1].decided().count()
     assert past.entries().count() == known.count() + decided - known.join(stores[1].decided(), ["user_id", "silver_id"]).count()
+
+
+def test_events_of_one_file_are_read_as_payments_by_many_tasks(spark, tmp_path):
+    events = spark.range(0, 400, 1, 1).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-02 03:04:05' AS ts", "id % 7 AS user_id", "'view' AS event_type",
+        "double(id) AS value", """concat('{"k": ', id % 50, '}') AS props""")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    by_task = V.payments(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) >= 8 and sum(r["count"] for r in by_task) == 400
