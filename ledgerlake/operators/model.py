@@ -104,8 +104,10 @@ def fit_vocabulary(
 ) -> DataFrame:
     """Character terms, then word terms, numbered through. ``sizes``: terms of
     each analyser at most."""
+    # Read several times below: the texts are prepared once.
+    texts = materialise(texts.select("text", "copies"), "texts")
     total = texts.agg(F.sum("copies")).scalar()
-    copies = texts.select("text", "copies")
+    copies = texts
     counts = _counts(texts.select("text")).join(copies, "text")
     parts = [
         X.vocabulary(
@@ -271,13 +273,14 @@ def sigmoids(txns: DataFrame, model: TextModel, key: str = "silver_id") -> DataF
 
     Terms are scored per distinct text against the broadcast coefficients
     (bounded by the vocabulary), summed before they are shuffled back, and
-    met by each transaction in one join on the text.
+    met by each transaction in one join on the text. Rows are stored with their
+    prepared text first: every branch below starts from it.
     """
     n = len(model.labels)
     if key not in txns.columns:
         raise ValueError(f"no column {key}")
-    rows = txns.withColumn("_text", preprocess_text(F.col("raw_text")))
-    texts = rows.select(F.col("_text").alias("text")).distinct()
+    rows = materialise(txns.withColumn("_text", preprocess_text(F.col("raw_text"))), "prepared")
+    texts = materialise(rows.select(F.col("_text").alias("text")).distinct(), "texts")
     weights = text_weights(texts, model.vocabulary)
     scored = weights.join(F.broadcast(model.coefficients), "idx").groupBy("text").agg(
         *[F.sum(F.col("weight") * F.col("w")[i]).alias(f"_s{i}") for i in range(n)]

@@ -193,8 +193,13 @@ def categorise_cold(txns: DataFrame, feedback: DataFrame, key: str = "merchant")
 
 
 def explode_probabilities(df: DataFrame, *keys: str, p: str = "p") -> DataFrame:
-    """One row per key and label."""
-    long = df.select(*keys, F.posexplode(p).alias("_i", "p"))
+    """One row per key and label.
+
+    A plain explode would have the planner test each array's size first, below
+    everything that makes the arrays: with lambdas copied into each other, that
+    costs many times what the arrays do.
+    """
+    long = df.select(*keys, F.posexplode_outer(p).alias("_i", "p")).where("_i is not null")
     labels = string_array(S.LABELS)
     return long.withColumn("category", F.element_at(labels, F.col("_i") + 1)).drop("_i")
 

@@ -162,3 +162,29 @@ def test_validation_report(spark, examples):
     report = {r.label: r for r in evaluate.classification_report(pairs).collect()}
     assert report["accuracy"].recall > 0.8
     assert report["accuracy"].support == held.count()
+
+
+def planned(df):
+    """The optimised plan as text."""
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_prepared_once_and_arrays_made_once(spark):
+    vocabulary = spark.createDataFrame([(0, "word", "tea", 1.0)], "idx int, analyser string, term string, idf double")
+    coefficients = spark.createDataFrame([(0, [0.1] * len(S.LABELS))], "idx int, w array<double>")
+    made = model.TextModel(vocabulary, coefficients, [[0.1] * 5] * len(S.LABELS), [0.0] * len(S.LABELS), S.LABELS)
+    rows = txns(spark, ["Tea Shop", None, "Tea Shop", ""])
+    scored = model.predict_proba(rows, made)
+    # the preparation of a text is not repeated by each branch that needs it
+    assert "(pvt|ltd|" not in planned(scored)
+    long = scoring.explode_probabilities(scored, "silver_id")
+    # no test of the arrays' sizes that makes all of them a second time
+    assert "size(" not in planned(long)
+    got = long.groupBy("silver_id").agg(F.count("*").alias("n"), F.sum("p").alias("p")).collect()
+    assert {r.silver_id: (r.n, round(r.p, 9)) for r in got} == {i: (len(S.LABELS), 1.0) for i in range(4)}
+
+
+def test_missing_and_empty_arrays_have_no_long_rows(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [0.5, None])], "id int, p array<double>")
+    got = scoring.explode_probabilities(rows, "id").collect()
+    assert {(r.id, r.category, r.p) for r in got} == {(3, S.LABELS[0], 0.5), (3, S.LABELS[1], None)}
